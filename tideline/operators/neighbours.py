@@ -81,7 +81,8 @@ def nearest(asked: DataFrame, known: DataFrame, by: Sequence[str], k: int, metri
     def compare(these: pd.DataFrame, those: pd.DataFrame) -> pd.DataFrame:
         out = these[[*by, "_qid", "_cb"]].reset_index(drop=True)
         if not len(these) or not len(those):
-            return out.head(0).assign(d=[], vid=[], m=[])
+            nothing = pd.Series(dtype=object)
+            return out.head(0).assign(d=nothing, vid=nothing, m=nothing)
         best = _best(matrix(these["_x"]), matrix(those["_x"]), those["_vid"].to_numpy(), k, metric)
         vid, m = those["_vid"].to_numpy(), those["_m"].to_numpy()
         return out.assign(
