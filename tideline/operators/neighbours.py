@@ -62,7 +62,9 @@ def nearest(asked: DataFrame, known: DataFrame, by: Sequence[str], k: int, metri
 
     # Known vectors go to every cell within reach.
     sent = apply_models(known, by, "_x", bounds, _reaching(metric), "_cells", pivot_bytes + 8, returns="array<double>")
-    sent = freeze(sent.withColumn("_cell", F.explode("_cells")).drop("_cells"), "sent")
+    # Cogrouping hashes the keys as they are, so the cell has to be of one type on both sides.
+    sent = sent.withColumn("_cell", F.explode(F.col("_cells").cast("array<int>"))).drop("_cells")
+    sent = freeze(sent, "sent")
     blocks = bounds.select(*by, "_cell", F.ceil(F.col("_asked") / block).cast("int").alias("_qn"))
     received = sent.groupBy(*by, "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_cn"))
     blocks = freeze(attach(blocks, received, [*by, "_cell"]), "blocks")
