@@ -23,7 +23,7 @@ TINY = {
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     shared = str(tmp_path_factory.mktemp("shared"))
-    session = local_session(cpus=4, name="tests", **{"spark.checkpoint.dir": shared})
+    session = local_session(cpus=4, name="tests", **{"spark.checkpoint.dir": shared, "spark.sql.shuffle.partitions": "3"})
     yield session
     session.stop()
 

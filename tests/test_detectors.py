@@ -165,7 +165,7 @@ def test_nearest(limits, spark, metric):
     x = np.vstack(places["_x"])
     gap = np.abs(x[:, None] - x[None])
     d = {"euclidean": np.sqrt((gap**2).sum(-1)), "manhattan": gap.sum(-1), "chebyshev": gap.max(-1)}[metric]
-    got = nearest(known.withColumnRenamed("_vid", "_qid"), known, ["g"], 6, metric).collect()
+    got = nearest(known, known, ["g"], 6, metric).collect()
     assert len(got) == 150
     for r in got:
         assert [c["vid"] for c in r["_near"]] == np.argsort(d[r["_qid"]], kind="stable")[:6].tolist()

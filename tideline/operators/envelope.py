@@ -59,7 +59,8 @@ class EllipticEnvelope(Detector):
         size = rows_of(counts)
         totals = counts.groupBy(*by).agg(F.sum("_m").alias("_n"), (F.sum(v * m) / F.sum("_m")).alias("_mean"))
         totals = freeze(totals.withColumn("_h", F.least(self.support(F.col("_n"), 1), F.col("_n"))), "totals")
-        placed = attach(counts, self._locate(counts, totals), by)
+        groups = rows_of(totals)
+        placed = attach(counts, self._locate(counts, totals), by, at_most=groups)
         d = F.round(F.abs(v - F.col("_loc")), 9)
         near = scan(placed.withColumn("_d", d), by, ["_d", "_v"], [Running(m, "_cum")], size)
         taken = F.greatest(F.lit(0), F.least(m, F.col("_h") - (F.col("_cum") - m)))
@@ -69,11 +70,11 @@ class EllipticEnvelope(Detector):
         )
         raw = freeze(raw, "raw")
         dist = _distance(v, F.col("_loc"), F.col("_var"))
-        spread = freeze(attach(counts, raw, by, frozen=True).withColumn("_dist", dist), "distances")
+        spread = attach(counts, raw, by, frozen=True).withColumn("_dist", dist)
         median = quantiles(spread, by, "_dist", {"_median": 0.5}, "_m", size)
         correction = F.col("_median") / F.lit(chi2_quantile(0.5, 1))
         corrected = F.try_divide(F.col("_dist"), correction)
-        kept = attach(spread, median, by).where(corrected < F.lit(chi2_quantile(0.975, 1)))
+        kept = attach(spread, median, by, at_most=groups).where(corrected < F.lit(chi2_quantile(0.975, 1)))
         final = kept.groupBy(*by, "_loc").agg(
             (F.first("_loc") + F.sum(m * c) / F.sum(m)).alias("location"),
             (F.sum(m * c * c) / F.sum(m) - F.pow(F.sum(m * c) / F.sum(m), 2)).alias("variance"),
@@ -83,27 +84,29 @@ class EllipticEnvelope(Detector):
             "_dist", _distance(v, F.col("location"), F.col("variance"))
         )
         cut = quantiles(last, by, "_dist", {"threshold": 1 - self.contamination}, "_m", size)
-        return SingleEnvelopeModel(self.name, self, freeze(attach(final, cut, by), "envelope"))
+        return SingleEnvelopeModel(self.name, self, freeze(attach(final, cut, by, at_most=groups), "envelope"))
 
     def _locate(self, counts: DataFrame, totals: DataFrame) -> DataFrame:
         """Middle of the shortest stretch holding the support, averaged over ties."""
         by, v, u = self.by, F.col("_v"), F.col("_far")["u"]
         size = rows_of(counts)
         ranked = scan(attach(counts, totals, by, frozen=True), by, ["_v"], [Running(F.col("_m"), "_hi")], size)
-        ranked = freeze(ranked.withColumn("_lo", F.col("_hi") - F.col("_m")), "ranks")
-        known = ranked.select(*by, F.col("_lo").alias("_rank"), F.lit(0).alias("_kind"), "_v", "_hi", "_lo", "_h")
-        asked = ranked.where(F.col("_lo") + F.col("_h") < F.col("_n")).select(
-            *by, (F.col("_lo") + F.col("_h")).alias("_rank"), F.lit(1).alias("_kind"), "_v", "_hi", "_lo", "_h"
-        )
-        # The value at a rank is the last one starting at or before it.
+        ranked = ranked.withColumn("_lo", F.col("_hi") - F.col("_m"))
+        # Each value stands at its first rank and asks for the value h ranks further on, which is
+        # the last one standing at or before that rank.
+        own = F.struct(F.col("_lo").alias("_rank"), F.lit(0).alias("_kind"))
+        further = F.struct((F.col("_lo") + F.col("_h")).alias("_rank"), F.lit(1).alias("_kind"))
+        places = F.array_compact(F.array(own, F.when(further["_rank"] < F.col("_n"), further)))
+        asked = ranked.select(*by, "_v", "_hi", "_lo", "_h", F.explode(places).alias("_place"))
+        asked = asked.select(*by, "_v", "_hi", "_lo", "_h", "_place.*")
         at_rank = F.when(F.col("_kind") == 0, F.struct(v.alias("u"), F.col("_hi").alias("hi")))
-        pairs = scan(known.unionByName(asked), by, ["_rank", "_kind"], [LastSeen(at_rank, "_far")], 2 * size).where("_kind = 1")
+        pairs = scan(asked, by, ["_rank", "_kind"], [LastSeen(at_rank, "_far")], 2 * size).where("_kind = 1")
         ties = F.least(F.col("_hi"), F.col("_far")["hi"] - F.col("_h")) - F.col("_lo")
         lengths = pairs.groupBy(*by, (u - v).alias("_len")).agg(
             F.sum(ties).alias("w"), F.sum(ties * (u + v) / 2).alias("s")
         )
         best = lengths.groupBy(*by).agg(F.min_by(F.col("s") / F.col("w"), "_len").alias("_mid"))
-        both = attach(totals, best, by, how="left")
+        both = attach(totals, best, by, how="left", at_most=rows_of(totals))
         # With all rows in the support the location is their mean.
         return both.select(*by, F.coalesce("_mid", "_mean").alias("_loc"), "_h")
 
@@ -121,6 +124,7 @@ class EllipticEnvelope(Detector):
         sizes = freeze(sizes.withColumn("_share", F.least(share, F.lit(1.0))), "sizes")
         model = freeze(self._start(rows, sizes, p), "start")
         previous: float | None = None
+        # The start is already concentrated on a sample, so a few passes over all rows do.
         for _ in range(MAX_FULL_STEPS):
             model = self._refit(rows, model, sizes, p, "_share")
             spread = model.agg(F.sum("log_det").alias("s")).first()["s"]
@@ -128,9 +132,10 @@ class EllipticEnvelope(Detector):
                 break
             previous = spread
         scored = freeze(self._distances(rows, model, p).select(*by, "_x", "_dist"), "distances")
+        groups = rows_of(sizes)
         median = quantiles(scored, by, "_dist", {"_median": 0.5})
         corrected = F.try_divide(F.col("_dist") * F.lit(chi2_quantile(0.5, p)), F.col("_median"))
-        kept = attach(scored, median, by).where(corrected < F.lit(chi2_quantile(0.975, p)))
+        kept = attach(scored, median, by, at_most=groups).where(corrected < F.lit(chi2_quantile(0.975, p)))
         model = freeze(solve_shape(outer_sums(kept.select(*by, F.concat(F.array(F.lit(1.0)), "_x").alias("_z")), by, "_z"), by, p), "shape")
         last = freeze(self._distances(rows, model, p).select(*by, "_dist"), "distances")
         cut = freeze(quantiles(last, by, "_dist", {"threshold": 1 - self.contamination}), "threshold")
@@ -146,10 +151,11 @@ class EllipticEnvelope(Detector):
         cut = scored.groupBy(*by).agg(
             F.percentile_approx("_dist", F.array(*[F.lit(k / 200) for k in range(201)]), F.lit(10_000)).alias("_grid")
         )
-        cut = attach(sizes, cut, by).select(
+        groups = rows_of(sizes)
+        cut = attach(sizes, cut, by, row_bytes=2048, at_most=groups).select(
             *by, F.element_at("_grid", F.least(F.ceil(F.col(share) * 200) + 1, F.lit(201)).cast("int")).alias("_cut")
         )
-        kept = attach(scored, cut, by).where(F.col("_dist") <= F.col("_cut"))
+        kept = attach(scored, cut, by, at_most=groups).where(F.col("_dist") <= F.col("_cut"))
         z = F.concat(F.array(F.lit(1.0)), F.col("_x")).alias("_z")
         return freeze(solve_shape(outer_sums(kept.select(*by, z), by, "_z"), by, p), "shape")
 

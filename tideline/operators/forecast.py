@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.functions.labels import outside
 from tideline.functions.scalars import micros
-from tideline.plans import attach, freeze
+from tideline.plans import attach, freeze, rows_of
 from tideline.plans.attach import join_null_safe
 from tideline.plans.models import fields, group_key
 from tideline.plans.moments import outer_sums
@@ -116,16 +116,18 @@ class Forecaster:
         """y = trend · (1 + season): trend and season are fitted in turn, each given the other."""
         rows = freeze(rows, "design")
         trend = _ridge(rows.select(*by, F.concat("_trend", F.array("_y")).alias("_z")), by, priors)
+        groups = rows_of(trend)
+        width = 16 * (len(priors) + len(season_priors))
         season: DataFrame | None = None
         for _ in range(2):
-            level = attach(rows, trend.select(*by, F.col("_beta").alias("_tb")), by).withColumn("_level", _dot("_trend", "_tb"))
+            level = attach(rows, trend.select(*by, F.col("_beta").alias("_tb")), by, row_bytes=width, at_most=groups).withColumn("_level", _dot("_trend", "_tb"))
             scaled = F.transform("_season", lambda s: s * F.col("_level"))
             season = _ridge(level.select(*by, F.concat(scaled, F.array(F.col("_y") - F.col("_level"))).alias("_z")), by, season_priors)
-            wave = attach(rows, season.select(*by, F.col("_beta").alias("_sb")), by).withColumn("_wave", 1.0 + _dot("_season", "_sb"))
+            wave = attach(rows, season.select(*by, F.col("_beta").alias("_sb")), by, row_bytes=width, at_most=groups).withColumn("_wave", 1.0 + _dot("_season", "_sb"))
             scaled = F.transform("_trend", lambda s: s * F.col("_wave"))
             trend = _ridge(wave.select(*by, F.concat(scaled, F.array("_y")).alias("_z")), by, priors)
         both = trend.select(*by, F.col("_beta").alias("_tb"), "_sigma", "_slope_step")
-        return attach(both, season.select(*by, F.col("_beta").alias("_sb")), by).select(
+        return attach(both, season.select(*by, F.col("_beta").alias("_sb")), by, row_bytes=width, at_most=groups).select(
             *by, F.concat("_tb", "_sb").alias("_beta"), "_sigma", "_slope_step"
         )
 

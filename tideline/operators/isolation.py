@@ -8,11 +8,11 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.operators.detector import Detector, DetectorModel, check_contamination, with_label
 from tideline.plans import attach, freeze, quantiles
-from tideline.plans.models import apply_models, fields, group_key, matrix, sample_rate, uniform
+from tideline.plans.models import apply_models, fields, group_key, matrix, sample_rate, spread, uniform
 
 # Rows per tree, and the score above which "auto" calls a row anomalous.
 SAMPLE, AUTO_THRESHOLD = 256, 0.5
@@ -64,15 +64,21 @@ class IsolationForest(Detector):
         # One hash per row leaves a pool large enough for all trees; trees draw from the pool.
         pool_rate = sample_rate(t * SAMPLE, F.col("_n"))
         pool = attach(rows, sizes, self.by, frozen=True).where(uniform(seed, "pool", *keys) < pool_rate)
+        pool = pool.withColumn("_row", F.xxhash64(F.lit(seed), *keys))
         tree_rate = F.least(F.lit(1.0), sample_rate(SAMPLE, F.col("_n") * pool_rate))
-        numbers = F.sequence(F.lit(0), F.lit(t - 1))
-        drawn = F.filter(numbers, lambda k: uniform(seed, "tree", k, *keys) < tree_rate)
-        members = pool.withColumn("_tree", F.explode(drawn)).select(
+
+        def draw(tree: Column) -> Column:
+            return F.xxhash64("_row", tree)
+
+        # Draws spread evenly over the longs, so the rate is a cut among them.
+        cut = (F.lit(-(2.0**63)) + F.lit(2.0**64) * tree_rate).cast("double")
+        drawn = F.filter(F.sequence(F.lit(0), F.lit(t - 1)), lambda k: draw(k) < F.col("_cut"))
+        members = pool.withColumn("_cut", cut).withColumn("_tree", F.explode(drawn)).select(
             group_key(self.by).alias("_g"),
             *self.by,
             "_tree",
-            uniform(seed, "tree", "_tree", *keys).alias("_draw"),
-            F.xxhash64(*self.by, "_tree").alias("_salt") if self.by else F.col("_tree").cast("long").alias("_salt"),
+            draw(F.col("_tree")).alias("_draw"),
+            F.xxhash64(*self.by, "_tree").alias("_salt"),
             "_x",
         )
 
@@ -85,7 +91,7 @@ class IsolationForest(Detector):
 
         schema = f"""{fields(members, [*self.by, "_tree"])}, feature array<int>, cut array<double>,
             left array<int>, path array<double>, sample int"""
-        return members.groupBy("_g", "_tree").applyInPandas(build, schema)
+        return spread(members, "_g", "_tree").groupBy("_g", "_tree").applyInPandas(build, schema)
 
 
 def grow_tree(x: np.ndarray, rng: np.random.Generator, share: float) -> dict[str, Any]:
@@ -97,54 +103,126 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, share: float) -> dict[str
     n, p = x.shape
     usable = np.sort(rng.choice(p, size=max(1, int(share * p)), replace=False))
     limit = math.ceil(math.log2(max(n, 2)))
+    draws = rng.random((2 * n, 2)).tolist()
+    leaf_depth = mean_path(np.arange(n + 1)).tolist()
+    if len(usable) == 1:
+        column = np.sort(x[:, usable[0]])
+
+        def span(rows: Any, u: float) -> tuple[int, float, float]:
+            return 0, float(column[rows[0]]), float(column[rows[1] - 1])
+
+        def split(rows: Any, k: int, at: float) -> tuple[Any, Any]:
+            middle = rows[0] + int(np.searchsorted(column[rows[0] : rows[1]], at, side="right"))
+            return (rows[0], middle), (middle, rows[1])
+
+        def size(rows: Any) -> int:
+            return rows[1] - rows[0]
+
+        everything: Any = (0, n)
+    else:
+        table = x[:, usable]
+
+        def span(rows: Any, u: float) -> tuple[int, float, float]:
+            part = table[rows]
+            low, high = part.min(axis=0), part.max(axis=0)
+            open_ = np.flatnonzero(high > low)
+            if not len(open_):
+                return 0, 0.0, 0.0
+            k = int(open_[int(u * len(open_))])
+            return k, float(low[k]), float(high[k])
+
+        def split(rows: Any, k: int, at: float) -> tuple[Any, Any]:
+            goes_left = table[rows, k] <= at
+            return rows[goes_left], rows[~goes_left]
+
+        size = len
+        everything = np.arange(n)
+
     feature, cut, left, path = [0], [math.inf], [0], [0.0]
-    todo = [(0, np.arange(n), 0)]
+    todo = [(0, everything, 0)]
     while todo:
         node, rows, depth = todo.pop()
-        part = x[np.ix_(rows, usable)]
-        low, high = part.min(axis=0), part.max(axis=0)
-        open_ = np.flatnonzero(high > low)
-        if depth >= limit or len(rows) < 2 or not len(open_):
-            left[node], path[node] = node, depth + float(mean_path(len(rows)))
+        which, where = draws[node]
+        k, low, high = span(rows, which) if depth < limit and size(rows) > 1 else (0, 0.0, 0.0)
+        if high <= low:
+            left[node], path[node] = node, depth + leaf_depth[size(rows)]
             continue
-        k = int(rng.choice(open_))
-        at = float(rng.uniform(low[k], high[k]))
-        goes_left = part[:, k] <= at
+        at = low + where * (high - low)
+        # Rounding must not push the cut up to the highest row, which has to go right.
+        at = at if at < high else low
         child = len(cut)
         feature[node], cut[node], left[node] = int(usable[k]), at, child
         feature += [0, 0]
         cut += [math.inf, math.inf]
         left += [child, child + 1]
         path += [0.0, 0.0]
-        todo += [(child, rows[goes_left], depth + 1), (child + 1, rows[~goes_left], depth + 1)]
+        first, second = split(rows, k, at)
+        todo += [(child, first, depth + 1), (child + 1, second, depth + 1)]
     return {"feature": feature, "cut": cut, "left": left, "path": path, "sample": n}
 
 
-def forest_scores(x: np.ndarray, model: dict[str, Any]) -> np.ndarray:
-    """2^(−mean depth / expected depth), all trees descending together."""
-    width = max(len(c) for c in model["cut"])
+def _stacked(model: dict[str, Any]) -> dict[str, np.ndarray]:
+    """The trees as arrays (tree, node); kept in the model, which serves many batches."""
+    if "_stacked" not in model:
+        width = max(len(c) for c in model["cut"])
+        out = {}
+        for name, kind in (("feature", int), ("cut", float), ("left", int), ("path", float)):
+            out[name] = np.full((len(model[name]), width), math.inf if name == "cut" else 0, dtype=kind)
+            for k, v in enumerate(model[name]):
+                out[name][k, : len(v)] = v
+        model["_stacked"] = out
+    return model["_stacked"]
 
-    def stacked(name: str, kind: type) -> np.ndarray:
-        out = np.zeros((len(model[name]), width), dtype=kind)
-        for k, v in enumerate(model[name]):
-            out[k, : len(v)] = v
-        return out
 
-    feature, cut = stacked("feature", int), stacked("cut", float)
-    left, path = stacked("left", int), stacked("path", float)
+def _depths(x: np.ndarray, model: dict[str, Any]) -> np.ndarray:
+    """Mean depth at which vectors end up, all trees descending together."""
+    feature, cut, left, path = _stacked(model).values()
     tree = np.arange(len(cut))[:, None]
-    depth = math.ceil(math.log2(max(2, *model["sample"])))
-    expected = float(mean_path(max(model["sample"])))
+    levels = math.ceil(math.log2(max(2, max(model["sample"]))))
     out = np.empty(len(x))
     for start in range(0, len(x), 2048):
         part = x[start : start + 2048]
         at = np.zeros((len(cut), len(part)), dtype=int)
         row = np.arange(len(part))[None, :]
-        for _ in range(depth):
+        for _ in range(levels):
             limit = cut[tree, at]
             at = left[tree, at] + ((part[row, feature[tree, at]] > limit) & np.isfinite(limit))
         out[start : start + 2048] = path[tree, at].mean(axis=0)
-    return 2.0 ** (-out / expected) if expected else np.full(len(x), AUTO_THRESHOLD)
+    return out
+
+
+def _score(depth: np.ndarray, model: dict[str, Any]) -> np.ndarray:
+    """2^(−mean depth / expected depth)."""
+    expected = float(mean_path(max(model["sample"])))
+    return 2.0 ** (-depth / expected) if expected else np.full(len(depth), AUTO_THRESHOLD)
+
+
+def forest_scores(x: np.ndarray, model: dict[str, Any]) -> np.ndarray:
+    """Scores of vectors. Of single numbers the score is a step function, looked up by value."""
+    if x.shape[1] > 1:
+        return _score(_depths(x, model), model)
+    if "_steps" not in model:
+        model["_steps"] = _steps(model)
+    edges, scores = model["_steps"]
+    return scores[np.searchsorted(edges, x[:, 0], side="left")]
+
+
+def _steps(model: dict[str, Any]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges and scores of the step function of a forest over single numbers.
+
+    A number up to a cut goes left: steps are open on the left and closed on the right, and the
+    score of a step is that of its right edge.
+    """
+    cut = _stacked(model)["cut"]
+    edges = np.unique(cut[np.isfinite(cut)])
+    points = np.append(edges, edges[-1] + 1 if len(edges) else 0.0)
+    depths = np.zeros(len(points))
+    for k in range(len(cut)):
+        one = {name: [model[name][k]] for name in ("feature", "cut", "left", "path", "sample")}
+        own = np.unique(cut[k][np.isfinite(cut[k])])
+        inside = np.append(own, own[-1] + 1 if len(own) else 0.0)
+        depths += _depths(inside[:, None], one)[np.searchsorted(own, points, side="left")]
+    return edges, _score(depths / len(cut), model)
 
 
 @dataclass(frozen=True)

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.operators.detector import Detector, DetectorModel, check_contamination, with_label
 from tideline.operators.neighbours import METRICS, nearest
-from tideline.plans import Running, attach, freeze, overlap, quantiles, scan, with_position
+from tideline.plans import Running, attach, freeze, overlap, quantiles, rows_of, scan, with_position
 from tideline.plans.attach import join_null_safe
-from tideline.plans.models import fields, group_key
+from tideline.plans.models import fields, group_key, spread
 
 # Factor above which "auto" calls a row anomalous; guard against zero reach.
 AUTO_THRESHOLD, TINY = 1.5, 1e-10
@@ -81,7 +81,7 @@ class LocalOutlierFactor(Detector):
             return out[block["_copy"] == 0]
 
         schema = f"{fields(rows, [*by, '_v', '_m', '_k'])}, _kdist double, _lrd double, _lof double"
-        fitted = freeze(rows.groupBy("_g", "_block").applyInPandas(factors, schema), "lof")
+        fitted = freeze(spread(rows, "_g", "_block").groupBy("_g", "_block").applyInPandas(factors, schema), "lof")
         return SingleLofModel(self.name, self, fitted, self._thresholds(fitted, "_m"))
 
     # Vectors: again a factor depends on the vector only, so copies are counted and distinct
@@ -95,10 +95,11 @@ class LocalOutlierFactor(Detector):
         totals = known.groupBy(*by).agg(F.least(F.sum("_m") - 1, F.lit(k)).alias("_k"))
         totals = freeze(totals, "totals")
         # One more than k, because a vector finds itself.
-        near = nearest(known.withColumnRenamed("_vid", "_qid"), known, by, k + 1, self.metric)
+        near = nearest(known, known, by, k + 1, self.metric)
         pairs = freeze(_taken(attach(near, totals, by, frozen=True), by, own=1), "pairs")
-        facts = freeze(_reach_densities(pairs, by), "densities")
-        mean = _mean_densities(pairs, facts, by)
+        size = rows_of(known)
+        facts = freeze(_reach_densities(pairs, by, size), "densities")
+        mean = _mean_densities(pairs, facts, by, size)
         scores = join_null_safe(mean, facts, [*by, "_vid"])
         scores = scores.select(*by, "_vid", (F.col("_mean") / F.col("_lrd")).alias("_lof"))
         # A lone row has no neighbours and a factor of 1.
@@ -215,7 +216,7 @@ class SingleLofModel(DetectorModel):
             return out.assign(raw_score=new_factors(*arrays, new["_v"].to_numpy(), k, wanted))
 
         schema = f"{fields(asked, [*by, '_v'])}, raw_score double"
-        return rows.groupBy("_g", "_block").applyInPandas(factors, schema)
+        return spread(rows, "_g", "_block").groupBy("_g", "_block").applyInPandas(factors, schema)
 
 
 def _with_threshold(df: DataFrame, thresholds: DataFrame | None, by: Sequence[str]) -> DataFrame:
@@ -247,20 +248,20 @@ def _mean_of(c: Column) -> Column:
     return F.sum(c * F.col("_t")) / F.sum("_t")
 
 
-def _reach_densities(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+def _reach_densities(pairs: DataFrame, by: Sequence[str], size: int) -> DataFrame:
     """``(by, _vid, _kdist, _lrd)`` of the fitted vectors."""
-    kdist = freeze(pairs.groupBy(*by, F.col("_qid").alias("_vid")).agg(F.max("_dist").alias("_kdist")), "kdist")
+    kdist = pairs.groupBy(*by, F.col("_qid").alias("_vid")).agg(F.max("_dist").alias("_kdist"))
     of_neighbour = kdist.select(*by, F.col("_vid").alias("_nbr"), F.col("_kdist").alias("_reach"))
-    joined = attach(pairs, of_neighbour, [*by, "_nbr"])
+    joined = attach(pairs, of_neighbour, [*by, "_nbr"], at_most=size)
     lrd = joined.groupBy(*by, F.col("_qid").alias("_vid")).agg(
         (1.0 / (_mean_of(F.greatest("_dist", "_reach")) + F.lit(TINY))).alias("_lrd")
     )
     return join_null_safe(kdist, lrd, [*by, "_vid"])
 
 
-def _mean_densities(pairs: DataFrame, facts: DataFrame, by: Sequence[str]) -> DataFrame:
+def _mean_densities(pairs: DataFrame, facts: DataFrame, by: Sequence[str], size: int) -> DataFrame:
     of_neighbour = facts.select(*by, F.col("_vid").alias("_nbr"), F.col("_lrd").alias("_near"))
-    joined = attach(pairs, of_neighbour, [*by, "_nbr"])
+    joined = attach(pairs, of_neighbour, [*by, "_nbr"], at_most=size)
     return joined.groupBy(*by, F.col("_qid").alias("_vid")).agg(_mean_of(F.col("_near")).alias("_mean"))
 
 
@@ -288,12 +289,12 @@ class VectorLofModel(DetectorModel):
     def _look_up(self, vectors: DataFrame) -> DataFrame:
         spec = self.spec
         by = spec.by
-        asked = freeze(with_position(freeze(vectors, "distinct"), by, ["_x"], "_qid"), "asked")
+        asked = freeze(with_position(freeze(vectors, "distinct"), by, ["_x"], "_vid"), "asked")
         near = nearest(asked, self.known, by, spec.n_neighbors, spec.metric)
         pairs = _taken(attach(near, self.totals, by, frozen=True), by, own=0)
         facts = self.facts.select(*by, F.col("_vid").alias("_nbr"), "_kdist", "_lrd")
-        joined = attach(pairs, facts, [*by, "_nbr"], frozen=False)
+        joined = attach(pairs, facts, [*by, "_nbr"], at_most=rows_of(self.facts))
         own = 1.0 / (_mean_of(F.greatest("_dist", "_kdist")) + F.lit(TINY))
         factors = joined.groupBy(*by, "_qid").agg((_mean_of(F.col("_lrd")) / own).alias("raw_score"))
-        out = join_null_safe(asked, factors, [*by, "_qid"], how="left")
+        out = join_null_safe(asked, factors.withColumnRenamed("_qid", "_vid"), [*by, "_vid"], how="left")
         return out.select(*by, "_x", F.coalesce("raw_score", F.lit(1.0)).alias("raw_score"))

@@ -16,8 +16,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tideline.plans import attach, freeze
-from tideline.plans.models import apply_models, fields, group_key, matrix, sample_rate, uniform
+from tideline.plans import attach, freeze, rows_of
+from tideline.plans.attach import join_null_safe
+from tideline.plans.models import apply_models, fields, group_key, matrix, sample_rate, spread, uniform
 from tideline.plans.settings import setting
 
 MAX_PIVOTS = 256
@@ -45,29 +46,22 @@ METRICS = {
 def nearest(asked: DataFrame, known: DataFrame, by: Sequence[str], k: int, metric: str) -> DataFrame:
     """The ``k`` nearest known vectors of every asked one: ``(by, _qid, _near)``.
 
-    ``asked`` has ``(by, _qid, _x)`` and ``known`` ``(by, _vid, _m, _x)``, both written tables.
+    ``asked`` has ``(by, _vid, _x)`` and ``known`` ``(by, _vid, _m, _x)``, both written tables.
     ``_near`` lists ``(d, vid, m)`` from near to far, equal distances by ``vid``.
     """
     by = list(by)
-    spark = asked.sparkSession
-    block = setting(spark, "blockRows")
-    p = known.select(F.max(F.size("_x")).alias("p")).first()["p"] or 1
-    pivot_bytes = 16 * p + 64
-    pivots = freeze(_pivots(known, by, block), "pivots")
-
-    place = _placing(metric)
-    asked_cells = _placed(asked, by, pivots, place, pivot_bytes)
-    known_cells = _placed(known, by, pivots, place, pivot_bytes)
-    bounds = freeze(_bounds(asked_cells, known_cells, pivots, by, k, metric), "bounds")
-
-    # Known vectors go to every cell within reach.
-    sent = apply_models(known, by, "_x", bounds, _reaching(metric), "_cells", pivot_bytes + 8, returns="array<double>")
-    # Cogrouping hashes the keys as they are, so the cell has to be of one type on both sides.
-    sent = sent.withColumn("_cell", F.explode(F.col("_cells").cast("array<int>"))).drop("_cells")
-    sent = freeze(sent, "sent")
-    blocks = bounds.select(*by, "_cell", F.ceil(F.col("_asked") / block).cast("int").alias("_qn"))
+    block = setting(asked.sparkSession, "blockRows")
+    # Fresh columns, since both sides may be the same table.
+    asked = asked.select(*by, F.col("_vid").alias("_qid"), F.col("_x").alias("_x"))
+    if rows_of(known) <= block:
+        # Few known vectors: one cell per group.
+        asked_cells, sent = (d.withColumn("_cell", F.lit(0)) for d in (asked, known))
+    else:
+        asked_cells, sent = _cells(asked, known, by, k, metric, block)
+    # Blocks per cell, on either side.
+    blocks = asked_cells.groupBy(*by, "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_qn"))
     received = sent.groupBy(*by, "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_cn"))
-    blocks = freeze(attach(blocks, received, [*by, "_cell"]), "blocks")
+    blocks = freeze(join_null_safe(blocks, received, [*by, "_cell"]), "blocks")
 
     def blocked(rows: DataFrame, own: str, own_n: str, own_id: str, other: str, other_n: str) -> DataFrame:
         out = attach(rows, blocks, [*by, "_cell"], frozen=True)
@@ -75,7 +69,7 @@ def nearest(asked: DataFrame, known: DataFrame, by: Sequence[str], k: int, metri
         out = out.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
         return out.drop(own_n, other_n).withColumn("_g", group_key(by))
 
-    left = blocked(asked_cells.drop("_d"), "_qb", "_qn", "_qid", "_cb", "_cn")
+    left = blocked(asked_cells, "_qb", "_qn", "_qid", "_cb", "_cn")
     right = blocked(sent, "_cb", "_cn", "_vid", "_qb", "_qn").drop(*by)
     keys = ["_g", "_cell", "_qb", "_cb"]
     schema = f"{fields(left, [*by, '_qid', '_cb'])}, d array<double>, vid array<bigint>, m array<bigint>"
@@ -91,6 +85,7 @@ def nearest(asked: DataFrame, known: DataFrame, by: Sequence[str], k: int, metri
             d=[d for _, d in best], vid=[vid[i] for i, _ in best], m=[m[i] for i, _ in best]
         )
 
+    left, right = spread(left, *keys), spread(right, *keys)
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, schema)
     zipped = F.arrays_zip("d", "vid", "m").alias("_near")
     merged = F.slice(F.sort_array(F.flatten(F.collect_list("_near"))), 1, k).alias("_near")
@@ -99,6 +94,23 @@ def nearest(asked: DataFrame, known: DataFrame, by: Sequence[str], k: int, metri
     return first.groupBy(*by, "_qid").agg(merged)
 
 
+def _cells(
+    asked: DataFrame, known: DataFrame, by: list[str], k: int, metric: str, block: int
+) -> tuple[DataFrame, DataFrame]:
+    """Asked vectors in their cells, and known vectors in every cell they can matter to."""
+    p = known.select(F.max(F.size("_x")).alias("p")).first()["p"]
+    pivot_bytes = 16 * p + 64
+    pivots = freeze(_pivots(known, by, block), "pivots")
+    place = _placing(metric)
+    asked_cells = _placed(asked, by, pivots, place, pivot_bytes)
+    known_cells = _placed(known, by, pivots, place, pivot_bytes)
+    bounds = freeze(_bounds(asked_cells, known_cells, pivots, by, k, metric), "bounds")
+    sent = apply_models(known, by, "_x", bounds, _reaching(metric), "_cells", pivot_bytes + 8, returns="array<double>")
+    # Cogrouping hashes the keys as they are, so the cell has to be of one type on both sides.
+    sent = sent.withColumn("_cell", F.explode(F.col("_cells").cast("array<int>"))).drop("_cells")
+    return asked_cells.drop("_d"), freeze(sent, "sent")
+
+
 def _pivots(known: DataFrame, by: list[str], block: int) -> DataFrame:
     """About one vector in ``block``, at most 256 per group, chosen by hash."""
     sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
@@ -144,7 +156,7 @@ def _bounds(
     asked: DataFrame, known: DataFrame, pivots: DataFrame, by: list[str], k: int, metric: str
 ) -> DataFrame:
     """Per cell with asked vectors: its pivot and how far from it a known vector can matter."""
-    radius = asked.groupBy(*by, "_cell").agg(F.max("_d").alias("_radius"), F.count(F.lit(1)).alias("_asked"))
+    radius = asked.groupBy(*by, "_cell").agg(F.max("_d").alias("_radius"))
     w = Window.partitionBy(*by, "_cell").orderBy("_d")
     # The k nearest of each cell; tasks keep k rows per cell before the shuffle.
     close = known.select(*by, "_cell", "_d").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
@@ -155,9 +167,9 @@ def _bounds(
         group = group.reset_index(drop=True)
         points = matrix(group["_p"])
         between = METRICS[metric](points, points)
-        used = np.flatnonzero(group["_asked"].notna())
+        used = np.flatnonzero(group["_radius"].notna())
         lists = [np.asarray(c, dtype=float) if c is not None else np.empty(0) for c in group["_close"]]
-        out = group.loc[used, [*by, "_cell", "_p", "_asked"]].astype({"_asked": "int64"})
+        out = group.loc[used, [*by, "_cell", "_p"]]
         reaches = []
         for i in used:
             upper = np.concatenate([between[i, j] + lists[j] for j in range(len(lists))])
@@ -167,7 +179,7 @@ def _bounds(
             reaches.append((2 * radius_i + kth) * (1 + _SLACK) + _SLACK)
         return out.assign(_reach=reaches)
 
-    schema = f"{fields(pivots, [*by, '_cell', '_p'])}, _asked long, _reach double"
+    schema = f"{fields(pivots, [*by, '_cell', '_p'])}, _reach double"
     return table.withColumn("_g", group_key(by)).groupBy("_g").applyInPandas(reach, schema)
 
 

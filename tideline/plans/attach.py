@@ -26,19 +26,25 @@ def attach(
     how: str = "inner",
     row_bytes: int = 128,
     frozen: bool = False,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Join ``params`` (one row per group) to ``df`` without moving ``df`` by its group.
 
-    The parameter table is written first, so its size is known: small ones are broadcast.
-    Larger ones are repeated over a fixed number of salts, so that a group holding a large
-    share of the rows is spread over that many tasks.
+    Small parameter tables are broadcast. The size is known from ``at_most``, a bound on the rows
+    the caller can vouch for, or by writing the table first. Larger tables are repeated over a
+    fixed number of salts, so that a group holding a large share of the rows is spread over that
+    many tasks.
     """
     spark = df.sparkSession
-    if not frozen:
-        params = freeze(params, "params")
+    limit = setting(spark, "broadcastBytes")
     if not on:
+        # One group: a single row of parameters.
         return df.join(F.broadcast(params.limit(1)))
-    if rows_of(params) * row_bytes <= setting(spark, "broadcastBytes"):
+    if not frozen and at_most is not None and at_most * row_bytes <= limit:
+        return join_null_safe(df, F.broadcast(params), on, how)
+    if not frozen:
+        params = freeze(params, "params")
+    if rows_of(params) * row_bytes <= limit:
         return join_null_safe(df, F.broadcast(params), on, how)
     salts = setting(spark, "salts")
     spread = [c for c, t in df.dtypes if not t.startswith("map")]

@@ -105,6 +105,15 @@ def apply_models(
     return shared_rows.groupBy("_g", "_share").cogroup(copies.groupBy("_g", "_share")).applyInPandas(meet, schema)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by ``keys`` into as many parts as shuffles use.
+
+    Rows that need much work each are few bytes in all; left to itself the optimizer would put
+    them into one partition.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def uniform(seed: int, stream: str, *columns: Column | str) -> Column:
     """A number in (0, 1) that depends on the seed, the stream and the columns only."""
     bits = F.pmod(F.xxhash64(F.lit(seed), F.lit(stream), *columns), F.lit(2**52))
