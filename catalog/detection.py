@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog.inputs import EVENTS, daily, events, table
-from catalog.registry import query
+from catalog.registry import SQL, query
 from tideline.operators.ensemble import Ensemble
 from tideline.operators.envelope import EllipticEnvelope
 from tideline.operators.isolation import IsolationForest
 from tideline.operators.lof import LocalOutlierFactor
 from tideline.operators.recon import WindowReconstruction
-from tideline.operators.report import report_rows
+from tideline.sources.series import standardise
+from tideline.streaming.scoring import score_stream
 
 VECTORS = {"inputs": "embedding", "by": [], "order": ["vec_id"]}
 
@@ -53,6 +54,16 @@ def detect_mcd_1d(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(EllipticEnvelope().fit_transform(events(spark, sf)), _KEYS)
 
 
+@query(SQL["detect_mcd_1d"])
+def stream_score(spark: SparkSession, sf: str) -> DataFrame:
+    """The fitted envelope applied to the events as a stream gives what it gives in one batch."""
+    model = EllipticEnvelope().fit(events(spark, sf))
+    schema = table(spark, sf, "events").schema
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    rows = standardise(arriving, "ts", "value", series="event_type", key="event_id")
+    return _shown(score_stream(rows, model), _KEYS)
+
+
 def _lof_sql(own: bool) -> str:
     """In value order the 20 nearest rows lie within 20 places on either side."""
     return f"""WITH {EVENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY v, k) AS i FROM e),
@@ -71,8 +82,7 @@ def _lof_sql(own: bool) -> str:
 
 @query(_lof_sql(own=True))
 def detect_lof_1d(spark: SparkSession, sf: str) -> DataFrame:
-    out = _shown(LocalOutlierFactor().fit_transform(events(spark, sf)), _KEYS)
-    return out
+    return _shown(LocalOutlierFactor().fit_transform(events(spark, sf)), _KEYS)
 
 
 @query(_lof_sql(own=False))
@@ -126,7 +136,16 @@ def _ensemble() -> Ensemble:
 def run_detectors(spark: SparkSession, sf: str) -> DataFrame:
     """Three detectors and the majority vote over the events, as report rows."""
     ensemble = _ensemble()
-    return report_rows(ensemble.run(events(spark, sf)))
+    ensemble.run(events(spark, sf))
+    return ensemble.report()
+
+
+@query()
+def run_and_vote(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, windows and the vote over both, on daily values."""
+    ensemble = Ensemble([EllipticEnvelope(), WindowReconstruction(), IsolationForest(contamination=0.1)])
+    ensemble.run(daily(spark, sf))
+    return ensemble.vote()
 
 
 @query()

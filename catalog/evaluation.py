@@ -11,7 +11,7 @@ from catalog.preparation import BAND
 from catalog.registry import query
 from tideline.functions.labels import ANOMALY, convert, threshold_side, to_label
 from tideline.functions.scalars import four_decimals
-from tideline.operators.ensemble import align_windows, side_by_side, strategy_table, vote, vote_all
+from tideline.operators.ensemble import align_windows, side_by_side, strategy_table
 from tideline.operators.evaluate import (
     attach_truth,
     auc,
@@ -22,10 +22,11 @@ from tideline.operators.evaluate import (
     roc_curve,
     score_range,
 )
-from tideline.operators.profile import fliers
+from tideline.operators.profile import flag_fliers
 from tideline.operators.report import report_lines, report_rows
 from tideline.operators.rolling import rolling_band
 from tideline.operators.scaling import normalize
+from tideline.operators.votes import vote, vote_all
 from tideline.plans import freeze, quantiles
 from tideline.plans.attach import attach
 
@@ -170,11 +171,8 @@ def verdicts(spark: SparkSession, sf: str) -> DataFrame:
     inside = F.when(F.col("rolling_mean").isNotNull(), F.col("outside_band"))
     distance = F.abs(F.col("value") - F.col("rolling_mean")) / F.col("rolling_std")
     parts = [band.select(*keys, F.lit("band").alias("detector"), distance.alias("score"), to_label(inside).alias("label"))]
-    flagged = fliers(rows).select(*keys, F.lit(True).alias("_flier"))
-    boxed = rows.join(flagged, keys, "left")
-    parts.append(
-        boxed.select(*keys, F.lit("box").alias("detector"), F.col("value").alias("score"), to_label(F.col("_flier").isNotNull()).alias("label"))
-    )
+    boxed = flag_fliers(rows)
+    parts.append(boxed.select(*keys, F.lit("box").alias("detector"), F.col("value").alias("score"), to_label(F.col("flier")).alias("label")))
     scaled, _ = normalize(rows, ["value"])
     z = F.abs("value")
     parts.append(scaled.select(*keys, F.lit("sigma").alias("detector"), z.alias("score"), to_label(z > 2).alias("label")))

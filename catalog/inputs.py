@@ -36,6 +36,15 @@ DAILY = """d AS (
     FROM orders GROUP BY 1, 2)"""
 
 
+def daily_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logarithms of the daily values: their averages are no short decimals, which two engines
+    may round differently."""
+    return daily(spark, sf_dir).withColumn("value", F.ln("value"))
+
+
+DAILY_LOGS = DAILY.replace("d AS (", "r AS (", 1) + ",\n    d AS (SELECT s, ts, k, ln(v) AS v FROM r)"
+
+
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily series on every day from their first to their last, null where absent."""
     present = daily(spark, sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catalog.inputs import CALENDAR, DAILY, EVENTS, USERS, calendar, daily, events, table
+from catalog.inputs import CALENDAR, DAILY_LOGS, EVENTS, USERS, calendar, daily_logs, events, table
 from catalog.registry import query
 from tideline.operators.missing import handle_missing
 from tideline.operators.rolling import add_features, rolling_band, short_series, sliding_windows
@@ -99,18 +99,17 @@ def scale_inverse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {DAILY} SELECT s AS series_id, ts, v AS value,
-        CAST(avg(v) OVER w7 AS FLOAT) AS value_rolling_mean_7, CAST(stddev_samp(v) OVER w7 AS FLOAT) AS value_rolling_std_7,
-        CAST(avg(v) OVER w30 AS FLOAT) AS value_rolling_mean_30, CAST(stddev_samp(v) OVER w30 AS FLOAT) AS value_rolling_std_30,
-        lag(v, 1) OVER w AS value_lag_1, lag(v, 7) OVER w AS value_lag_7,
+    f"""WITH {DAILY_LOGS} SELECT s AS series_id, ts, round(v, 6) AS value,
+        round(avg(v) OVER w7, 6) AS value_rolling_mean_7, round(stddev_samp(v) OVER w7, 6) AS value_rolling_std_7,
+        round(avg(v) OVER w30, 6) AS value_rolling_mean_30, round(stddev_samp(v) OVER w30, 6) AS value_rolling_std_30,
+        round(lag(v, 1) OVER w, 6) AS value_lag_1, round(lag(v, 7) OVER w, 6) AS value_lag_7,
         CAST(isodow(ts) - 1 AS TINYINT) AS day_of_week, CAST(month(ts) AS TINYINT) AS month
     FROM d WINDOW w AS (PARTITION BY s ORDER BY ts),
         w7 AS (PARTITION BY s ORDER BY ts ROWS 6 PRECEDING), w30 AS (PARTITION BY s ORDER BY ts ROWS 29 PRECEDING)"""
 )
 def features_full(spark: SparkSession, sf: str) -> DataFrame:
-    out = add_features(daily(spark, sf), ["value"]).drop("row_key")
-    rolled = [c for c in out.columns if "_rolling_" in c]
-    return out.withColumns({c: F.col(c).cast("float") for c in rolled})
+    out = add_features(daily_logs(spark, sf), ["value"]).drop("row_key")
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith("value")})
 
 
 BAND = """b AS (SELECT *, m - 2 * sd AS lo, m + 2 * sd AS hi FROM (
@@ -120,14 +119,15 @@ BAND = """b AS (SELECT *, m - 2 * sd AS lo, m + 2 * sd AS hi FROM (
 
 
 @query(
-    f"""WITH {DAILY}, {BAND.format('d')} SELECT s AS series_id, ts, v AS value, CAST(m AS FLOAT) AS rolling_mean,
-        CAST(sd AS FLOAT) AS rolling_std, CAST(lo AS FLOAT) AS band_lower, CAST(hi AS FLOAT) AS band_upper,
-        coalesce(v < lo OR v > hi, false) AS outside_band
+    f"""WITH {DAILY_LOGS}, {BAND.format('d')} SELECT s AS series_id, ts, round(v, 6) AS value,
+        round(m, 6) AS rolling_mean, round(sd, 6) AS rolling_std, round(lo, 6) AS band_lower,
+        round(hi, 6) AS band_upper, coalesce(v < lo OR v > hi, false) AS outside_band
     FROM b"""
 )
 def rolling_bands(spark: SparkSession, sf: str) -> DataFrame:
-    out = rolling_band(daily(spark, sf)).drop("row_key")
-    return out.withColumns({c: F.col(c).cast("float") for c in ("rolling_mean", "rolling_std", "band_lower", "band_upper")})
+    out = rolling_band(daily_logs(spark, sf)).drop("row_key")
+    numbers = ("value", "rolling_mean", "rolling_std", "band_lower", "band_upper")
+    return out.withColumns({c: F.round(c, 6) for c in numbers})
 
 
 @query(

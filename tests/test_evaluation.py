@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tideline.functions.labels import convert, is_anomaly, outside, resolve_format, threshold_side
 from tideline.functions.scalars import four_decimals
-from tideline.operators.ensemble import align_windows, side_by_side, strategy_table, vote, vote_all
+from tideline.operators.ensemble import align_windows, side_by_side, strategy_table
 from tideline.operators.evaluate import auc, comparison_long, confusion, counts_per_detector, evaluate, roc_curve, score_range
 from tideline.operators.report import report_lines, report_rows, write_report
+from tideline.operators.votes import vote, vote_all
 
 
 @pytest.fixture

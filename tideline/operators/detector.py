@@ -58,6 +58,8 @@ class DetectorModel(ABC):
     """A fitted detector; holds its parameters as written tables or small arrays."""
 
     name: str
+    # Does the model score single rows and keep their other columns? Otherwise it scores windows.
+    keeps_rows = True
 
     @abstractmethod
     def transform(self, df: DataFrame) -> DataFrame:

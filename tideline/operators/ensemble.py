@@ -3,52 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tideline.functions.labels import resolve_format, to_label
-from tideline.operators.detector import Detector, DetectorModel
-from tideline.operators.evaluate import attach_truth, comparison_long, evaluate
+from tideline.functions.labels import ANOMALY, is_anomaly, resolve_format, to_label
+from tideline.operators.detector import OUTPUT, Detector, DetectorModel
+from tideline.operators.evaluate import comparison_long, evaluate
+from tideline.operators.report import report_rows
+from tideline.operators.votes import check_strategy, decide, vote_all
 from tideline.plans import freeze
 from tideline.plans.attach import join_null_safe
 from tideline.sources.series import KEY, SERIES, TS
 
-STRATEGIES = ("majority", "unanimous", "any")
-
-
-def _check(strategy: str) -> None:
-    if strategy not in STRATEGIES:
-        raise ValueError(f"unknown strategy {strategy!r}; choose from {sorted(STRATEGIES)}")
-
-
-def _decide(votes: Column, voters: Column, strategy: str) -> Column:
-    rule = {"majority": 2 * votes > voters, "unanimous": votes == voters, "any": votes > 0}[strategy]
-    return to_label(F.when(voters > 0, rule))
-
-
-def tally(results: DataFrame, keys: Sequence[str] = (SERIES, TS, KEY)) -> DataFrame:
-    """Votes for an anomaly and number of verdicts per row; a missing verdict is no vote."""
-    return results.groupBy(*keys).agg(F.count_if(F.col("label") == -1).alias("votes"), F.count("label").alias("voters"))
-
-
-def vote(results: DataFrame, strategy: str = "majority", keys: Sequence[str] = (SERIES, TS, KEY)) -> DataFrame:
-    _check(strategy)
-    return tally(results, keys).withColumn("label", _decide(F.col("votes"), F.col("voters"), strategy))
-
-
-def vote_all(results: DataFrame, keys: Sequence[str] = (SERIES, TS, KEY)) -> DataFrame:
-    """Every strategy's verdict from one tally: ``(keys, strategy, label)``."""
-    counted = tally(results, keys)
-    rows = F.array(
-        *[
-            F.struct(F.lit(s).alias("strategy"), _decide(F.col("votes"), F.col("voters"), s).alias("label"))
-            for s in STRATEGIES
-        ]
-    )
-    return counted.select(*keys, F.explode(rows).alias("_r")).select(*keys, "_r.*")
-
-
 def strategy_table(
     results: DataFrame, truth: str = "y_true", keys: Sequence[str] = (SERIES, TS, KEY), label_format: str = "auto"
 ) -> DataFrame:
@@ -77,6 +43,7 @@ class Ensemble:
         self.by, self.order = list(by), list(order)
         self.detectors: dict[str, Detector] = {}
         self.models: dict[str, DetectorModel] = {}
+        self.wide: DataFrame | None = None
         self.results: DataFrame | None = None
         self.metrics: DataFrame | None = None
         for d in detectors:
@@ -92,22 +59,37 @@ class Ensemble:
         return [*self.by, *self.order]
 
     def run(self, df: DataFrame, truth: str | None = None, label_format: str = "auto") -> DataFrame:
-        """Fit every detector, then score: one row per row and detector, plus the truth if given."""
+        """Fit every detector, then score: one row per row and detector, plus the truth if given.
+
+        Detectors that score single rows add their verdicts side by side in one pass; only those
+        that score windows are joined, on the row that ends the window.
+        """
         if not self.detectors:
             raise ValueError("no detectors registered")
-        columns = [*self.keys, "detector", "raw_score", "threshold", "score", "label"]
-        self.models = {n: d.fit(df) for n, d in self.detectors.items()}
-        parts = [m.transform(df).withColumn("detector", F.lit(n)).select(*columns) for n, m in self.models.items()]
-        results = reduce(DataFrame.unionByName, parts)
         if truth is not None:
             label_format = resolve_format(df, truth, label_format)
-            results = attach_truth(results, df, truth, label_format, self.keys)
-        self.results = freeze(results, "results")
+        self.models = {n: d.fit(df) for n, d in self.detectors.items()}
+        places = {n: f"_verdict{i}" for i, n in enumerate(self.models)}
+        wide = df
+        for name, model in sorted(self.models.items(), key=lambda item: not item[1].keeps_rows):
+            verdict = F.struct(*OUTPUT).alias(places[name])
+            if model.keeps_rows:
+                wide = model.transform(wide).select(*wide.columns, verdict)
+            else:
+                wide = align_windows(wide, model.transform(df).select(*self.keys, verdict), self.keys)
+        known = [] if truth is None else [to_label(is_anomaly(truth, label_format)).alias("y_true")]
+        self.wide = freeze(wide.select(*self.keys, *known, *places.values()), "verdicts")
+        self.results = self._long(places, [] if truth is None else ["y_true"])
         self.metrics = None
         if truth is not None:
             self.metrics = freeze(evaluate(self.results, score="score", label_format="pm1"), "metrics")
         return self.results
 
+    def _long(self, places: dict[str, str], known: list[str]) -> DataFrame:
+        entries = F.array(*[F.struct(F.lit(n).alias("detector"), F.col(c).alias("v")) for n, c in places.items()])
+        rows = self.wide.select(*self.keys, *known, F.explode(entries).alias("_e")).where("_e.v IS NOT NULL")
+        return rows.select(*self.keys, *known, "_e.detector", "_e.v.*")
+
     def _done(self) -> DataFrame:
         if self.results is None:
             raise ValueError("no results available; call run first")
@@ -119,5 +101,18 @@ class Ensemble:
             raise ValueError("no metrics available; run with ground truth first")
         return self.metrics if metric is None else comparison_long(self.metrics, metric=metric)
 
+    def tally(self) -> DataFrame:
+        """Votes and verdicts per row, read off the verdicts side by side."""
+        self._done()
+        labels = [F.col(f"_verdict{i}.label") for i in range(len(self.models))]
+        votes = sum((F.when(c == ANOMALY, 1).otherwise(0) for c in labels), F.lit(0).cast("long"))
+        voters = sum((F.when(c.isNotNull(), 1).otherwise(0) for c in labels), F.lit(0).cast("long"))
+        return self.wide.select(*self.keys, votes.alias("votes"), voters.alias("voters"))
+
     def vote(self, strategy: str = "majority") -> DataFrame:
-        return vote(self._done(), strategy, self.keys)
+        check_strategy(strategy)
+        return self.tally().withColumn("label", decide(F.col("votes"), F.col("voters"), strategy))
+
+    def report(self) -> DataFrame:
+        """Report rows of the run."""
+        return report_rows(self._done(), self.metrics, votes=self.tally())

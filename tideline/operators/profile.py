@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tideline.functions.labels import outside
 from tideline.plans import attach, freeze, quantiles
 from tideline.sources.series import SERIES, TRUTH, TS
 
@@ -97,13 +98,17 @@ def box(df: DataFrame, value: str = "value", by: Sequence[str] = (SERIES,), reac
     )
 
 
-def fliers(df: DataFrame, value: str = "value", by: Sequence[str] = (SERIES,), reach: float = 1.5) -> DataFrame:
-    """The rows outside the whiskers."""
+def flag_fliers(
+    df: DataFrame, value: str = "value", by: Sequence[str] = (SERIES,), reach: float = 1.5, name: str = "flier"
+) -> DataFrame:
+    """Add whether a row lies outside the whiskers."""
     by = list(by)
     q = quantiles(df, by, value, {"_q1": 0.25, "_q3": 0.75})
-    v, span = F.col(value), F.col("_q3") - F.col("_q1")
-    return (
-        attach(df, q, by)
-        .where((v < F.col("_q1") - span * reach) | (v > F.col("_q3") + span * reach))
-        .drop("_q1", "_q3")
-    )
+    span = (F.col("_q3") - F.col("_q1")) * reach
+    flag = outside(value, F.col("_q1") - span, F.col("_q3") + span)
+    return attach(df, q, by, how="left").withColumn(name, flag).drop("_q1", "_q3")
+
+
+def fliers(df: DataFrame, value: str = "value", by: Sequence[str] = (SERIES,), reach: float = 1.5) -> DataFrame:
+    """The rows outside the whiskers."""
+    return flag_fliers(df, value, by, reach, "_flier").where("_flier").drop("_flier")

@@ -91,6 +91,7 @@ class WindowReconstructionModel(DetectorModel):
     spec: WindowReconstruction
     models: DataFrame
     thresholds: DataFrame | None
+    keeps_rows = False
 
     def errors(self, df: DataFrame) -> DataFrame:
         size = 8 * (self.spec.n_components + 1) * self.spec.window_size * max(1, len(self.spec.inputs)) + 64

@@ -7,17 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.functions.scalars import four_decimals
-from tideline.operators.ensemble import tally
 from tideline.operators.evaluate import METRICS, counts_per_detector
+from tideline.operators.votes import tally
 from tideline.sources.series import KEY, SERIES, TS
 
 
 def report_rows(
-    results: DataFrame, metrics: DataFrame | None = None, keys: Sequence[str] = (SERIES, TS, KEY)
+    results: DataFrame,
+    metrics: DataFrame | None = None,
+    keys: Sequence[str] = (SERIES, TS, KEY),
+    votes: DataFrame | None = None,
 ) -> DataFrame:
     """Everything the report states, as ``(section, item, entry, value)``.
 
-    Sections: ``summary``, ``metrics`` and ``details`` per detector, ``ensemble``.
+    Sections: ``summary``, ``metrics`` and ``details`` per detector, ``ensemble``. ``votes`` is the
+    tally of the results where the caller has it already.
     """
     per_detector = counts_per_detector(results)
 
@@ -42,9 +46,10 @@ def report_rows(
     summary = run.select(
         F.explode(entries(F.lit("summary"), F.lit("all"), detectors_run=F.col("detectors"), total_points=F.col("points"))).alias("_r")
     ).select("_r.*")
-    votes, voters = F.col("votes"), F.col("voters")
-    agreed = tally(results, keys).agg(
-        F.count_if(2 * votes > voters).alias("majority"), F.count_if((votes == voters) & (voters > 0)).alias("unanimous")
+    n_votes, n_voters = F.col("votes"), F.col("voters")
+    agreed = (tally(results, keys) if votes is None else votes).agg(
+        F.count_if(2 * n_votes > n_voters).alias("majority"),
+        F.count_if((n_votes == n_voters) & (n_voters > 0)).alias("unanimous"),
     )
     ensemble = agreed.select(
         F.explode(entries(F.lit("ensemble"), F.lit("all"), majority=F.col("majority"), unanimous=F.col("unanimous"))).alias("_r")
