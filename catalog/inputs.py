@@ -37,8 +37,8 @@ DAILY = """d AS (
 
 
 def daily_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logarithms of the daily values: their averages are no short decimals, which two engines
-    may round differently."""
+    """Logarithms of the daily values, whose averages are no short decimals that two engines
+    might round differently."""
     return daily(spark, sf_dir).withColumn("value", F.ln("value"))
 
 
@@ -62,6 +62,9 @@ CALENDAR = DAILY + """,
     LEFT JOIN d ON d.s = g.s AND d.ts = g.ts)"""
 
 
+CALENDAR_LOGS = CALENDAR.replace(DAILY, DAILY_LOGS)
+
+
 def documents_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents under two simple detectors: unusually long, and unusually short, text."""
     rows = table(spark, sf_dir, "labels").join(

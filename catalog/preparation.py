@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catalog.inputs import CALENDAR, DAILY_LOGS, EVENTS, USERS, calendar, daily_logs, events, table
+from catalog.inputs import CALENDAR_LOGS, DAILY_LOGS, EVENTS, USERS, calendar, daily_logs, events, table
 from catalog.registry import query
 from tideline.operators.missing import handle_missing
 from tideline.operators.rolling import add_features, rolling_band, short_series, sliding_windows
@@ -13,14 +13,15 @@ from tideline.operators.scaling import Scaler, normalize
 
 def _filled(strategy: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        out = handle_missing(calendar(spark, sf), ["value"], strategy)
+        logs = calendar(spark, sf).withColumn("value", F.ln("value"))
+        out = handle_missing(logs, ["value"], strategy)
         return out.select("series_id", "ts", F.round("value", 6).alias("value"))
 
     return run
 
 
 # The neighbouring present values of every day, found by joins on running counts.
-_AROUND = f"""WITH {CALENDAR},
+_AROUND = f"""WITH {CALENDAR_LOGS},
     f AS (SELECT *, count(v) OVER (PARTITION BY s ORDER BY ts) AS up,
         count(v) OVER (PARTITION BY s ORDER BY ts DESC) AS down FROM c),
     p AS (SELECT s, up, ts AS pt, v AS pv FROM f WHERE v IS NOT NULL),
@@ -49,7 +50,7 @@ def fill_bfill(spark: SparkSession, sf: str) -> DataFrame:
     return _filled("bfill")(spark, sf)
 
 
-@query(f"WITH {CALENDAR} SELECT s AS series_id, ts, round(v, 6) AS value FROM c WHERE v IS NOT NULL")
+@query(f"WITH {CALENDAR_LOGS} SELECT s AS series_id, ts, round(v, 6) AS value FROM c WHERE v IS NOT NULL")
 def fill_drop(spark: SparkSession, sf: str) -> DataFrame:
     return _filled("drop")(spark, sf)
 

@@ -17,7 +17,7 @@ def noisy(series):
 
 
 @pytest.mark.parametrize("periods", [0, 5])
-def test_length_and_interval(limits, noisy, periods):
+def test_length_and_interval(noisy, periods):
     out = Forecaster().fit(noisy).predict(noisy, periods)
     assert out.columns == COLUMNS
     rows = out.toPandas().sort_values("ds")
@@ -27,7 +27,7 @@ def test_length_and_interval(limits, noisy, periods):
 
 
 @pytest.mark.parametrize("mode", ["additive", "multiplicative"])
-def test_outliers_are_flagged(limits, series, mode):
+def test_outliers_are_flagged(series, mode):
     x = np.random.default_rng(1).normal(50, 2, 100)
     x[50], x[75] = 500, -400
     out = Forecaster(seasonality_mode=mode).detect_anomalies(series({"s": x.tolist()})).orderBy("ts").toPandas()
