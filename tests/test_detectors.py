@@ -9,7 +9,7 @@ from tideline.functions.chi2 import chi2_quantile
 from tideline.operators.detector import Detector, DetectorModel, with_label
 from tideline.operators.ensemble import Ensemble
 from tideline.operators.envelope import EllipticEnvelope
-from tideline.operators.isolation import IsolationForest, mean_path
+from tideline.operators.isolation import IsolationForest, forest_scores, grow_tree, mean_path
 from tideline.operators.lof import LocalOutlierFactor
 from tideline.operators.neighbours import nearest
 from tideline.operators.recon import WindowReconstruction
@@ -72,6 +72,17 @@ def test_isolation_forest_feature_share(mixed):
     assert model.trees.count() == 10 and used.count() == 10
 
 
+def test_forest_steps_equal_descents():
+    rng = np.random.default_rng(0)
+    x = np.round(rng.normal(size=(256, 1)), 2)
+    trees = [grow_tree(x, rng, 1.0) for _ in range(30)]
+    model = {k: [t[k] for t in trees] for k in trees[0]}
+    asked = np.concatenate([np.repeat(x, 10, axis=0), [[-9.0], [9.0]], np.unique(np.concatenate(model["cut"]))[:-1, None]])
+    few = np.concatenate([forest_scores(part, dict(model)) for part in np.array_split(asked, 50)])
+    assert (few == forest_scores(asked, model)).all()
+    assert "_steps" in model
+
+
 def test_mean_path():
     assert mean_path(1) == 0 and mean_path(2) == 1
     assert mean_path(256) == pytest.approx(10.2448, abs=1e-4)

@@ -198,8 +198,11 @@ def _score(depth: np.ndarray, model: dict[str, Any]) -> np.ndarray:
 
 
 def forest_scores(x: np.ndarray, model: dict[str, Any]) -> np.ndarray:
-    """Scores of vectors. Of single numbers the score is a step function, looked up by value."""
-    if x.shape[1] > 1:
+    """Scores of vectors. Of single numbers the score is a step function, looked up by value.
+
+    Making the function costs about as much as scoring some thousand numbers directly.
+    """
+    if x.shape[1] > 1 or ("_steps" not in model and len(x) < 2000):
         return _score(_depths(x, model), model)
     if "_steps" not in model:
         model["_steps"] = _steps(model)

@@ -13,8 +13,9 @@ _DEFAULTS = {
     "maxChunks": 100_000,
     # A parameter table is broadcast up to this many bytes; beyond, the join is salted.
     "broadcastBytes": 64 * 1024 * 1024,
-    # Copies of each parameter row in a salted join.
+    # Copies of each parameter row in a salted join, and the most rows to repeat like that.
     "salts": 16,
+    "saltedRows": 50_000_000,
     # Rows of one block in blocked neighbour search and in per-block model application.
     "blockRows": 4_096,
 }
