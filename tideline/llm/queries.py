@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import bpe, html, tokens
+from tideline.llm import bpe, html, mixing, sharding, tokens
+from tideline.llm.hashing import SPAN, number_sql, row_key_sql
 from tideline.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -17,6 +18,72 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(32)], 3203
+
+
+@query
+def op4_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents"), sharding.lookup_table(spark, SHARDS, SLOTS), SLOTS)
+    return placed.select("doc_id", "slot", "shard")
+
+
+# One row per probe: whose turn it is, where it looks, and whether that was free.
+SQL["op4_shard_lookup"] = f"""
+WITH RECURSIVE shards AS (
+    SELECT i, 'shard-' || lpad(CAST(i AS VARCHAR), 2, '0') AS name FROM range({len(SHARDS)}) t(i)),
+orders AS (
+    SELECT list({number_sql("'offset'", "name")} % {SLOTS} ORDER BY i) AS offsets,
+           list({number_sql("'skip'", "name")} % {SLOTS - 1} + 1 ORDER BY i) AS skips FROM shards),
+probes AS (
+    SELECT 0 AS turn, list_transform(range({len(SHARDS)}), lambda x: 0) AS seen,
+           list_transform(range({SLOTS}), lambda x: false) AS taken, CAST(NULL AS BIGINT) AS claimed
+    UNION ALL
+    SELECT turn + CASE WHEN taken[spot + 1] THEN 0 ELSE 1 END,
+           list_transform(seen, lambda v, k: CASE WHEN k = turn % {len(SHARDS)} + 1 THEN v + 1 ELSE v END),
+           CASE WHEN taken[spot + 1] THEN taken ELSE taken[:spot] || [true] || taken[spot + 2:] END,
+           CASE WHEN taken[spot + 1] THEN NULL ELSE spot END
+    FROM (SELECT turn, seen, taken,
+                 (offsets[turn % {len(SHARDS)} + 1] + seen[turn % {len(SHARDS)} + 1] * skips[turn % {len(SHARDS)} + 1]) % {SLOTS} AS spot
+          FROM probes, orders WHERE turn < {SLOTS})),
+owners AS (
+    SELECT claimed AS slot, name AS shard FROM probes JOIN shards ON i = (turn - 1) % {len(SHARDS)} WHERE claimed IS NOT NULL)
+SELECT doc_id, CAST(slot AS INT) AS slot, shard
+FROM documents JOIN owners ON slot = {number_sql(row_key_sql("doc_id", "text"))} % {SLOTS}"""
+
+
+MIX_SEED, MIX_ALPHA = 17, 0.5
+
+
+@query
+def op6_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), seed=MIX_SEED, alpha=MIX_ALPHA)
+
+
+SQL["op6_poisson_mix"] = f"""
+WITH sizes AS (
+    SELECT source, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS size FROM documents GROUP BY source),
+weighed AS (SELECT *, pow(CAST(size AS DOUBLE), {MIX_ALPHA}) AS weight FROM sizes),
+rates AS (
+    SELECT source, CASE WHEN size = 0 THEN 1.0 ELSE
+        weight / (sum(CASE WHEN size > 0 THEN weight END) OVER ()) * CAST(sum(size) OVER () AS DOUBLE) / size END AS rate
+    FROM weighed),
+steps AS (
+    SELECT source, rate, unnest(range(CAST(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1)) AS k FROM rates),
+terms AS (
+    SELECT source, k, exp(k * ln(rate) - rate
+        - sum(CASE WHEN k > 0 THEN ln(CAST(k AS DOUBLE)) ELSE 0.0 END) OVER (PARTITION BY source ORDER BY k)) AS p
+    FROM steps WHERE rate > 0),
+cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS p FROM terms),
+lists AS (SELECT source, list(p) AS ps FROM cdf GROUP BY source),
+drawn AS (
+    SELECT d.*, len(list_filter(ps, lambda p: p <=
+        {number_sql(f"'{MIX_SEED}'", "'copies'", row_key_sql("doc_id", "text"))} / CAST({SPAN} AS DOUBLE))) AS n
+    FROM documents d JOIN lists l ON d.source IS NOT DISTINCT FROM l.source),
+copies AS (SELECT * EXCLUDE (n), CAST(unnest(range(1, n + 1)) AS INT) AS copy FROM drawn)
+SELECT *, {number_sql(f"'{MIX_SEED}'", "'order'", row_key_sql("doc_id", "text"), "CAST(copy AS VARCHAR)")} AS mix_key
+FROM copies"""
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counter = tokens.share(spark, public_tokenizers.path("word_bpe_49k.json"))
