@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import bpe, html, mixing, sharding, tokens
+from tideline.llm import bpe, html, mixing, sharding, simhash, tokens
 from tideline.llm.hashing import SPAN, number_sql, row_key_sql
 from tideline.llm.registry import QUERIES, SQL, query, table
+from tideline.plans.scratch import freeze
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -51,6 +52,13 @@ SELECT doc_id, CAST(slot AS INT) AS slot, shard
 FROM documents JOIN owners ON slot = {number_sql(row_key_sql("doc_id", "text"))} % {SLOTS}"""
 
 
+@query
+def op5_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = simhash.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = simhash.near_components(freeze(prints.select("doc_id", "simhash"), "rows"), radius=3)
+    return found.select("doc_id", simhash.as_hex(F.col("simhash")).alias("fingerprint"), "component_id")
+
+
 MIX_SEED, MIX_ALPHA = 17, 0.5
 
 
