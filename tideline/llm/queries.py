@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import bpe, html, mixing, sharding, simhash, tokens
+from tideline.llm import bpe, html, mixing, quality, sharding, simhash, tokens
 from tideline.llm.hashing import SPAN, number_sql, row_key_sql
 from tideline.llm.registry import QUERIES, SQL, query, table
 from tideline.plans.scratch import freeze
@@ -92,6 +92,72 @@ SELECT *, {number_sql(f"'{MIX_SEED}'", "'order'", row_key_sql("doc_id", "text"),
 FROM copies"""
 
 
+RULES = quality.Rules()
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    counted = freeze(quality.features(documents, RULES).drop("text"), "counts")
+    return quality.judge(counted, quality.references(counted, RULES), RULES).drop("lang")
+
+
+def _quality_sql() -> str:
+    words = " ".join(f"WHEN lang = '{name}' THEN {list(common)}" for name, common in RULES.common_words.items())
+    classes = ", ".join(
+        f"length(t) - length(regexp_replace(t, '[{c}]+', '', 'g'))" for c in (x.replace("'", "''") for x in quality.CLASSES)
+    )
+    width, count = max(map(len, RULES.common_words.values())), len(quality.CLASSES)
+
+    def jsd(p: str, q: str) -> str:
+        def part(a: str, b: str) -> str:
+            return f"CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0.0 END"
+
+        a, b = f"({p}[i] / CAST(list_sum({p}) AS DOUBLE))", f"({q}[i] / CAST(list_sum({q}) AS DOUBLE))"
+        terms = f"list_transform(range(1, len({p}) + 1), lambda i: ({part(a, b)} + {part(b, a)}) / 2)"
+        return f"round(CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN list_reduce({terms}, lambda x, y: x + y) END, 6)"
+
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (
+    SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+        CASE {words} END AS common,
+        list_filter(string_split(lower(regexp_replace(t, '{quality.BETWEEN}', ' ', 'g')), ' '), lambda x: x <> '') AS parts
+    FROM d),
+wins AS (
+    SELECT rid, unnest(range(1, len(words) - 3)) AS i, unnest(list_transform(range(1, len(words) - 3),
+        lambda i: array_to_string(words[i:i + 4], ' '))) AS g FROM w WHERE len(words) >= 5),
+twice AS (SELECT rid, i FROM wins QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY rid),
+f AS (
+    SELECT w.rid, doc_id, lang, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+        length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+        length(t) AS chars, [{classes}] AS cs,
+        CASE WHEN common IS NOT NULL THEN len(parts) END AS compared,
+        list_transform(common, lambda x: len(list_filter(parts, lambda y: y = x))) AS ws
+    FROM w LEFT JOIN covered c ON c.rid = w.rid),
+g AS (
+    SELECT *, list_concat(cs, [chars - list_sum(cs)]) AS doc_classes,
+        CASE WHEN ws IS NOT NULL THEN list_concat(ws, [compared - list_sum(ws)]) END AS doc_words FROM f),
+refs AS (
+    SELECT lang AS l, [{", ".join(f"sum(doc_classes[{i + 1}])" for i in range(count + 1))}] AS ref_classes,
+        [{", ".join(f"sum(doc_words[{i + 1}])" for i in range(width + 1))}] AS ref_words
+    FROM g WHERE lang IS NOT NULL GROUP BY lang),
+s AS (
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+        n_words < {RULES.min_words} OR 100 * n_repeat_words > {RULES.max_repeat_percent} * n_words AS base_failed,
+        CASE WHEN chars >= {RULES.min_chars} THEN {jsd("doc_classes", "ref_classes")} END AS class_divergence,
+        CASE WHEN compared >= {RULES.min_compared} THEN {jsd("doc_words", "ref_words")} END AS word_divergence
+    FROM g LEFT JOIN refs ON l = lang)
+SELECT *, NOT base_failed AND coalesce(class_divergence, 0) <= {RULES.max_class_divergence}
+    AND coalesce(word_divergence, 0) <= {RULES.max_word_divergence} AS kept FROM s"""
+
+
+SQL["op7_quality_rules"] = _quality_sql()
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counter = tokens.share(spark, public_tokenizers.path("word_bpe_49k.json"))
