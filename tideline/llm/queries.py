@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import bpe, html, mixing, quality, sharding, simhash, tokens
+from tideline.llm import bpe, html, merkle, mixing, quality, sharding, simhash, tokens
 from tideline.llm.hashing import SPAN, number_sql, row_key_sql
 from tideline.llm.registry import QUERIES, SQL, query, table
 from tideline.plans.scratch import freeze
@@ -19,6 +19,51 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query
+def op2_merkle_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = merkle.half_replaced(table(spark, sf_dir, "documents"))
+    places = merkle.changed(F.col("tree"), F.col("edited_tree"))
+    return pairs.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        merkle.root(F.col("tree")).alias("fingerprint"),
+        merkle.root(F.col("edited_tree")).alias("edited_fingerprint"),
+        merkle.likeness(F.col("tree.clauses"), F.col("edited_tree.clauses")).alias("near_edited"),
+        merkle.likeness(F.col("tree.clauses"), F.col("next_clauses")).alias("near_next"),
+        F.get(places, F.lit(0)).alias("_first"),
+    ).select("*", F.col("_first.section").alias("changed_section"), F.col("_first.paragraph").alias("changed_paragraph")).drop("_first")
+
+
+SQL["op2_merkle_tree"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+n AS (
+    SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nt FROM d
+    WINDOW w AS (ORDER BY doc_id DESC NULLS LAST)),
+e AS (
+    SELECT *, substring(t, 1, length(t) - length(t) // 2) || substring(nt, 1, length(t) // 2) AS et FROM n),
+trees AS (
+    SELECT *,
+        list_transform(string_split(t, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: sha256(p))) AS ta,
+        list_transform(string_split(et, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: sha256(p))) AS tb,
+        list_distinct(regexp_extract_all(t, '{merkle.CLAUSE}')) AS ca,
+        list_distinct(regexp_extract_all(et, '{merkle.CLAUSE}')) AS cb,
+        list_distinct(regexp_extract_all(nt, '{merkle.CLAUSE}')) AS cn
+    FROM e),
+sections AS (
+    SELECT rid, min(struct_pack(s := s, p := p)) AS place
+    FROM (SELECT rid, s, unnest(range(1, greatest(coalesce(len(ta[s]), 0), coalesce(len(tb[s]), 0)) + 1)) AS p, ta[s] AS x, tb[s] AS y
+          FROM (SELECT rid, unnest(range(1, greatest(len(ta), len(tb)) + 1)) AS s, ta, tb FROM trees))
+    WHERE x[p] IS DISTINCT FROM y[p] GROUP BY rid)
+SELECT doc_id, length(t) AS n_chars, sha256(et) AS edited_sha256,
+    sha256(array_to_string(list_transform(ta, lambda s: sha256(array_to_string(s, ''))), '')) AS fingerprint,
+    sha256(array_to_string(list_transform(tb, lambda s: sha256(array_to_string(s, ''))), '')) AS edited_fingerprint,
+    CASE WHEN len(ca) + len(cb) > 0 THEN 2.0 * len(list_intersect(ca, cb)) / (len(ca) + len(cb)) ELSE 1.0 END AS near_edited,
+    CASE WHEN len(ca) + len(cn) > 0 THEN 2.0 * len(list_intersect(ca, cn)) / (len(ca) + len(cn)) ELSE 1.0 END AS near_next,
+    CAST(place.s AS INT) AS changed_section, CAST(place.p AS INT) AS changed_paragraph
+FROM trees LEFT JOIN sections USING (rid)"""
+
+
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(32)], 3203
 
 
