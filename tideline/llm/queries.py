@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import bpe, html, merkle, mixing, quality, sharding, simhash, tokens
+from tideline.llm import bpe, html, licences, merkle, mixing, quality, sharding, simhash, tokens
 from tideline.llm.hashing import SPAN, number_sql, row_key_sql
 from tideline.llm.registry import QUERIES, SQL, query, table
 from tideline.plans.scratch import freeze
@@ -215,6 +215,57 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(documents).select("doc_id", *licences.summary(F.col("hits")))
+
+
+def _licence_sql(threshold: float = 0.8) -> str:
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    rows = ", ".join(
+        f"({-k}, {quoted(name)}, {quoted(text)})"
+        for k, (name, text) in enumerate((n, t) for n, texts in licences.TEMPLATES.items() for t in texts)
+    )
+    return rf"""
+WITH plain AS (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_replace(lower(coalesce(text, '')), '{licences.GAP}', ' ', 'g') AS t FROM documents),
+blocks AS (SELECT *, regexp_split_to_array(t, '
+ *
+[ 
+]*') AS bs FROM plain),
+units AS (
+    SELECT rid, unnest(string_split(t, chr(10))) AS u FROM plain
+    UNION ALL SELECT rid, u FROM (SELECT rid, unnest(bs) AS u FROM blocks) WHERE contains(u, chr(10))
+    UNION ALL SELECT rid, t FROM blocks WHERE len(bs) > 1),
+words AS (
+    SELECT row_number() OVER () AS uid, rid, list_filter(regexp_split_to_array(u, '[ 
+]+'), lambda x: x <> '') AS w FROM units),
+grams AS (
+    SELECT uid, rid, len(w) - 1 AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+    FROM words WHERE len(w) > 1),
+counted AS (SELECT uid, rid, n, g, count(*) AS c FROM grams GROUP BY ALL),
+templates AS (
+    SELECT rank, licence, list_filter(string_split(regexp_replace(lower(text), '{licences.GAP}', ' ', 'g'), ' '), lambda x: x <> '') AS w
+    FROM (VALUES {rows}) v(rank, licence, text)),
+known AS (
+    SELECT rank, licence, len(w) - 1 AS m, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM templates),
+known_counted AS (SELECT rank, licence, m, g, count(*) AS c FROM known GROUP BY ALL),
+scores AS (
+    SELECT uid, rid, rank, licence, 2.0 * CAST(sum(least(a.c, b.c)) AS INT) / (n + m) AS score
+    FROM counted a JOIN known_counted b USING (g) GROUP BY uid, rid, rank, licence, n, m),
+best AS (
+    SELECT rid, uid, max(struct_pack(score := score, rank := rank, licence := licence)) AS b
+    FROM scores WHERE score >= {threshold} GROUP BY rid, uid),
+docs AS (SELECT rid, max(b) AS b, count(*) AS n_hits FROM best GROUP BY rid)
+SELECT doc_id, b.licence AS licence, b.score AS score, coalesce(n_hits, 0) AS n_hits FROM plain LEFT JOIN docs USING (rid)"""
+
+
+SQL["op9_licence_scan"] = _licence_sql()
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
