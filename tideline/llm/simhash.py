@@ -143,9 +143,14 @@ def near_links(distinct: DataFrame, radius: int = 3, bucket_rows: int = 4096) ->
     found: list[DataFrame] = []
     while True:
         # Which masks follow which: bounded by the radius and the level, not by the data.
-        masks = [(_signed(a), _signed(m)) for a in wide for m in cover(a, radius) if m != a]
-        follow = F.broadcast(spark.createDataFrame(masks, "agreed bigint, mask bigint"))
-        spread = rows.join(follow, "agreed").select(
+        masks = {_signed(a): [_signed(m) for m in cover(a, radius) if m != a] for a in wide}
+        if wide == [0]:
+            masked = rows.select("simhash", F.explode(F.array(*map(F.lit, masks[0]))).alias("mask"))
+        else:
+            # At most 15 to the power of the level rows for a radius of 3.
+            pairs = [(a, m) for a, ms in masks.items() for m in ms]
+            masked = rows.join(F.broadcast(spark.createDataFrame(pairs, "agreed bigint, mask bigint")), "agreed")
+        spread = masked.select(
             F.col("mask").alias("agreed"), F.col("simhash").bitwiseAND(F.col("mask")).alias("key"), "simhash"
         )
         shared = spread.groupBy("agreed", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
