@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog.inputs import DAILY, EVENTS, daily, events, table
 from catalog.registry import query
 from tideline.operators.rolling import first_rows, row_position
-from tideline.plans import scratch_root
+from tideline.plans import scratch_path
 from tideline.sources.series import (
     detect_analysis_column,
     detect_date_column,
@@ -110,7 +109,7 @@ def validation_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_type AS series_id, ts, event_id AS row_key, value, CAST(user_id AS DOUBLE) AS user_id FROM events")
 def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{scratch_root(spark)}/csv-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "csv")
     rows = table(spark, sf, "events").select(F.col("ts").alias("date"), "value", "event_id", "event_type", "user_id")
     rows.write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
     out = read_csv(spark, path, series="event_type", key="event_id", extra={"event_id": "bigint"})

@@ -17,6 +17,7 @@ def local_session(cpus: int | None = None, name: str = "tideline", **conf: str)
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", os.environ.get("SCRATCH_DIR", "/tmp/tideline-scratch"))
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

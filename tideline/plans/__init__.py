@@ -3,7 +3,7 @@
 from tideline.plans.attach import attach
 from tideline.plans.ordered import LastSeen, NextSeen, Running, framed, overlap, scan, with_position
 from tideline.plans.quantiles import quantiles
-from tideline.plans.scratch import freeze, rows_of, scratch_root
+from tideline.plans.scratch import freeze, rows_of, scratch_path, scratch_root, scratch_scope
 
 __all__ = [
     "LastSeen",
@@ -16,6 +16,8 @@ __all__ = [
     "quantiles",
     "rows_of",
     "scan",
+    "scratch_path",
     "scratch_root",
+    "scratch_scope",
     "with_position",
 ]

@@ -2,26 +2,54 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-_CONF = "spark.checkpoint.dir"
-_local_roots: dict[str, str] = {}
+_registered: set[str] = set()
+_scopes: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only on a local master."""
-    named = spark.conf.get(_CONF, None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_CONF} to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="tideline-")
-    return _local_roots[app]
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one in the warehouse.
+
+    Both are shared by all executors; a machine's own temporary folder is never used.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named.rstrip("/") if named else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tideline"
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path for this application's tables, which go when its driver ends."""
+    folder = f"{scratch_root(spark)}/tideline/{spark.sparkContext.applicationId}"
+    if folder not in _registered:
+        files, place = _file_system(spark, folder)
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        _registered.add(folder)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that are written in the block when it ends; for results used up by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            files, place = _file_system(spark, path)
+            files.delete(place, True)
 
 
 def freeze(df: DataFrame, label: str = "table") -> DataFrame:
@@ -31,7 +59,7 @@ def freeze(df: DataFrame, label: str = "table") -> DataFrame:
     the optimizer the real size of what follows. The rows are counted on the way.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tideline/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     frozen = spark.read.schema(df.schema).parquet(path)

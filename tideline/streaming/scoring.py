@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tideline.operators.detector import DetectorModel
-from tideline.plans import scratch_root
+from tideline.plans import scratch_path, scratch_scope
+
+_BATCH = "tideline_batch"
 
 
 def start_scoring(stream: DataFrame, model: DetectorModel, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -21,7 +21,8 @@ def start_scoring(stream: DataFrame, model: DetectorModel, path: str, checkpoint
         raise ValueError("windows reach across batches; score them over the stored rows")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        model.transform(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        with scratch_scope(batch.sparkSession):
+            model.transform(batch).write.mode("overwrite").parquet(f"{path}/{_BATCH}={batch_id}")
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return query.trigger(**(trigger or {"availableNow": True})).start()
@@ -29,6 +30,6 @@ def start_scoring(stream: DataFrame, model: DetectorModel, path: str, checkpoint
 
 def score_stream(stream: DataFrame, model: DetectorModel) -> DataFrame:
     """Score all that is available now and return the scored rows."""
-    folder = f"{scratch_root(stream.sparkSession)}/tideline/stream-{uuid.uuid4().hex}"
+    folder = scratch_path(stream.sparkSession, "stream")
     start_scoring(stream, model, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
-    return stream.sparkSession.read.parquet(f"{folder}/rows").drop("batch")
+    return stream.sparkSession.read.parquet(f"{folder}/rows").drop(_BATCH)
