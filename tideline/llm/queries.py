@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import bpe, html, licences, merkle, mixing, quality, sharding, simhash, tokens
+from tideline.llm import bpe, chunks, html, licences, merkle, mixing, quality, sharding, simhash, tokens
 from tideline.llm.hashing import SPAN, number_sql, row_key_sql
 from tideline.llm.registry import QUERIES, SQL, query, table
 from tideline.plans.scratch import freeze
@@ -64,6 +64,13 @@ SELECT doc_id, length(t) AS n_chars, sha256(et) AS edited_sha256,
 FROM trees LEFT JOIN sections USING (rid)"""
 
 
+@query
+def op3_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = chunks.dedup(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    words = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["words"])
+    return cut.select("doc_id", "source", "text", F.length("text").cast("long").alias("n_chars"), "spans", words.alias("n_cut_words"))
+
+
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(32)], 3203
 
 
