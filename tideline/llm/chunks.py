@@ -13,13 +13,13 @@ that two texts share by chance are left alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tideline.plans.attach import attach
 from tideline.plans.scratch import freeze
@@ -28,7 +28,9 @@ WINDOW = 16
 # A random number for each byte.
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([i]), 7) for i in range(256)], dtype=np.uint64)
 _WHITE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
-_ROWS = "_id bigint, _hash bigint, number int, start int, stop int, words int, digest bigint, again boolean"
+_ROWS = "digest bigint, _id bigint, place bigint"
+# Chunks held by over one part in so many of all repeated ones are spread over so many salts.
+_HOT, _SALTS = 10_000, 64
 
 
 def gear(raw: np.ndarray) -> np.ndarray:
@@ -57,61 +59,92 @@ def cut(raw: bytes, mean_words: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return ends, np.diff(np.concatenate([[0], np.cumsum(begins)[ends - 1]]))
 
 
+def _pieces(text: str | None, mean_words: int) -> tuple[bytes, np.ndarray, np.ndarray, list[int]]:
+    """The UTF-8 text, its chunk ends, words per chunk and digests."""
+    raw = text.encode() if text else b""
+    ends, words = cut(raw, mean_words)
+    edges = [0, *ends.tolist()]
+    return raw, ends, words, [xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(edges, edges[1:])]
+
+
 def chunk_rows(df: DataFrame, text: str, mean_words: int) -> DataFrame:
-    """One row per chunk of ``_id``, ``_hash``, ``text``: its place in bytes, words and digest."""
+    """One row per chunk of ``_id``, ``_mark``, ``text``: its digest and where it is.
+
+    ``place`` has the document's 32-bit mark above and the chunk's number below, so that three
+    numbers are all that has to be moved of a chunk.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
-            ids, hashes, texts = (batch.column(i) for i in range(3))
+            ids, marks, texts = (batch.column(i) for i in range(3))
             at = 0
             while at < len(batch):
-                parts, size = [], 0
+                rows, digests, size = [], [], 0
                 # Bounded pieces, whatever the texts' lengths.
                 while at < len(batch) and size < 4_000_000:
-                    value = texts[at].as_py()
-                    raw = value.encode() if value else b""
-                    ends, words = cut(raw, mean_words)
-                    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                    marks = [digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
-                    first = len(set(marks)) == len(marks)
-                    seen: set[int] = set()
-                    again = [False] * len(marks) if first else [m in seen or seen.add(m) is not None for m in marks]
-                    parts.append((at, starts, ends, words, marks, again))
+                    raw, _, _, found = _pieces(texts[at].as_py(), mean_words)
+                    rows.append((at, len(found)))
+                    digests.append(np.array(found, dtype=np.uint64).view(np.int64))
                     size += len(raw)
                     at += 1
-                counts = [len(p[1]) for p in parts]
-                row = pa.array(np.repeat([p[0] for p in parts], counts))
+                counts = [n for _, n in rows]
+                row = pa.array(np.repeat([r for r, _ in rows], counts))
+                numbers = np.concatenate([np.arange(n) for n in counts]).astype(np.int64)
+                place = (marks.take(row).to_numpy().astype(np.int64) << 32) | numbers
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(row),
-                        hashes.take(row),
-                        pa.array(np.concatenate([np.arange(c) for c in counts]).astype(np.int32)),
-                        pa.array(np.concatenate([p[1] for p in parts]).astype(np.int32)),
-                        pa.array(np.concatenate([p[2] for p in parts]).astype(np.int32)),
-                        pa.array(np.concatenate([p[3] for p in parts]).astype(np.int32)),
-                        pa.array(np.array([m for p in parts for m in p[4]], dtype=np.uint64).view(np.int64)),
-                        pa.array([a for p in parts for a in p[5]], type=pa.bool_()),
-                    ],
-                    names=["_id", "_hash", "number", "start", "stop", "words", "digest", "again"],
+                    [pa.array(np.concatenate(digests)), ids.take(row), pa.array(place)], names=["digest", "_id", "place"]
                 )
 
-    return df.select("_id", "_hash", F.col(text)).mapInArrow(run, _ROWS)
+    return df.select("_id", "_mark", F.col(text)).mapInArrow(run, _ROWS)
+
 
+def held_elsewhere(df: DataFrame, text: str, mean_words: int) -> DataFrame:
+    """``_id``, ``_mark`` and ``numbers``: the chunks of a text that a document of smaller id has.
 
-def repeated_spans(df: DataFrame, text: str, mean_words: int, min_words: int) -> DataFrame:
-    """``_id``, ``_hash`` and ``spans``: the byte ranges to cut out, in order, of texts that have any."""
+    Holders are put together per digest, combining before the shuffle, and only digests of several
+    documents are kept. Chunks then meet them by digest. A digest that holds a large part of all of
+    these rows, of which there are at most ``_HOT``, is known to every task and spread over salts.
+    """
     chunks = chunk_rows(df, text, mean_words)
-    holders = chunks.groupBy("digest").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).where("least < most")
-    held = attach(chunks, holders.select("digest", "least"), ["digest"], "left", row_bytes=32)
-    flagged = held.where("again or _id > least").select("_id", "_hash", "number", "start", "stop", "words").distinct()
-    # The chunks of one text, which one task has held anyway.
-    order = Window.partitionBy("_id", "_hash").orderBy("number")
-    runs = flagged.withColumn("_run", F.col("number") - F.row_number().over(order)).groupBy("_id", "_hash", "_run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words")
+    holders = chunks.groupBy("digest").agg(F.min("_id").alias("least"), F.max("_id").alias("most"), F.count(F.lit(1)).alias("n"))
+    holders = freeze(holders.where("least < most").select("digest", "least", "n"), "holders")
+    total = holders.agg(F.sum("n").alias("n"))
+    hot = holders.join(F.broadcast(total.select(F.col("n").alias("_all"))), F.col("n") * _HOT > F.col("_all")).select(
+        "digest", F.lit(True).alias("_hot")
     )
-    span = F.struct("start", "stop", F.col("words").cast("int").alias("words"))
-    return runs.where(F.col("words") >= min_words).groupBy("_id", "_hash").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    hot = F.broadcast(hot)
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("_id", "place"), F.lit(_SALTS))).otherwise(F.lit(0)).cast("int")
+    asked = chunks.join(hot, "digest", "left").select("digest", "_id", "place", salt.alias("_salt"))
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    known = holders.join(hot, "digest", "left").select("digest", "least", F.explode(salts).alias("_salt"))
+    later = asked.join(known, ["digest", "_salt"]).where("_id > least")
+    mark = F.shiftright("place", 32).cast("int").alias("_mark")
+    number = F.col("place").bitwiseAND(F.lit(2**32 - 1)).cast("int")
+    return later.groupBy("_id", mark).agg(F.collect_set(number).alias("numbers"))
+
+
+def cut_out(text: str | None, numbers: Sequence[int], mean_words: int, min_words: int) -> tuple[str | None, list[dict]]:
+    """The text without its runs of repeated chunks, and where these were."""
+    if not text:
+        return text, []
+    raw, ends, words, digests = _pieces(text, mean_words)
+    repeated = np.zeros(len(ends) + 1, dtype=bool)
+    repeated[list(numbers)] = True
+    if len(set(digests)) < len(digests):
+        seen: set[int] = set()
+        for k, d in enumerate(digests):
+            repeated[k] |= d in seen
+            seen.add(d)
+    turns = np.flatnonzero(np.diff(np.concatenate([[False], repeated])))
+    kept, spans, at = b"", [], 0
+    edges = [0, *ends.tolist()]
+    for first, after in zip(turns[::2].tolist(), turns[1::2].tolist()):
+        held = int(words[first:after].sum())
+        if held >= min_words:
+            kept += raw[at : edges[first]]
+            at = edges[after]
+            spans.append({"start": edges[first], "stop": at, "words": held})
+    return ((kept + raw[at:]).decode(), spans) if spans else (text, [])
 
 
 def dedup(
@@ -124,27 +157,17 @@ def dedup(
     out of one for being in another. A row without a key goes by its text. ``key`` is an integer.
     """
     kept = [c for c in df.columns if c != out]
-    by_text = F.xxhash64(F.coalesce(text, F.lit("")))
+    body = F.coalesce(text, F.lit(""))
+    by_text = F.xxhash64(body).bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62))
     marked = df.select(
-        *kept,
-        F.coalesce(F.col(key).cast("bigint"), by_text.bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62))).alias("_id"),
-        by_text.alias("_hash"),
+        *kept, F.coalesce(F.col(key).cast("bigint"), by_text).alias("_id"), F.hash(F.lit(1), body).alias("_mark")
     )
-    spans = repeated_spans(marked, text, mean_words, min_words)
-    joined = attach(marked, spans, ["_id", "_hash"], "left", row_bytes=256)
-
-    @F.pandas_udf("string")
-    def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        def one(value: str, places) -> str:
-            raw = value.encode()
-            edges = [0, *(x for p in places for x in (p["start"], p["stop"])), len(raw)]
-            return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])).decode()
-
-        return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
-
-    cut_out = joined.withColumn("_new", F.when(F.col("spans").isNotNull(), without(F.when(F.col("spans").isNotNull(), F.col(text)).otherwise(""), F.coalesce("spans", _none()))).otherwise(F.col(text)))
-    return cut_out.select(*[F.col("_new").alias(text) if c == text else F.col(c) for c in kept], F.coalesce("spans", _none()).alias(out))
+    joined = attach(marked, held_elsewhere(marked, text, mean_words), ["_id", "_mark"], "left", row_bytes=512)
 
+    @F.pandas_udf("text string, spans array<struct<start:int,stop:int,words:int>>")
+    def without(texts: pd.Series, numbers: pd.Series) -> pd.DataFrame:
+        rows = [cut_out(t, n, mean_words, min_words) for t, n in zip(texts, numbers)]
+        return pd.DataFrame(rows, columns=["text", "spans"])
 
-def _none():
-    return F.array().cast("array<struct<start:int,stop:int,words:int>>")
+    done = joined.withColumn("_new", without(F.col(text), F.coalesce("numbers", F.array().cast("array<int>"))))
+    return done.select(*[F.col("_new.text").alias(text) if c == text else F.col(c) for c in kept], F.col("_new.spans").alias(out))
