@@ -145,7 +145,7 @@ def _long_values(spark: SparkSession, sf: str) -> DataFrame:
     FROM e GROUP BY s"""
 )
 def results_json(spark: SparkSession, sf: str) -> DataFrame:
-    stored = result_rows(_long_values(spark, sf))
+    stored = result_rows(_long_values(spark, sf), points=False)
     body = F.from_json("results", "points long, anomalies long, max_score double").alias("b")
     return stored.select("series_name", "method", body).select("series_name", "method", "b.*")
 
@@ -156,7 +156,7 @@ def results_json(spark: SparkSession, sf: str) -> DataFrame:
     FROM e GROUP BY s"""
 )
 def results_json_points(spark: SparkSession, sf: str) -> DataFrame:
-    stored = result_rows(_long_values(spark, sf), points=True)
+    stored = result_rows(_long_values(spark, sf))
     body = F.from_json("results", "points array<struct<row_key:bigint,score:double,label:int>>")["points"]
     rows = stored.select("series_name", "method", F.posexplode(body).alias("i", "p"))
     return rows.groupBy("series_name", "method").agg(

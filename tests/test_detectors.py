@@ -9,7 +9,8 @@ from tideline.functions.chi2 import chi2_quantile
 from tideline.operators.detector import Detector, DetectorModel, with_label
 from tideline.operators.ensemble import Ensemble
 from tideline.operators.envelope import EllipticEnvelope
-from tideline.operators.isolation import IsolationForest, forest_scores, grow_tree, mean_path
+from tideline.plans.settings import _DEFAULTS
+from tideline.operators.isolation import IsolationForest, forest_scores, forest_steps, grow_tree, mean_path, step_scores
 from tideline.operators.lof import LocalOutlierFactor
 from tideline.operators.neighbours import nearest
 from tideline.operators.recon import WindowReconstruction
@@ -78,9 +79,9 @@ def test_forest_steps_equal_descents():
     trees = [grow_tree(x, rng, 1.0) for _ in range(30)]
     model = {k: [t[k] for t in trees] for k in trees[0]}
     asked = np.concatenate([np.repeat(x, 10, axis=0), [[-9.0], [9.0]], np.unique(np.concatenate(model["cut"]))[:-1, None]])
-    few = np.concatenate([forest_scores(part, dict(model)) for part in np.array_split(asked, 50)])
-    assert (few == forest_scores(asked, model)).all()
-    assert "_steps" in model
+    edges, scores = forest_steps(dict(model))
+    looked_up = step_scores(asked, {"edges": [edges], "scores": [scores]})
+    np.testing.assert_allclose(looked_up, forest_scores(asked, model), rtol=1e-12)
 
 
 def test_mean_path():
@@ -124,8 +125,9 @@ def test_lof_of_numbers(limits, series, k):
         np.testing.assert_allclose(got, brute_lof(part, k, part), rtol=1e-9)
 
 
-def test_lof_blocks_overlap_enough(series, monkeypatch):
-    monkeypatch.setattr("tideline.operators.lof.BLOCK", 1)
+def test_lof_blocks_overlap_enough(spark, series, monkeypatch):
+    monkeypatch.setitem(_DEFAULTS, "valueBlock", 1)
+    monkeypatch.setitem(_DEFAULTS, "askedRows", 3)
     monkeypatch.setattr("tideline.operators.lof._SLICE", 7)
     x = np.random.default_rng(0).normal(size=150)
     got = LocalOutlierFactor(n_neighbors=4).fit_transform(series({"s": x.tolist()})).orderBy("ts").toPandas()["raw_score"]
@@ -344,3 +346,52 @@ def test_ensemble_with_windowed_detector(series):
     mixed.run(series({"s": x}))
     votes = mixed.vote().toPandas()
     assert len(votes) == 40 and sorted(votes["voters"].unique()) == [1, 2]
+
+
+def test_inputs_named_like_outputs(limits, series):
+    """Columns of the rows that bear names the detectors use are left alone, or replaced by the outputs."""
+    values = [float(i % 7) for i in range(40)] + [300.0]
+    df = series({"s": values}).select("series_id", "ts", "row_key", F.col("value").alias("score"), F.lit(5.0).alias("threshold"), F.lit("x").alias("location"), F.lit(0).alias("label"))
+    for detector in (EllipticEnvelope(inputs="score"), LocalOutlierFactor(inputs="score"), IsolationForest(inputs="score", n_estimators=20)):
+        out = detector.fit_transform(df)
+        assert out.columns.count("threshold") == 1 and "location" in out.columns
+        worst = out.orderBy(F.desc("raw_score")).first()
+        assert worst["label"] == -1 and worst["location"] == "x"
+    ensemble = Ensemble([EllipticEnvelope(inputs="score"), LocalOutlierFactor(inputs="score"), IsolationForest(inputs="score", n_estimators=20)])
+    results = ensemble.run(df.withColumn("label", F.when(F.col("row_key") < 4, 0).otherwise(1)), "label")
+    assert results.where("y_true = -1").count() == 12
+    assert ensemble.compare().agg(F.max("recall")).first()[0] < 1
+
+
+def test_one_group_and_short_groups(limits, series):
+    df = series({"s": [float(i % 5) for i in range(30)] + [80.0], "t": [1.0, 2.0]})
+    flat = EllipticEnvelope(by=[]).fit_transform(df.where("series_id = 's'"))
+    assert flat.count() == 31 and flat.where("label = -1").count() >= 1
+    out = EllipticEnvelope(support_fraction=0.05).fit_transform(df)
+    assert out.count() == 33
+    same = EllipticEnvelope(by=[]).fit_transform(df.where("series_id = 't'").withColumn("value", F.lit(3.0)))
+    assert same.count() == 2 and same.where("label is not null").count() == 0
+
+
+def test_half_of_the_values_equal(limits, series):
+    out = EllipticEnvelope().fit_transform(series({"s": [0.0] * 30 + [float(i) for i in range(1, 20)] + [1000.0], "t": [0.0] * 49 + [9.0]}))
+    assert out.where("label is null").count() == 0
+    worst = {r["series_id"]: r["value"] for r in out.where("label = -1").groupBy("series_id").agg(F.max("value").alias("value")).collect()}
+    assert worst == {"s": 1000.0, "t": 9.0}
+
+
+def test_many_ask_in_one_block(spark, series, monkeypatch):
+    monkeypatch.setitem(_DEFAULTS, "askedRows", 500)
+    model = LocalOutlierFactor(n_neighbors=5).fit(series({"s": [float(i) for i in range(50)]}))
+    asked = spark.range(20_000).select(F.lit("s").alias("series_id"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.col("id").alias("row_key"), (F.col("id") / 400).alias("value"))
+    out = model.transform(asked)
+    assert out.count() == 20_000 and out.where("raw_score is null").count() == 0
+    one = model.transform(asked.where("row_key % 997 = 0")).orderBy("row_key").collect()
+    many = out.where("row_key % 997 = 0").orderBy("row_key").collect()
+    assert [r["raw_score"] for r in one] == [r["raw_score"] for r in many]
+
+
+def test_duplicate_keys_are_refused_with_windows(series):
+    df = series({"s": [float(i) for i in range(40)]})
+    with pytest.raises(ValueError, match="unique"):
+        Ensemble([WindowReconstruction(window_size=5)]).run(df.union(df))

@@ -88,3 +88,21 @@ def test_bad_parameters(bad):
 def test_needs_its_columns(noisy):
     with pytest.raises(ValueError):
         Forecaster().fit(noisy.drop("value"))
+
+
+def test_series_without_values_stays(series):
+    df = series({"a": [float(i % 6) for i in range(40)], "b": [None] * 40})
+    out = Forecaster().detect_anomalies(df)
+    assert out.count() == 80
+    assert out.where("series_id = 'b' and yhat is null and not is_anomaly").count() == 40
+
+
+def test_interval_at_high_levels(series):
+    noise = np.random.default_rng(0).normal(0, 1, 300)
+    noise[150] = 15
+    plain = {"n_changepoints": 0, "yearly_seasonality": False, "weekly_seasonality": False}
+    for mode in ("additive", "multiplicative"):
+        out = Forecaster(seasonality_mode=mode, **plain).detect_anomalies(series({"s": (1e8 + noise).tolist()}))
+        half = out.agg(F.avg((F.col("yhat_upper") - F.col("yhat_lower")) / 2)).first()[0]
+        assert half == pytest.approx(1.96 * noise.std(), rel=0.05)
+        assert out.where("row_key = 150 and is_anomaly").count() == 1

@@ -133,3 +133,18 @@ def test_profiles(series, limits):
 def test_histogram_of_a_constant(series):
     h = histogram(series({"s": [3, 3, 3]}), bins=4).orderBy("bin").collect()
     assert [r["n"] for r in h] == [3, 0, 0, 0]
+
+
+def test_unseen_series_stays(limits, series):
+    for method in ("standard", "minmax", "robust"):
+        model = Scaler(["value"], method).fit(series({"a": [1.0, 2.0, 4.0]}))
+        out = model.transform(series({"a": [1.0, 2.0, 4.0], "b": [1.0, 2.0, 3.0]}))
+        assert out.where("series_id = 'b' and value is null").count() == 3
+        assert out.where("series_id = 'a' and value is not null").count() == 3
+
+
+def test_all_numeric_columns_by_default(series):
+    df = series({"a": [1.0, 2.0, 4.0]}, extra=[1, 5, 9])
+    assert {"extra_lag_1", "value_lag_1"} <= set(add_features(df).columns)
+    out, _ = normalize(df, method="minmax")
+    assert [tuple(r) for r in out.orderBy("ts").select("extra", "value").collect()][-1] == (1.0, 1.0)

@@ -109,14 +109,14 @@ def test_jdbc_options():
     assert cut["user"] == "u"
 
 
-def test_result_documents(spark, series, limits, monkeypatch):
-    monkeypatch.setattr("tideline.sources.tables.POINTS_PER_DOCUMENT", 4)
+def test_result_documents(spark, series, limits):
     df = series({"a": range(10), "b": range(3)}).withColumn("detector", F.lit("d"))
     df = df.withColumn("score", F.col("value")).withColumn("label", F.when(F.col("value") > 7, -1).otherwise(1))
-    summary = {r["series_name"]: r["results"] for r in result_rows(df).collect()}
+    summary = {r["series_name"]: r["results"] for r in result_rows(df, points=False).collect()}
     assert '"points":10,"anomalies":2' in summary["a"] and '"points":3,"anomalies":0' in summary["b"]
-    points = result_rows(df, points=True).groupBy("series_name").count().collect()
-    assert {r["series_name"]: r["count"] for r in points} == {"a": 3, "b": 1}
+    points = result_rows(df, points_per_document=4).collect()
+    assert sorted((r["series_name"], r["part"]) for r in points) == [("a", 0), ("a", 1), ("a", 2), ("b", 0)]
+    assert [r["results"].count("row_key") for r in sorted(points, key=lambda r: (r["series_name"], r["part"]))] == [4, 4, 2, 3]
 
 
 def test_generate(spark, limits):

@@ -65,6 +65,12 @@ class DetectorModel(ABC):
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``raw_score``, ``threshold``, ``score`` and ``label`` to the rows."""
 
+    def verdict(self, df: DataFrame, name: str) -> DataFrame:
+        """Add the outputs as one struct; columns that bear their names stay what they are."""
+        own = {c: f"_own_{c}" for c in df.columns if c in OUTPUT}
+        out = self.transform(df.withColumns({kept: F.col(c) for c, kept in own.items()}))
+        return out.select(*[F.col(own[c]).alias(c) if c in own else F.col(c) for c in df.columns], F.struct(*OUTPUT).alias(name))
+
 
 def with_label(df: DataFrame, centred: bool) -> DataFrame:
     """Label by ``raw_score > threshold``; the exported score is centred on the threshold or raw."""
@@ -72,6 +78,12 @@ def with_label(df: DataFrame, centred: bool) -> DataFrame:
     return df.withColumn("score", raw - cut if centred else raw).withColumn("label", to_label(raw > cut))
 
 
+def finish(df: DataFrame, centred: bool) -> DataFrame:
+    """Outputs from ``_raw`` and ``_cut``; columns of the rows that bear the outputs' names are replaced."""
+    named = df.withColumns({"raw_score": F.col("_raw"), "threshold": F.col("_cut")})
+    return with_label(named.drop("_raw", "_cut"), centred)
+
+
 def check_contamination(contamination: float | str, auto: bool) -> None:
     if contamination == "auto" and auto:
         return

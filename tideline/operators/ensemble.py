@@ -15,6 +15,7 @@ from tideline.plans import freeze
 from tideline.plans.attach import join_null_safe
 from tideline.sources.series import KEY, SERIES, TS
 
+
 def strategy_table(
     results: DataFrame, truth: str = "y_true", keys: Sequence[str] = (SERIES, TS, KEY), label_format: str = "auto"
 ) -> DataFrame:
@@ -66,25 +67,38 @@ class Ensemble:
         """
         if not self.detectors:
             raise ValueError("no detectors registered")
+        known = []
         if truth is not None:
             label_format = resolve_format(df, truth, label_format)
-        self.models = {n: d.fit(df) for n, d in self.detectors.items()}
+            known = [to_label(is_anomaly(truth, label_format)).alias("_truth")]
+        # What the detectors read is taken from the source once; the truth is settled before any of them writes.
+        needed = dict.fromkeys([*self.keys, *(c for d in self.detectors.values() for c in (*d.by, *d.order, *d.inputs))])
+        rows = freeze(df.select(*needed, *known), "rows")
+        self.models = {n: d.fit(rows) for n, d in self.detectors.items()}
         places = {n: f"_verdict{i}" for i, n in enumerate(self.models)}
-        wide = df
+        if not all(m.keeps_rows for m in self.models.values()):
+            self._check_keys(rows)
+        wide = rows
         for name, model in sorted(self.models.items(), key=lambda item: not item[1].keeps_rows):
-            verdict = F.struct(*OUTPUT).alias(places[name])
             if model.keeps_rows:
-                wide = model.transform(wide).select(*wide.columns, verdict)
+                wide = model.verdict(wide, places[name])
             else:
-                wide = align_windows(wide, model.transform(df).select(*self.keys, verdict), self.keys)
-        known = [] if truth is None else [to_label(is_anomaly(truth, label_format)).alias("y_true")]
-        self.wide = freeze(wide.select(*self.keys, *known, *places.values()), "verdicts")
+                windows = model.transform(rows).select(*self.keys, F.struct(*OUTPUT).alias(places[name]))
+                wide = align_windows(wide, windows, self.keys)
+        named = [] if truth is None else [F.col("_truth").alias("y_true")]
+        self.wide = freeze(wide.select(*self.keys, *named, *places.values()), "verdicts")
         self.results = self._long(places, [] if truth is None else ["y_true"])
         self.metrics = None
         if truth is not None:
             self.metrics = freeze(evaluate(self.results, score="score", label_format="pm1"), "metrics")
         return self.results
 
+    def _check_keys(self, rows: DataFrame) -> None:
+        """Windows meet rows by key, so keys that occur twice would multiply them."""
+        twice = rows.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        if not twice.isEmpty():
+            raise ValueError(f"rows share the keys {self.keys}; name a unique key column")
+
     def _long(self, places: dict[str, str], known: list[str]) -> DataFrame:
         entries = F.array(*[F.struct(F.lit(n).alias("detector"), F.col(c).alias("v")) for n, c in places.items()])
         rows = self.wide.select(*self.keys, *known, F.explode(entries).alias("_e")).where("_e.v IS NOT NULL")

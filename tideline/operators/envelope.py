@@ -10,21 +10,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.functions.chi2 import chi2_quantile
-from tideline.operators.detector import Detector, DetectorModel, check_contamination, with_label
-from tideline.plans import LastSeen, Running, attach, freeze, quantiles, rows_of, scan
+from tideline.operators.detector import Detector, DetectorModel, check_contamination, finish
+from tideline.plans import LastSeen, Running, attach, freeze, quantiles, rows_of, scan, with_position
 from tideline.plans.models import apply_models, fields, group_key, matrix, sample_rate, uniform
 from tideline.plans.moments import outer_sums
 
-# Rows of a series on which several starts are tried before all rows are used.
-START_SAMPLE = 1500
-STARTS, BEST_STARTS, MAX_STEPS, MAX_FULL_STEPS = 100, 10, 30, 10
-
 
 class EllipticEnvelope(Detector):
     """Minimum covariance determinant estimate, corrected and reweighted once.
 
     The threshold is the quantile of the training distances that leaves ``contamination`` above.
-    A series whose support has no spread has no estimate and gets no verdict.
+    A series of equal rows has no estimate and gets no verdict. Where over half of the numbers are
+    equal, the mean square around them takes the place of the median square.
+
+    Vectors: ``starts`` random starts are concentrated on a sample of ``start_rows`` rows of the
+    series; the best of them goes through concentration steps over all rows, each on exactly the
+    support's size, until the determinant of every series has settled. Should that take more than
+    ``max_steps`` steps, fitting raises rather than return an estimate that has not.
     """
 
     def __init__(
@@ -33,18 +35,21 @@ class EllipticEnvelope(Detector):
         contamination: float = 0.1,
         support_fraction: float | None = None,
         seed: int = 42,
+        start_rows: int = 1500,
+        starts: int = 100,
+        max_steps: int = 100,
         **keys: Any,
     ) -> None:
         super().__init__(name, **keys)
         check_contamination(contamination, auto=False)
+        self.start_rows, self.starts, self.max_steps = start_rows, starts, max_steps
         if support_fraction is not None and not 0 < support_fraction <= 1:
             raise ValueError("support_fraction must be in (0, 1]")
         self.contamination, self.support_fraction, self.seed = contamination, support_fraction, seed
 
     def support(self, n: Column, p: int) -> Column:
-        if self.support_fraction is None:
-            return F.ceil((n + F.lit(p + 1)) / 2)
-        return F.floor(n * F.lit(self.support_fraction))
+        wanted = F.ceil((n + F.lit(p + 1)) / 2) if self.support_fraction is None else F.floor(n * F.lit(self.support_fraction))
+        return F.greatest(F.least(wanted, n), F.lit(1))
 
     def fit(self, df: DataFrame) -> EnvelopeModel:
         return self._fit_single(df) if self.is_single(df) else self._fit_vectors(df)
@@ -60,30 +65,29 @@ class EllipticEnvelope(Detector):
         totals = counts.groupBy(*by).agg(F.sum("_m").alias("_n"), (F.sum(v * m) / F.sum("_m")).alias("_mean"))
         totals = freeze(totals.withColumn("_h", F.least(self.support(F.col("_n"), 1), F.col("_n"))), "totals")
         groups = rows_of(totals)
+        # The variance of the support would cancel below: only squares around the location count.
         placed = attach(counts, self._locate(counts, totals), by, at_most=groups)
-        d = F.round(F.abs(v - F.col("_loc")), 9)
-        near = scan(placed.withColumn("_d", d), by, ["_d", "_v"], [Running(m, "_cum")], size)
-        taken = F.greatest(F.lit(0), F.least(m, F.col("_h") - (F.col("_cum") - m)))
         c = v - F.col("_loc")
-        raw = near.groupBy(*by, "_loc").agg(
-            (F.sum(taken * c * c) / F.sum(taken) - F.pow(F.sum(taken * c) / F.sum(taken), 2)).alias("_var")
+        squares = placed.withColumn("_d2", c * c)
+        median = quantiles(squares, by, "_d2", {"_median": 0.5}, "_m", size)
+        # Where half of the values are equal the median is 0, and the mean square stands in for it.
+        mean = squares.groupBy(*by).agg((F.sum(m * F.col("_d2")) / F.sum(m)).alias("_mean_square"))
+        scales = attach(median, mean, by, "left", at_most=groups).select(
+            *by, F.when(F.col("_median") > 0, F.col("_median") / F.lit(chi2_quantile(0.5, 1))).otherwise(F.col("_mean_square")).alias("_scale")
         )
-        raw = freeze(raw, "raw")
-        dist = _distance(v, F.col("_loc"), F.col("_var"))
-        spread = attach(counts, raw, by, frozen=True).withColumn("_dist", dist)
-        median = quantiles(spread, by, "_dist", {"_median": 0.5}, "_m", size)
-        correction = F.col("_median") / F.lit(chi2_quantile(0.5, 1))
-        corrected = F.try_divide(F.col("_dist"), correction)
-        kept = attach(spread, median, by, at_most=groups).where(corrected < F.lit(chi2_quantile(0.975, 1)))
-        final = kept.groupBy(*by, "_loc").agg(
-            (F.first("_loc") + F.sum(m * c) / F.sum(m)).alias("location"),
-            (F.sum(m * c * c) / F.sum(m) - F.pow(F.sum(m * c) / F.sum(m), 2)).alias("variance"),
+        spread = attach(squares, scales, by, at_most=groups)
+        inside = spread.where(F.try_divide(F.col("_d2"), F.col("_scale")) < F.lit(chi2_quantile(0.975, 1)))
+        kept_variance = F.sum(m * c * c) / F.sum(m) - F.pow(F.sum(m * c) / F.sum(m), 2)
+        final = inside.groupBy(*by, "_loc", "_scale").agg(
+            (F.first("_loc") + F.sum(m * c) / F.sum(m)).alias("_location"), kept_variance.alias("_kept")
         )
-        final = freeze(final.drop("_loc"), "location")
+        # If only equal values are kept, the scale they were chosen by is the variance.
+        variance = F.when(F.col("_kept") > 0, F.col("_kept")).otherwise(F.col("_scale")).alias("_variance")
+        final = freeze(final.select(*by, "_location", variance), "location")
         last = attach(counts, final, by, frozen=True).withColumn(
-            "_dist", _distance(v, F.col("location"), F.col("variance"))
+            "_dist", _distance(v, F.col("_location"), F.col("_variance"))
         )
-        cut = quantiles(last, by, "_dist", {"threshold": 1 - self.contamination}, "_m", size)
+        cut = quantiles(last, by, "_dist", {"_cut": 1 - self.contamination}, "_m", size)
         return SingleEnvelopeModel(self.name, self, freeze(attach(final, cut, by, at_most=groups), "envelope"))
 
     def _locate(self, counts: DataFrame, totals: DataFrame) -> DataFrame:
@@ -120,17 +124,20 @@ class EllipticEnvelope(Detector):
         p = sizes.agg(F.max("_p").alias("p")).first()["p"]
         if p is None:
             raise ValueError("no complete rows to fit on")
-        share = self.support(F.col("_n"), p) / F.col("_n")
-        sizes = freeze(sizes.withColumn("_share", F.least(share, F.lit(1.0))), "sizes")
+        sizes = freeze(sizes.withColumn("_h", self.support(F.col("_n"), p)), "sizes")
         model = freeze(self._start(rows, sizes, p), "start")
-        previous: float | None = None
-        # The start is already concentrated on a sample, so a few passes over all rows do.
-        for _ in range(MAX_FULL_STEPS):
-            model = self._refit(rows, model, sizes, p, "_share")
-            spread = model.agg(F.sum("log_det").alias("s")).first()["s"]
-            if previous is not None and abs(spread - previous) <= 1e-9 * max(1.0, abs(previous)):
+        # A step never raises a determinant, so each series settles; the ones that have keep their estimate.
+        for _ in range(self.max_steps):
+            following = self._refit(rows, model, sizes, p)
+            before = model.select(*by, F.col("log_det").alias("_before"))
+            moved = attach(following, before, by, row_bytes=32, at_most=rows_of(model)).agg(
+                F.max(F.abs(F.col("log_det") - F.col("_before")) / F.greatest(F.lit(1.0), F.abs("_before"))).alias("m")
+            )
+            model = following
+            if (moved.first()["m"] or 0.0) <= 1e-9:
                 break
-            previous = spread
+        else:
+            raise RuntimeError(f"the support has not settled in {self.max_steps} steps; raise max_steps")
         scored = freeze(self._distances(rows, model, p).select(*by, "_x", "_dist"), "distances")
         groups = rows_of(sizes)
         median = quantiles(scored, by, "_dist", {"_median": 0.5})
@@ -138,40 +145,34 @@ class EllipticEnvelope(Detector):
         kept = attach(scored, median, by, at_most=groups).where(corrected < F.lit(chi2_quantile(0.975, p)))
         model = freeze(solve_shape(outer_sums(kept.select(*by, F.concat(F.array(F.lit(1.0)), "_x").alias("_z")), by, "_z"), by, p), "shape")
         last = freeze(self._distances(rows, model, p).select(*by, "_dist"), "distances")
-        cut = freeze(quantiles(last, by, "_dist", {"threshold": 1 - self.contamination}), "threshold")
+        cut = freeze(quantiles(last, by, "_dist", {"_cut": 1 - self.contamination}), "threshold")
         return VectorEnvelopeModel(self.name, self, model, cut, p)
 
     def _distances(self, rows: DataFrame, model: DataFrame, p: int) -> DataFrame:
         return apply_models(rows, self.by, "_x", model, mahalanobis, "_dist", 8 * p * (p + 1) + 64)
 
-    def _refit(self, rows: DataFrame, model: DataFrame, sizes: DataFrame, p: int, share: str) -> DataFrame:
-        """One concentration step: the closest rows give the next location and covariance."""
+    def _refit(self, rows: DataFrame, model: DataFrame, sizes: DataFrame, p: int) -> DataFrame:
+        """One concentration step: the closest rows, exactly as many as the support has, give the next shape."""
         by = self.by
-        scored = self._distances(rows, model, p)
-        cut = scored.groupBy(*by).agg(
-            F.percentile_approx("_dist", F.array(*[F.lit(k / 200) for k in range(201)]), F.lit(10_000)).alias("_grid")
-        )
-        groups = rows_of(sizes)
-        cut = attach(sizes, cut, by, row_bytes=2048, at_most=groups).select(
-            *by, F.element_at("_grid", F.least(F.ceil(F.col(share) * 200) + 1, F.lit(201)).cast("int")).alias("_cut")
-        )
-        kept = attach(scored, cut, by, at_most=groups).where(F.col("_dist") <= F.col("_cut"))
+        scored = freeze(self._distances(rows, model, p).where(F.col("_dist").isNotNull()), "distances")
+        near = with_position(scored, by, ["_dist", *self.order], "_place")
+        kept = attach(near, sizes.select(*by, "_h"), by, at_most=rows_of(sizes)).where(F.col("_place") < F.col("_h"))
         z = F.concat(F.array(F.lit(1.0)), F.col("_x")).alias("_z")
         return freeze(solve_shape(outer_sums(kept.select(*by, z), by, "_z"), by, p), "shape")
 
     def _start(self, rows: DataFrame, sizes: DataFrame, p: int) -> DataFrame:
-        by, seed = self.by, self.seed
+        by, seed, wanted, starts = self.by, self.seed, self.start_rows, self.starts
         keys = [*by, *self.order]
         draw = uniform(seed, "start", *keys)
         sample = (
             attach(rows, sizes, by, frozen=True)
-            .where(draw < sample_rate(START_SAMPLE, F.col("_n")))
-            .select(group_key(by).alias("_g"), *by, draw.alias("_draw"), "_share", "_x")
+            .where(draw < sample_rate(wanted, F.col("_n")))
+            .select(group_key(by).alias("_g"), *by, draw.alias("_draw"), (F.col("_h") / F.col("_n")).alias("_share"), "_x")
         )
 
         def search(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values("_draw").head(START_SAMPLE)
-            location, cov = best_start(matrix(group["_x"]), float(group["_share"].iloc[0]), np.random.default_rng(seed))
+            group = group.sort_values("_draw").head(wanted)
+            location, cov = best_start(matrix(group["_x"]), float(group["_share"].iloc[0]), np.random.default_rng(seed), starts)
             first = group.head(1)[by].copy()
             return _shape_row(first, location, cov)
 
@@ -218,7 +219,7 @@ def mahalanobis(x: np.ndarray, model: dict[str, Any]) -> np.ndarray:
     return np.maximum(((c @ precision) * c).sum(axis=1), 0.0)
 
 
-def best_start(x: np.ndarray, share: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+def best_start(x: np.ndarray, share: float, rng: np.random.Generator, starts: int) -> tuple[np.ndarray, np.ndarray]:
     """Best of several concentrated random starts on a sample small enough for one task."""
     n, p = x.shape
     h = min(n, max(1, int(np.ceil(share * n))))
@@ -226,9 +227,10 @@ def best_start(x: np.ndarray, share: float, rng: np.random.Generator) -> tuple[n
     def shape(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return part.mean(axis=0), np.atleast_2d(np.cov(part, rowvar=False, bias=True))
 
-    def concentrate(location: np.ndarray, cov: np.ndarray, steps: int) -> tuple[float, np.ndarray, np.ndarray]:
+    def concentrate(location: np.ndarray, cov: np.ndarray, steps: int | None) -> tuple[float, np.ndarray, np.ndarray]:
         before = np.inf
-        for _ in range(steps):
+        # The determinant falls with every step, so this ends even without a number of steps.
+        for _ in range(steps) if steps else iter(int, 1):
             c = x - location
             d = ((c @ np.linalg.pinv(cov, hermitian=True)) * c).sum(axis=1)
             location, cov = shape(x[np.argsort(d, kind="stable")[:h]])
@@ -242,10 +244,10 @@ def best_start(x: np.ndarray, share: float, rng: np.random.Generator) -> tuple[n
     if h >= n:
         return shape(x)
     tries = []
-    for _ in range(STARTS):
+    for _ in range(starts):
         tries.append(concentrate(*shape(x[rng.choice(n, size=min(n, p + 1), replace=False)]), steps=2))
     tries.sort(key=lambda t: t[0])
-    final = min((concentrate(loc, cov, MAX_STEPS) for _, loc, cov in tries[:BEST_STARTS]), key=lambda t: t[0])
+    final = min((concentrate(loc, cov, None) for _, loc, cov in tries[: max(1, starts // 10)]), key=lambda t: t[0])
     return final[1], final[2]
 
 
@@ -262,8 +264,8 @@ class SingleEnvelopeModel(EnvelopeModel):
     def transform(self, df: DataFrame) -> DataFrame:
         joined = attach(df, self.params, self.spec.by, how="left", frozen=True)
         value = F.col(self.spec.inputs[0]).cast("double")
-        raw = F.when(value.isNotNull(), _distance(value, F.col("location"), F.col("variance")))
-        return with_label(joined.withColumn("raw_score", raw), centred=True).drop("location", "variance")
+        raw = F.when(value.isNotNull(), _distance(value, F.col("_location"), F.col("_variance")))
+        return finish(joined.withColumn("_raw", raw).drop("_location", "_variance"), centred=True)
 
 
 @dataclass(frozen=True)
@@ -276,5 +278,5 @@ class VectorEnvelopeModel(EnvelopeModel):
 
     def transform(self, df: DataFrame) -> DataFrame:
         rows = df.withColumn("_x", self.spec.vector(df))
-        scored = self.spec._distances(rows, self.shapes, self.p).withColumnRenamed("_dist", "raw_score").drop("_x")
-        return with_label(attach(scored, self.thresholds, self.spec.by, how="left", frozen=True), centred=True)
+        scored = self.spec._distances(rows, self.shapes, self.p).withColumnRenamed("_dist", "_raw").drop("_x")
+        return finish(attach(scored, self.thresholds, self.spec.by, how="left", frozen=True), centred=True)

@@ -41,6 +41,9 @@ class Forecaster:
     weekly_seasonality: bool | int = True
     n_changepoints: int = 25
     season_prior_scale: float = 10.0
+    # Rounds that settle priors against noise within a solve, and trend against season (two passes each).
+    max_rounds: int = 100
+    max_alternations: int = 5
     value: str = "value"
     by: Sequence[str] = (SERIES,)
     order: Sequence[str] = (TS, KEY)
@@ -87,25 +90,33 @@ class Forecaster:
                 F.min(micros(self.ts)).alias("_t0"),
                 F.max(micros(self.ts)).alias("_t1"),
                 F.greatest(F.max(F.abs(y)), F.lit(1e-12)).alias("_size"),
+                F.avg(y).alias("_mean"),
             ),
             "scale",
         )
-        rows = attach(seen, scale, by, frozen=True).select(
+        additive = self.seasonality_mode == "additive" or not self.seasons()
+        if additive:
+            # The intercept has no prior, so the mean can be taken out first; what is small beside it stays exact.
+            target = (y - F.col("_mean")) / F.col("_size")
+        else:
+            scale = scale.withColumn("_mean", F.lit(0.0))
+            target = y / F.col("_size")
+        rows = attach(seen, scale, by, frozen=additive).select(
             *by,
             self.trend_terms(_scaled_time(self.ts)).alias("_trend"),
             self.season_terms(F.col(self.ts)).alias("_season"),
-            (y / F.col("_size")).alias("_y"),
+            target.alias("_y"),
         )
         n_trend = self.n_changepoints + 2
         n_season = 2 * sum(order for _, order in self.seasons())
         priors = [0.0, 0.0] + [1 / self.changepoint_prior_scale**2] * self.n_changepoints
         season_priors = [1 / self.season_prior_scale**2] * n_season
-        if self.seasonality_mode == "additive" or not n_season:
-            fitted = _ridge(rows.select(*by, F.concat("_trend", "_season", F.array("_y")).alias("_z")), by, priors + season_priors)
+        if additive:
+            fitted = _ridge(rows.select(*by, F.concat("_trend", "_season", F.array("_y")).alias("_z")), by, priors + season_priors, self.max_rounds)
         else:
             fitted = self._fit_multiplicative(rows, by, priors, season_priors)
-        model = attach(fitted, scale, by, frozen=True).select(
-            *by, "_t0", "_t1", "_size",
+        model = attach(fitted, scale, by, frozen=additive).select(
+            *by, "_t0", "_t1", "_size", "_mean",
             F.slice("_beta", 1, n_trend).alias("_trend_beta"),
             F.slice("_beta", n_trend + 1, n_season).alias("_season_beta") if n_season else F.array().cast("array<double>").alias("_season_beta"),
             "_sigma", "_slope_step",
@@ -115,26 +126,36 @@ class Forecaster:
     def _fit_multiplicative(self, rows: DataFrame, by: list[str], priors: list[float], season_priors: list[float]) -> DataFrame:
         """y = trend · (1 + season): trend and season are fitted in turn, each given the other."""
         rows = freeze(rows, "design")
-        trend = _ridge(rows.select(*by, F.concat("_trend", F.array("_y")).alias("_z")), by, priors)
+        trend = _ridge(rows.select(*by, F.concat("_trend", F.array("_y")).alias("_z")), by, priors, self.max_rounds)
         groups = rows_of(trend)
         width = 16 * (len(priors) + len(season_priors))
-        season: DataFrame | None = None
-        for _ in range(2):
+        before: DataFrame | None = None
+        for _ in range(self.max_alternations):
             level = attach(rows, trend.select(*by, F.col("_beta").alias("_tb")), by, row_bytes=width, at_most=groups).withColumn("_level", _dot("_trend", "_tb"))
             scaled = F.transform("_season", lambda s: s * F.col("_level"))
-            season = _ridge(level.select(*by, F.concat(scaled, F.array(F.col("_y") - F.col("_level"))).alias("_z")), by, season_priors)
+            season = _ridge(level.select(*by, F.concat(scaled, F.array(F.col("_y") - F.col("_level"))).alias("_z")), by, season_priors, self.max_rounds)
             wave = attach(rows, season.select(*by, F.col("_beta").alias("_sb")), by, row_bytes=width, at_most=groups).withColumn("_wave", 1.0 + _dot("_season", "_sb"))
             scaled = F.transform("_trend", lambda s: s * F.col("_wave"))
-            trend = _ridge(wave.select(*by, F.concat(scaled, F.array("_y")).alias("_z")), by, priors)
-        both = trend.select(*by, F.col("_beta").alias("_tb"), "_sigma", "_slope_step")
-        return attach(both, season.select(*by, F.col("_beta").alias("_sb")), by, row_bytes=width, at_most=groups).select(
-            *by, F.concat("_tb", "_sb").alias("_beta"), "_sigma", "_slope_step"
-        )
+            trend = _ridge(wave.select(*by, F.concat(scaled, F.array("_y")).alias("_z")), by, priors, self.max_rounds)
+            if before is not None:
+                moved = attach(trend, before, by, row_bytes=32, at_most=groups).agg(
+                    F.max(F.abs(F.col("_sigma") - F.col("_before")) / F.greatest("_before", F.lit(1e-12))).alias("m")
+                )
+                if (moved.first()["m"] or 0.0) <= 1e-3:
+                    break
+            before = trend.select(*by, F.col("_sigma").alias("_before"))
+        both = trend.select(*by, F.col("_beta").alias("_tb"), "_slope_step")
+        both = attach(both, season.select(*by, F.col("_beta").alias("_sb")), by, row_bytes=width, at_most=groups)
+        # The deviation is taken from the residuals themselves.
+        fitted = attach(rows, freeze(both, "both"), by, row_bytes=width, frozen=True)
+        rest = F.col("_y") - _dot("_trend", "_tb") * (1.0 + _dot("_season", "_sb"))
+        sigma = fitted.groupBy(*by).agg(F.sqrt(F.avg(rest * rest)).alias("_sigma"))
+        return attach(both, sigma, by, at_most=groups).select(*by, F.concat("_tb", "_sb").alias("_beta"), "_sigma", "_slope_step")
 
     def detect_anomalies(self, df: DataFrame) -> DataFrame:
         """Fit, forecast the same rows, and flag values outside the interval."""
         out = self.fit(df).in_sample(df)
-        return out.withColumn("is_anomaly", outside(self.value, "yhat_lower", "yhat_upper"))
+        return out.withColumn("is_anomaly", F.coalesce(outside(self.value, "yhat_lower", "yhat_upper"), F.lit(False)))
 
 
 def _scaled_time(ts: str) -> Column:
@@ -145,7 +166,7 @@ def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _ridge(rows: DataFrame, by: list[str], priors: list[float]) -> DataFrame:
+def _ridge(rows: DataFrame, by: list[str], priors: list[float], max_rounds: int) -> DataFrame:
     """Coefficients and residual deviation per series; ``_z`` holds the terms and, last, the target.
 
     Only the summed outer products reach the solving task. Residual deviation and coefficients
@@ -159,12 +180,14 @@ def _ridge(rows: DataFrame, by: list[str], priors: list[float]) -> DataFrame:
         flat[group["i"].to_numpy()] = group["total"].to_numpy()
         m = flat.reshape(size + 2, size + 2)
         gram, target, yy, n = m[:size, :size], m[:size, size], m[size, size], m[-1, -1]
-        noise = max(yy / n - (m[size, -1] / n) ** 2, 1e-12)
+        # Nothing below the rounding of the sums counts as noise.
+        least = max(1e-14 * yy / n, 1e-300)
+        noise = max(yy / n - (m[size, -1] / n) ** 2, least)
         beta = np.zeros(size)
         # The weight of the priors depends on the noise and the noise on the fit: settle both.
-        for _ in range(20):
+        for _ in range(max_rounds):
             beta = np.linalg.lstsq(gram + np.diag(np.asarray(priors) * noise), target, rcond=None)[0]
-            rest = max((yy - 2 * beta @ target + beta @ gram @ beta) / n, 1e-14)
+            rest = max((yy - 2 * beta @ target + beta @ gram @ beta) / n, least)
             if abs(rest - noise) <= 1e-9 * noise:
                 break
             noise = rest
@@ -182,11 +205,11 @@ class ForecastModel:
     spec: Forecaster
     params: DataFrame
 
-    def _predict(self, rows: DataFrame) -> DataFrame:
+    def _predict(self, rows: DataFrame, how: str = "inner") -> DataFrame:
         spec = self.spec
         by = list(spec.by)
         width = 16 * (spec.n_changepoints + 2 + 2 * sum(o for _, o in spec.seasons()) + 8)
-        wide = attach(rows, self.params, by, frozen=True, row_bytes=width)
+        wide = attach(rows, self.params, by, how, frozen=True, row_bytes=width)
         t = _scaled_time(spec.ts)
         wide = wide.withColumn("_trend", spec.trend_terms(t)).withColumn("_season", spec.season_terms(F.col(spec.ts)))
         trend, season = _dot("_trend", "_trend_beta"), _dot("_season", "_season_beta")
@@ -196,17 +219,17 @@ class ForecastModel:
         rate = F.lit(spec.n_changepoints / CHANGEPOINT_RANGE)
         drift = F.col("_slope_step") * F.col("_slope_step") * rate * ahead * ahead * ahead / 3.0
         half = F.lit(NormalDist().inv_cdf(0.5 + spec.interval_width / 2)) * F.sqrt(F.col("_sigma") * F.col("_sigma") + drift)
-        size = F.col("_size")
+        size, mean = F.col("_size"), F.col("_mean")
         return wide.select(
             *rows.columns,
-            (fitted * size).alias("yhat"),
-            ((fitted - half) * size).alias("yhat_lower"),
-            ((fitted + half) * size).alias("yhat_upper"),
+            (fitted * size + mean).alias("yhat"),
+            ((fitted - half) * size + mean).alias("yhat_lower"),
+            ((fitted + half) * size + mean).alias("yhat_upper"),
         )
 
     def in_sample(self, df: DataFrame) -> DataFrame:
-        """Forecast columns beside the given rows."""
-        return self._predict(df)
+        """Forecast columns beside the given rows; null for a series that had no value to be fitted on."""
+        return self._predict(df, "left")
 
     def predict(self, history: DataFrame, periods: int, freq: str = "1 day") -> DataFrame:
         """History and ``periods`` steps of ``freq`` after its last row, as ``ds, yhat, …``."""

@@ -10,12 +10,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tideline.operators.detector import Detector, DetectorModel, check_contamination, with_label
+from tideline.operators.detector import Detector, DetectorModel, check_contamination, finish
 from tideline.plans import attach, freeze, quantiles
 from tideline.plans.models import apply_models, fields, group_key, matrix, sample_rate, spread, uniform
 
-# Rows per tree, and the score above which "auto" calls a row anomalous.
-SAMPLE, AUTO_THRESHOLD = 256, 0.5
+# Fixed value: the score above which "auto" calls a row anomalous.
+AUTO_THRESHOLD = 0.5
 
 
 def mean_path(n: np.ndarray | float) -> np.ndarray:
@@ -28,8 +28,8 @@ def mean_path(n: np.ndarray | float) -> np.ndarray:
 class IsolationForest(Detector):
     """Rows that random cuts separate early are anomalous.
 
-    Every tree is grown from a sample of at most 256 rows of the series, drawn by hashing the
-    row's keys: the forest is the same however the rows are partitioned.
+    Every tree is grown from a sample of at most ``max_samples`` rows of the series, drawn by hashing
+    the row's keys: the forest is the same however the rows are partitioned.
     """
 
     def __init__(
@@ -38,34 +38,37 @@ class IsolationForest(Detector):
         n_estimators: int = 100,
         contamination: float | str = "auto",
         max_features: float = 1.0,
+        max_samples: int = 256,
         seed: int = 42,
         **keys: Any,
     ) -> None:
         super().__init__(name, **keys)
         check_contamination(contamination, auto=True)
         self.n_estimators, self.contamination = n_estimators, contamination
-        self.max_features, self.seed = max_features, seed
+        if max_samples < 1:
+            raise ValueError("max_samples must be at least 1")
+        self.max_features, self.max_samples, self.seed = max_features, max_samples, seed
 
     def fit(self, df: DataFrame) -> IsolationForestModel:
         rows = df.select(*self.by, *self.order, self.vector(df).alias("_x")).where(F.col("_x").isNotNull())
         sizes = freeze(rows.groupBy(*self.by).agg(F.count(F.lit(1)).alias("_n")), "sizes")
-        trees = freeze(self._grow(rows, sizes), "forest")
+        trees = freeze(self._grow(rows, sizes, self.is_single(df)), "forest")
         model = IsolationForestModel(self.name, self, trees, None)
         if self.contamination == "auto":
             return model
-        scored = freeze(model.raw(df).where(F.col("raw_score").isNotNull()).select(*self.by, "raw_score"), "scores")
-        cut = quantiles(scored, self.by, "raw_score", {"threshold": 1 - self.contamination})
+        scored = freeze(model.raw(df).where(F.col("_raw").isNotNull()).select(*self.by, "_raw"), "scores")
+        cut = quantiles(scored, self.by, "_raw", {"_cut": 1 - self.contamination})
         return IsolationForestModel(self.name, self, trees, freeze(cut, "threshold"))
 
-    def _grow(self, rows: DataFrame, sizes: DataFrame) -> DataFrame:
-        """One row per series and tree."""
-        t, seed, share = self.n_estimators, self.seed, self.max_features
+    def _grow(self, rows: DataFrame, sizes: DataFrame, single: bool) -> DataFrame:
+        """One row per series and tree, or per series its steps where a row is a single number."""
+        t, seed, share, wanted = self.n_estimators, self.seed, self.max_features, self.max_samples
         keys = [*self.by, *self.order]
         # One hash per row leaves a pool large enough for all trees; trees draw from the pool.
-        pool_rate = sample_rate(t * SAMPLE, F.col("_n"))
+        pool_rate = sample_rate(t * wanted, F.col("_n"))
         pool = attach(rows, sizes, self.by, frozen=True).where(uniform(seed, "pool", *keys) < pool_rate)
         pool = pool.withColumn("_row", F.xxhash64(F.lit(seed), *keys))
-        tree_rate = F.least(F.lit(1.0), sample_rate(SAMPLE, F.col("_n") * pool_rate))
+        tree_rate = F.least(F.lit(1.0), sample_rate(wanted, F.col("_n") * pool_rate))
 
         def draw(tree: Column) -> Column:
             return F.xxhash64("_row", tree)
@@ -83,15 +86,22 @@ class IsolationForest(Detector):
         )
 
         def build(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values("_draw").head(SAMPLE)
-            rng = np.random.default_rng([seed, int(group["_tree"].iloc[0]), int(group["_salt"].iloc[0]) % 2**63])
-            tree = grow_tree(matrix(group["_x"]), rng, share)
-            first = group.head(1).drop(columns=["_g", "_draw", "_salt", "_x"])
-            return first.assign(**{k: [v] for k, v in tree.items()})
-
-        schema = f"""{fields(members, [*self.by, "_tree"])}, feature array<int>, cut array<double>,
-            left array<int>, path array<double>, sample int"""
-        return spread(members, "_g", "_tree").groupBy("_g", "_tree").applyInPandas(build, schema)
+            first = group.head(1)[[*by]].reset_index(drop=True) if by else pd.DataFrame(index=[0])
+            trees = []
+            for k, part in group.groupby("_tree", sort=True):
+                part = part.sort_values("_draw").head(wanted)
+                rng = np.random.default_rng([seed, int(k), int(part["_salt"].iloc[0]) % 2**63])
+                trees.append(grow_tree(matrix(part["_x"]), rng, share))
+            if single:
+                edges, scores = forest_steps({name: [t[name] for t in trees] for name in trees[0]})
+                return first.assign(edges=[edges.tolist()], scores=[scores.tolist()])
+            return pd.concat([first.assign(_tree=k, **{name: [v] for name, v in t.items()}) for k, t in enumerate(trees)], ignore_index=True)
+
+        by = list(self.by)
+        kinds = ["edges array<double>, scores array<double>"] if single else ["_tree int, feature array<int>, cut array<double>, left array<int>, path array<double>, sample int"]
+        schema = ", ".join([*([fields(members, by)] if by else []), *kinds])
+        # The pool of a series is bounded by the size of its forest, however long the series is.
+        return spread(members, "_g").groupBy("_g").applyInPandas(build, schema)
 
 
 def grow_tree(x: np.ndarray, rng: np.random.Generator, share: float) -> dict[str, Any]:
@@ -198,20 +208,17 @@ def _score(depth: np.ndarray, model: dict[str, Any]) -> np.ndarray:
 
 
 def forest_scores(x: np.ndarray, model: dict[str, Any]) -> np.ndarray:
-    """Scores of vectors. Of single numbers the score is a step function, looked up by value.
+    """Scores of vectors, which descend all trees."""
+    return _score(_depths(x, model), model)
 
-    Making the function costs about as much as scoring some thousand numbers directly.
-    """
-    if x.shape[1] > 1 or ("_steps" not in model and len(x) < 2000):
-        return _score(_depths(x, model), model)
-    if "_steps" not in model:
-        model["_steps"] = _steps(model)
-    edges, scores = model["_steps"]
-    return scores[np.searchsorted(edges, x[:, 0], side="left")]
 
+def step_scores(x: np.ndarray, model: dict[str, Any]) -> np.ndarray:
+    """Scores of single numbers, looked up in the steps of their forest."""
+    return np.asarray(model["scores"][0])[np.searchsorted(np.asarray(model["edges"][0]), x[:, 0], side="left")]
 
-def _steps(model: dict[str, Any]) -> tuple[np.ndarray, np.ndarray]:
-    """Edges and scores of the step function of a forest over single numbers.
+
+def forest_steps(model: dict[str, Any]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges and scores of a forest over single numbers, whose score is a step function.
 
     A number up to a cut goes left: steps are open on the left and closed on the right, and the
     score of a step is that of its right edge.
@@ -237,13 +244,17 @@ class IsolationForestModel(DetectorModel):
 
     def raw(self, df: DataFrame) -> DataFrame:
         with_x = df.withColumn("_x", self.spec.vector(df))
-        model_bytes = 2 * SAMPLE * 40
-        return apply_models(with_x, self.spec.by, "_x", self.trees, forest_scores, "raw_score", model_bytes).drop("_x")
+        most = self.spec.max_samples
+        if "edges" in self.trees.columns:
+            kernel, model_bytes = step_scores, 16 * most * self.spec.n_estimators
+        else:
+            kernel, model_bytes = forest_scores, 80 * most
+        return apply_models(with_x, self.spec.by, "_x", self.trees, kernel, "_raw", model_bytes).drop("_x")
 
     def transform(self, df: DataFrame) -> DataFrame:
         scored = self.raw(df)
         if self.thresholds is None:
-            scored = scored.withColumn("threshold", F.lit(AUTO_THRESHOLD))
+            scored = scored.withColumn("_cut", F.lit(AUTO_THRESHOLD))
         else:
             scored = attach(scored, self.thresholds, self.spec.by, how="left", frozen=True)
-        return with_label(scored, centred=True)
+        return finish(scored, centred=True)

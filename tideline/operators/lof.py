@@ -10,17 +10,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tideline.operators.detector import Detector, DetectorModel, check_contamination, with_label
+from tideline.operators.detector import Detector, DetectorModel, check_contamination, finish
 from tideline.operators.neighbours import METRICS, nearest
 from tideline.plans import Running, attach, freeze, overlap, quantiles, rows_of, scan, with_position
 from tideline.plans.attach import join_null_safe
 from tideline.plans.models import fields, group_key, spread
+from tideline.plans.settings import setting
 
 # Factor above which "auto" calls a row anomalous; guard against zero reach.
 AUTO_THRESHOLD, TINY = 1.5, 1e-10
 
-# Distinct values per block, and rows handled at once within a block.
-BLOCK, _SLICE = 50_000, 10_000
+# Rows handled at once within a block.
+_SLICE = 10_000
 
 
 class LocalOutlierFactor(Detector):
@@ -57,7 +58,7 @@ class LocalOutlierFactor(Detector):
     def _thresholds(self, scores: DataFrame, weight: str | None) -> DataFrame | None:
         if self.contamination == "auto":
             return None
-        cut = quantiles(scores, self.by, "_lof", {"threshold": 1 - self.contamination}, weight)
+        cut = quantiles(scores, self.by, "_lof", {"_cut": 1 - self.contamination}, weight)
         return freeze(cut, "threshold")
 
     # One number per row: in value order the nearest rows lie within k distinct values on either
@@ -71,7 +72,8 @@ class LocalOutlierFactor(Detector):
         counts = freeze(counts, "values")
         totals = counts.groupBy(*by).agg(F.least(F.sum("_m") - 1, F.lit(k)).alias("_k"))
         placed = attach(with_position(counts, by, ["_v"], "_pos"), totals, by)
-        rows = overlap(placed, "_pos", max(BLOCK, 4 * k), 3 * k, 3 * k).withColumn("_g", group_key(by))
+        block = max(setting(df.sparkSession, "valueBlock"), 4 * k)
+        rows = overlap(placed, "_pos", block, 3 * k, 3 * k).withColumn("_g", group_key(by))
 
         def factors(block: pd.DataFrame) -> pd.DataFrame:
             block = block.sort_values("_v").reset_index(drop=True)
@@ -187,9 +189,9 @@ class SingleLofModel(DetectorModel):
         if spec.novelty:
             factors = self._look_up(rows.where(F.col("_v").isNotNull()).select(*by, "_v").distinct())
         else:
-            factors = self.fitted.select(*by, "_v", F.col("_lof").alias("raw_score"))
+            factors = self.fitted.select(*by, "_v", F.col("_lof").alias("_raw"))
         out = attach(rows, factors, [*by, "_v"], how="left", row_bytes=64).drop("_v")
-        return with_label(_with_threshold(out, self.thresholds, by), centred=False)
+        return finish(_with_threshold(out, self.thresholds, by), centred=False)
 
     def _look_up(self, asked: DataFrame) -> DataFrame:
         """Factors of distinct values, each next to the k fitted values on either side of it."""
@@ -199,29 +201,36 @@ class SingleLofModel(DetectorModel):
         both = known.unionByName(asked, allowMissingColumns=True)
         seen = Running((1 - F.col("_kind")).cast("long"), "_pos", inclusive=False)
         placed = scan(freeze(both, "both"), by, ["_v", "_kind"], [seen])
-        block = max(BLOCK, 4 * k)
-        parts = overlap(placed.where("_kind = 0"), "_pos", block, k, k)
-        # A value belongs to the block of the next fitted value, where k more follow.
+        block = max(setting(asked.sparkSession, "valueBlock"), 4 * k)
+        parts = overlap(placed.where("_kind = 0"), "_pos", block, k, k).drop("_copy")
+        # A value belongs to the block of the next fitted value, where k more follow. However many
+        # ask in one block, a task gets a bounded share of them and the block's fitted values.
         own = placed.where("_kind = 1").withColumn("_block", F.floor(F.col("_pos") / F.lit(block)))
-        rows = parts.drop("_copy").unionByName(own).withColumn("_g", group_key(by))
+        own = freeze(own, "asked")
+        most = F.lit(setting(asked.sparkSession, "askedRows"))
+        shares = own.groupBy(*by, "_block").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_shares"))
+        shares = freeze(shares, "shares")
+        spread_own = attach(own, shares, [*by, "_block"], frozen=True, row_bytes=64).withColumn("_share", F.pmod(F.xxhash64("_v"), F.col("_shares")).cast("int"))
+        repeated = join_null_safe(parts, shares, [*by, "_block"]).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
+        rows = repeated.unionByName(spread_own).drop("_shares").withColumn("_g", group_key(by))
 
         def factors(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("_v", kind="stable")
             fit, new = rows[rows["_kind"] == 0], rows[rows["_kind"] == 1]
             out = new[[*by, "_v"]]
             if not len(fit):
-                return out.assign(raw_score=None)
+                return out.assign(_raw=None)
             arrays = [fit[c].to_numpy() for c in ("_v", "_m", "_kdist", "_lrd")]
             wanted = int(fit["_k"].iloc[0])
-            return out.assign(raw_score=new_factors(*arrays, new["_v"].to_numpy(), k, wanted))
+            return out.assign(_raw=new_factors(*arrays, new["_v"].to_numpy(), k, wanted))
 
-        schema = f"{fields(asked, [*by, '_v'])}, raw_score double"
-        return spread(rows, "_g", "_block").groupBy("_g", "_block").applyInPandas(factors, schema)
+        schema = f"{fields(asked, [*by, '_v'])}, _raw double"
+        return spread(rows, "_g", "_block", "_share").groupBy("_g", "_block", "_share").applyInPandas(factors, schema)
 
 
 def _with_threshold(df: DataFrame, thresholds: DataFrame | None, by: Sequence[str]) -> DataFrame:
     if thresholds is None:
-        return df.withColumn("threshold", F.lit(AUTO_THRESHOLD))
+        return df.withColumn("_cut", F.lit(AUTO_THRESHOLD))
     return attach(df, thresholds, by, how="left", frozen=True)
 
 
@@ -282,9 +291,9 @@ class VectorLofModel(DetectorModel):
         if spec.novelty:
             factors = self._look_up(rows.where(F.col("_x").isNotNull()).select(*by, "_x").distinct())
         else:
-            factors = self.scores.select(*by, "_x", F.col("_lof").alias("raw_score"))
+            factors = self.scores.select(*by, "_x", F.col("_lof").alias("_raw"))
         out = attach(rows, factors, [*by, "_x"], how="left", row_bytes=1024).drop("_x")
-        return with_label(_with_threshold(out, self.thresholds, by), centred=False)
+        return finish(_with_threshold(out, self.thresholds, by), centred=False)
 
     def _look_up(self, vectors: DataFrame) -> DataFrame:
         spec = self.spec
@@ -295,6 +304,6 @@ class VectorLofModel(DetectorModel):
         facts = self.facts.select(*by, F.col("_vid").alias("_nbr"), "_kdist", "_lrd")
         joined = attach(pairs, facts, [*by, "_nbr"], at_most=rows_of(self.facts))
         own = 1.0 / (_mean_of(F.greatest("_dist", "_kdist")) + F.lit(TINY))
-        factors = joined.groupBy(*by, "_qid").agg((_mean_of(F.col("_lrd")) / own).alias("raw_score"))
+        factors = joined.groupBy(*by, "_qid").agg((_mean_of(F.col("_lrd")) / own).alias("_raw"))
         out = join_null_safe(asked, factors.withColumnRenamed("_qid", "_vid"), [*by, "_vid"], how="left")
-        return out.select(*by, "_x", F.coalesce("raw_score", F.lit(1.0)).alias("raw_score"))
+        return out.select(*by, "_x", F.coalesce("_raw", F.lit(1.0)).alias("_raw"))

@@ -26,7 +26,7 @@ def handle_missing(
     value is used.
     """
     if strategy not in STRATEGIES:
-        raise ValueError(f"unknown strategy {strategy!r}; valid options: {sorted(STRATEGIES)}")
+        raise ValueError(f"{strategy!r} is no way to treat missing values; there are {', '.join(STRATEGIES)}")
     if strategy == "drop":
         return df.na.drop(subset=list(columns))
     by, order = list(by), list(order)

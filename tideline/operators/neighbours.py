@@ -21,7 +21,6 @@ from tideline.plans.attach import join_null_safe
 from tideline.plans.models import apply_models, fields, group_key, matrix, sample_rate, spread, uniform
 from tideline.plans.settings import setting
 
-MAX_PIVOTS = 256
 _SLACK = 1e-9
 _MERGE = 64
 
@@ -112,17 +111,18 @@ def _cells(
 
 
 def _pivots(known: DataFrame, by: list[str], block: int) -> DataFrame:
-    """About one vector in ``block``, at most 256 per group, chosen by hash."""
+    """About one vector in ``block``, at most as many per group as the setting allows, chosen by hash."""
+    most = setting(known.sparkSession, "pivots")
     sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     draw = uniform(7, "pivot", *by, "_vid")
     pool = (
         attach(known, sizes, by)
-        .where(draw < sample_rate(MAX_PIVOTS, F.col("_n")))
+        .where(draw < sample_rate(most, F.col("_n")))
         .select(group_key(by).alias("_g"), *by, "_n", draw.alias("_draw"), "_x")
     )
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
-        wanted = min(MAX_PIVOTS, -(-int(group["_n"].iloc[0]) // block))
+        wanted = min(most, -(-int(group["_n"].iloc[0]) // block))
         # Draw order within a head of the pool keeps the choice uniform.
         chosen = group.sort_values("_draw").head(wanted)
         return chosen[[*by, "_x"]].assign(_cell=np.arange(len(chosen), dtype="int32"))[[*by, "_cell", "_x"]]

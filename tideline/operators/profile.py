@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tideline.functions.labels import outside
 from tideline.plans import attach, freeze, quantiles
@@ -52,10 +52,11 @@ def missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def class_balance(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rows per class and their share; the classes of a group are few, so the totals are a window."""
-    counts = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = F.sum("n_rows").over(Window.partitionBy(*(by or [F.lit(0)])))
-    return counts.withColumn("ratio", F.col("n_rows") / total)
+    """Rows per class and their share; however many classes there are, no task holds all of them."""
+    by = list(by)
+    counts = freeze(df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n_rows")), "classes")
+    totals = counts.groupBy(*by).agg(F.sum("n_rows").alias("_total"))
+    return attach(counts, totals, by).withColumn("ratio", F.col("n_rows") / F.col("_total")).drop("_total")
 
 
 def histogram(df: DataFrame, value: str = "value", bins: int = 50, by: Sequence[str] = (SERIES,)) -> DataFrame:

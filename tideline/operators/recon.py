@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tideline.operators.detector import Detector, DetectorModel, with_label
+from tideline.operators.detector import Detector, DetectorModel, finish
 from tideline.operators.rolling import sliding_windows
 from tideline.plans import attach, freeze, quantiles
 from tideline.plans.models import apply_models, fields, group_key
@@ -55,7 +55,7 @@ class WindowReconstruction(Detector):
 
     def fit(self, df: DataFrame) -> WindowReconstructionModel:
         by, wanted = self.by, self.n_components
-        windows = self.windows(df)
+        windows = freeze(self.windows(df), "windows")
         sums = outer_sums(windows.select(*by, F.concat(F.array(F.lit(1.0)), "_w").alias("_z")), by, "_z")
 
         def solve(group: pd.DataFrame) -> pd.DataFrame:
@@ -72,8 +72,8 @@ class WindowReconstruction(Detector):
         schema = ", ".join([*([fields(sums, by)] if by else []), "mean array<double>", "basis array<double>"])
         models = freeze(sums.withColumn("_g", group_key(by)).groupBy("_g").applyInPandas(solve, schema), "basis")
         model = WindowReconstructionModel(self.name, self, models, None)
-        errors = freeze(model.errors(df).select(*by, "raw_score"), "errors")
-        cut = quantiles(errors, by, "raw_score", {"threshold": self.threshold_percentile / 100})
+        errors = freeze(model.errors_of(windows).select(*by, "_raw"), "errors")
+        cut = quantiles(errors, by, "_raw", {"_cut": self.threshold_percentile / 100})
         return WindowReconstructionModel(self.name, self, models, freeze(cut, "threshold"))
 
 
@@ -94,8 +94,11 @@ class WindowReconstructionModel(DetectorModel):
     keeps_rows = False
 
     def errors(self, df: DataFrame) -> DataFrame:
+        return self.errors_of(self.spec.windows(df))
+
+    def errors_of(self, windows: DataFrame) -> DataFrame:
         size = 8 * (self.spec.n_components + 1) * self.spec.window_size * max(1, len(self.spec.inputs)) + 64
-        return apply_models(self.spec.windows(df), self.spec.by, "_w", self.models, rebuild_error, "raw_score", size).drop("_w")
+        return apply_models(windows, self.spec.by, "_w", self.models, rebuild_error, "_raw", size).drop("_w")
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return with_label(attach(self.errors(df), self.thresholds, self.spec.by, how="left", frozen=True), centred=False)
+        return finish(attach(self.errors(df), self.thresholds, self.spec.by, how="left", frozen=True), centred=False)

@@ -70,25 +70,14 @@ def report_lines(rows: DataFrame, title: str = "Detection Report") -> DataFrame:
     detectors = sorted({r["item"] for r in found if r["section"] == "details"})
     if not detectors:
         raise ValueError("nothing to report")
-    lines = [f"# {title}", "", "## Summary", ""]
-    lines += [f"- **Detectors run:** {value['summary', 'all', 'detectors_run']}"]
-    lines += [f"- **Total data points:** {value['summary', 'all', 'total_points']}", ""]
-    lines += [f"- **{d}:** {value['summary', d, 'anomalies']} anomalies detected" for d in detectors] + [""]
-    measured = [d for d in detectors if ("metrics", d, METRICS[0]) in value]
-    if measured:
-        lines += ["## Metrics Comparison", "", "| Detector | " + " | ".join(METRICS) + " |"]
-        lines += ["| --- " * (len(METRICS) + 1) + "|"]
-        lines += [f"| {d} | " + " | ".join(value["metrics", d, m] for m in METRICS) + " |" for d in measured] + [""]
-    lines += ["## Per-Detector Details", ""]
+    n = value["summary", "all", "detectors_run"]
+    lines = [f"# {title}", "", f"{value['summary', 'all', 'total_points']} rows were judged by {n} detectors.", ""]
+    lines += ["| Detector | Flagged | Share | " + " | ".join(METRICS) + " |", "| --- " * (len(METRICS) + 3) + "|"]
     for d in detectors:
-        lines += [f"### {d}", "", f"- **Anomalies detected:** {value['details', d, 'anomalies']}"]
-        lines += [f"- **Percentage flagged:** {value['details', d, 'pct']}"]
-        known = [(m, value.get(("metrics", d, m), "N/A")) for m in METRICS]
-        lines += [f"- **{m}:** {v}" for m, v in known if v != "N/A"] + [""]
-    n = int(value["summary", "all", "detectors_run"])
-    lines += ["## Ensemble Summary", ""]
-    lines += [f"- **Majority vote anomalies** (>{n // 2} detectors agree): {value['ensemble', 'all', 'majority']}"]
-    lines += [f"- **Unanimous anomalies** (all {n} detectors agree): {value['ensemble', 'all', 'unanimous']}", ""]
+        measures = [value.get(("metrics", d, m), "N/A") for m in METRICS]
+        lines += ["| " + " | ".join([d, value["details", d, "anomalies"], value["details", d, "pct"], *measures]) + " |"]
+    lines += ["", f"Flagged by more than half of the detectors: {value['ensemble', 'all', 'majority']} rows."]
+    lines += [f"Flagged by every detector: {value['ensemble', 'all', 'unanimous']} rows.", ""]
     return rows.sparkSession.createDataFrame(list(enumerate(lines)), "line_no int, line string")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from tideline.functions.labels import outside
 from tideline.functions.scalars import day_of_week, month
 from tideline.plans import framed, with_position
-from tideline.sources.series import KEY, SERIES, TS
+from tideline.sources.series import KEY, SERIES, TS, value_columns
 
 # Rolling lengths and lags of the feature set.
 ROLLING, LAGS = (7, 30), (1, 7)
@@ -17,12 +17,13 @@ ROLLING, LAGS = (7, 30), (1, 7)
 
 def add_features(
     df: DataFrame,
-    columns: Sequence[str],
+    columns: Sequence[str] | None = None,
     by: Sequence[str] = (SERIES,),
     order: Sequence[str] = (TS, KEY),
 ) -> DataFrame:
-    """Rolling mean and sample deviation, lags, weekday and month."""
+    """Rolling mean and sample deviation, lags, weekday and month, by default of every numeric column."""
     ts = order[0]
+    columns = list(columns or value_columns(df, [*by, *order]))
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
         extra: list[Column] = []
@@ -85,7 +86,7 @@ def sliding_windows(
     if short == "error":
         too_short = df.groupBy(*by).count().where(F.col("count") < window_size)
         if not too_short.isEmpty():
-            raise ValueError(f"window_size ({window_size}) exceeds the number of rows of a series")
+            raise ValueError(f"a series has fewer rows than window_size = {window_size}")
     step = F.array(*[F.col(c).cast("double") for c in columns])
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:

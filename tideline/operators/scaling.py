@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.plans import attach, freeze, quantiles
-from tideline.sources.series import SERIES
+from tideline.sources.series import SERIES, value_columns
 
 METHODS = ("standard", "minmax", "robust")
 
@@ -17,19 +17,20 @@ METHODS = ("standard", "minmax", "robust")
 class Scaler:
     """Standard (mean, population deviation), min–max or robust (median, quartile range) scaling."""
 
-    columns: Sequence[str]
+    columns: Sequence[str] | None = None  # by default every numeric column
     method: str = "standard"
     by: Sequence[str] = (SERIES,)
 
     def __post_init__(self) -> None:
         if self.method not in METHODS:
-            raise ValueError(f"unknown normalization method {self.method!r}; valid options: {sorted(METHODS)}")
+            raise ValueError(f"scaling method {self.method!r} is none of {', '.join(sorted(METHODS))}")
 
     def fit(self, df: DataFrame) -> ScalerModel:
         by = list(self.by)
+        columns = list(self.columns or value_columns(df, by))
         if self.method == "robust":
             params = df.select(*by).distinct() if by else None
-            for k, c in enumerate(self.columns):
+            for k, c in enumerate(columns):
                 q = quantiles(df, by, c, {f"_q1{k}": 0.25, f"_center{k}": 0.5, f"_q3{k}": 0.75})
                 q = q.withColumn(f"_scale{k}", F.col(f"_q3{k}") - F.col(f"_q1{k}")).drop(f"_q1{k}", f"_q3{k}")
                 params = q if params is None else attach(params, q, by, how="left")
@@ -39,13 +40,13 @@ class Scaler:
                 "minmax": (F.min, lambda c: F.max(c) - F.min(c)),
             }[self.method]
             params = df.groupBy(*by).agg(
-                *[centre(c).alias(f"_center{k}") for k, c in enumerate(self.columns)],
-                *[spread(c).alias(f"_scale{k}") for k, c in enumerate(self.columns)],
+                *[centre(c).alias(f"_center{k}") for k, c in enumerate(columns)],
+                *[spread(c).alias(f"_scale{k}") for k, c in enumerate(columns)],
             )
-        for k in range(len(self.columns)):
+        for k in range(len(columns)):
             # A constant column is divided by 1.
             params = params.withColumn(f"_scale{k}", F.when(F.col(f"_scale{k}") == 0, 1.0).otherwise(F.col(f"_scale{k}")))
-        return ScalerModel(tuple(self.columns), tuple(by), freeze(params, "scaler"))
+        return ScalerModel(tuple(columns), tuple(by), freeze(params, "scaler"))
 
 
 @dataclass(frozen=True)
@@ -55,7 +56,8 @@ class ScalerModel:
     params: DataFrame
 
     def _apply(self, df: DataFrame, change) -> DataFrame:
-        joined = attach(df, self.params, self.by, frozen=True, row_bytes=32 * (1 + len(self.columns)))
+        # A series that was not fitted has no scale: its values become null, its rows stay.
+        joined = attach(df, self.params, self.by, "left", frozen=True, row_bytes=32 * (1 + len(self.columns)))
         place = {c: k for k, c in enumerate(self.columns)}
         return joined.select(
             *[
@@ -80,7 +82,7 @@ def _unscaled(c: Column, center: Column, scale: Column) -> Column:
 
 
 def normalize(
-    df: DataFrame, columns: Sequence[str], method: str = "standard", by: Sequence[str] = (SERIES,)
+    df: DataFrame, columns: Sequence[str] | None = None, method: str = "standard", by: Sequence[str] = (SERIES,)
 ) -> tuple[DataFrame, ScalerModel]:
     """Fit and apply in one call."""
     model = Scaler(columns, method, by).fit(df)

@@ -14,7 +14,7 @@ STRATEGIES = ("majority", "unanimous", "any")
 
 def check_strategy(strategy: str) -> None:
     if strategy not in STRATEGIES:
-        raise ValueError(f"unknown strategy {strategy!r}; choose from {sorted(STRATEGIES)}")
+        raise ValueError(f"votes are not combined by {strategy!r}; there are {', '.join(STRATEGIES)}")
 
 
 def decide(votes: Column, voters: Column, strategy: str) -> Column:

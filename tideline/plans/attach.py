@@ -40,7 +40,7 @@ def attach(
     limit = setting(spark, "broadcastBytes")
     if not on:
         # One group: a single row of parameters.
-        return df.join(F.broadcast(params.limit(1)))
+        return df.join(F.broadcast(params.limit(1)), F.lit(True), how)
     if not frozen and at_most is not None and at_most * row_bytes <= limit:
         return join_null_safe(df, F.broadcast(params), on, how)
     if not frozen:

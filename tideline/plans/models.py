@@ -14,9 +14,6 @@ from tideline.plans.attach import attach
 from tideline.plans.scratch import freeze, rows_of
 from tideline.plans.settings import setting
 
-# Rows given to one model in one task when models are too many to broadcast.
-_ROWS_PER_SHARE = 200_000
-
 # From vectors and the model's columns to one value (a number or a list of numbers) per vector.
 Kernel = Callable[[np.ndarray, dict[str, Any]], Sequence[Any]]
 
@@ -44,7 +41,7 @@ def apply_models(
     model_bytes: int,
     returns: str = "double",
 ) -> DataFrame:
-    """Add ``name`` = kernel(vectors, model of the group); null without a vector or a model.
+    """Add ``name`` = kernel(vectors, model of the group); null without a vector or a model (or for NaN).
 
     ``models`` is a written table with any number of rows per group. While all of them fit into
     the broadcast limit they travel to the executors once and the rows stay where they are.
@@ -58,9 +55,15 @@ def apply_models(
     def as_model(rows: pd.DataFrame) -> dict[str, Any]:
         return {c: rows[c].to_list() for c in params}
 
+    def empty(n: int) -> np.ndarray:
+        return np.full(n, np.nan) if returns == "double" else np.full(n, None, dtype=object)
+
     def fill(out: np.ndarray, places: np.ndarray, values: Sequence[Any]) -> None:
-        for place, value in zip(places, values):
-            out[place] = value
+        if returns == "double":
+            out[places] = values
+        else:
+            for place, value in zip(places, values):
+                out[place] = value
 
     if rows_of(models) * model_bytes <= setting(spark, "broadcastBytes"):
         table = keyed_models.toPandas()
@@ -68,7 +71,7 @@ def apply_models(
 
         @F.pandas_udf(returns)
         def score(keys: pd.Series, vectors: pd.Series) -> pd.Series:
-            out = np.full(len(keys), None, dtype=object)
+            out = empty(len(keys))
             usable = vectors.notna().to_numpy()
             for g, places in keys.groupby(keys).indices.items():
                 places = places[usable[places]]
@@ -78,7 +81,7 @@ def apply_models(
 
         return df.withColumn(name, score(group_key(by), F.col(vector)))
 
-    sizes = freeze(df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(_ROWS_PER_SHARE)).cast("int").alias("_shares")), "sizes")
+    sizes = freeze(df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(setting(spark, "shareRows"))).cast("int").alias("_shares")), "sizes")
     scalars = [c for c, t in df.dtypes if not t.startswith("map")]
     shared_rows = (
         attach(df, sizes, by, frozen=True)
@@ -96,7 +99,7 @@ def apply_models(
 
     def meet(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop(columns=["_g", "_share"])
-        out = np.full(len(rows), None, dtype=object)
+        out = empty(len(rows))
         usable = np.flatnonzero(rows[vector].notna().to_numpy())
         if len(model) and len(usable):
             fill(out, usable, kernel(matrix(rows[vector].iloc[usable]), as_model(model)))

@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tideline.plans.attach import attach
+from tideline.plans.settings import setting
+
 # Matrices held at once by one task before partial sums are passed on.
 _HELD_BYTES = 64 * 1024 * 1024
 
@@ -27,32 +30,59 @@ def outer_sums(df: DataFrame, by: Sequence[str], vector: str) -> DataFrame:
         size = 0
 
         def drain() -> pd.DataFrame:
-            out = pd.DataFrame({"_g": list(held), "m": [m.ravel() for m in held.values()]})
+            out = pd.DataFrame({"_g": list(held), "m": list(held.values())})
             held.clear()
             return out
 
         for batch in batches:
             for g, part in batch.groupby("_g", sort=False):
                 x = np.vstack(part[vector].to_numpy())
-                m = x.T @ x
+                # Symmetric: the upper triangle says it all.
+                m = (x.T @ x)[np.triu_indices(x.shape[1])]
                 if g in held:
                     held[g] += m
-                else:
-                    held[g] = m
-                    size += m.nbytes
-            if size > _HELD_BYTES:
-                yield drain()
-                size = 0
+                    continue
+                held[g] = m
+                size += m.nbytes
+                if size > _HELD_BYTES:
+                    yield drain()
+                    size = 0
         if held:
             yield drain()
 
     sums = (
-        keyed.mapInPandas(partial, "_g string, m array<double>")
-        .select("_g", F.posexplode("m").alias("i", "v"))
-        .groupBy("_g", "i")
+        _gathered(keyed).mapInPandas(partial, "_g string, m array<double>")
+        .select("_g", F.posexplode("m").alias("i", "v"), F.size("m").alias("n"))
+        .groupBy("_g", "i", "n")
         .agg(F.sum("v").alias("total"))
     )
+    # Back to both halves of the matrix: entry i of the triangle is (row, column) of a p by p matrix.
+    p = ((F.sqrt(8.0 * F.col("n") + 1) - 1) / 2).cast("int")
+    back = F.col("n") - 1 - F.col("i")
+    level = F.floor((F.sqrt(8.0 * back + 1) - 1) / 2).cast("int")
+    row = p - 1 - level
+    column = p - 1 - (back - (level * (level + 1) / 2).cast("int"))
+    places = F.array_distinct(F.array(row * p + column, column * p + row))
+    sums = sums.select("_g", F.explode(F.transform(places, lambda i: i.cast("int"))).alias("i"), "total")
     if not by:
         return sums.select("i", "total")
     schema = T.StructType([df.schema[c] for c in by])
     return sums.select(F.from_json("_g", schema).alias("_k"), "i", "total").select("_k.*", "i", "total")
+
+
+def _gathered(keyed: DataFrame) -> DataFrame:
+    """Rows as they are where groups are long; short groups are brought together first.
+
+    A task passes on a matrix for every group that it meets, which is far larger than a row. Spread
+    over many tasks, short groups would multiply the data; a group of up to ``shortRows`` rows is
+    therefore sent to one task whole, while longer ones stay where they are.
+    """
+    spark = keyed.sparkSession
+    sizes = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("n"))
+    totals = sizes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups")).first()
+    if not totals["groups"] or totals["rows"] / totals["groups"] > setting(spark, "shortRows"):
+        return keyed
+    most = F.lit(setting(spark, "chunkRows"))
+    share = F.pmod(F.xxhash64(*keyed.columns[1:]), F.ceil(F.col("n") / most)).cast("int")
+    shared = attach(keyed, sizes, ["_g"]).withColumn("_share", share)
+    return shared.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_g", "_share").select(*keyed.columns)

@@ -16,6 +16,15 @@ _DEFAULTS = {
     # Copies of each parameter row in a salted join, and the most rows to repeat like that.
     "salts": 16,
     "saltedRows": 50_000_000,
+    # Rows that one model scores in one task when the models are too many to broadcast.
+    "shareRows": 200_000,
+    # Groups of up to so many rows on average are gathered before their outer products are summed.
+    "shortRows": 1_000,
+    # Pivot vectors per group in the neighbour search.
+    "pivots": 256,
+    # Distinct values per block of the one-dimensional local outlier factor, and rows that ask in one task.
+    "valueBlock": 50_000,
+    "askedRows": 200_000,
     # Rows of one block in blocked neighbour search and in per-block model application.
     "blockRows": 4_096,
 }

@@ -47,6 +47,14 @@ def detect_analysis_column(df: DataFrame) -> str:
     return next((c for c in numeric if c != TRUTH), numeric[0])
 
 
+def value_columns(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    """Every numeric column that is no key."""
+    found = [c for c in numeric_columns(df) if c not in (*keys, SERIES, TS, KEY)]
+    if not found:
+        raise ValueError("there is no column of numbers")
+    return found
+
+
 def _timestamp(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
@@ -75,11 +83,11 @@ def standardise(
     """
     missing = [c for c in (date_col, value_col) if c is not None and c not in df.columns]
     if missing:
-        raise ValueError(f"columns not found: {missing}")
+        raise ValueError(f"the table lacks {missing}")
     reserved = {date_col, *(c for c in (series, key) if isinstance(c, str))}
     values = [value_col] if value_col else [c for c in numeric_columns(df) if c not in reserved]
     if not values:
-        raise ValueError("no numeric columns found")
+        raise ValueError("there is no column of numbers")
     series_expr = F.lit("series") if series is None else (F.col(series) if isinstance(series, str) else series)
     key_expr = F.xxhash64(*df.columns) if key is None else (F.col(key) if isinstance(key, str) else key)
     return df.select(
@@ -107,7 +115,7 @@ def read_csv(
     header = spark.read.option("header", True).csv(path).columns
     missing = [c for c in (date_col, value_col) if c not in header]
     if missing:
-        raise ValueError(f"required columns missing from CSV: {missing}")
+        raise ValueError(f"the CSV header lacks {missing}")
     types = dict(extra or {})
 
     def kind(c: str) -> str:
@@ -120,19 +128,18 @@ def read_csv(
     schema = ", ".join(f"`{c}` {kind(c)}" for c in header)
     raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
     extras = [c for c in header if c not in (date_col, value_col, series, key)]
-    series_expr = F.col(series) if series else F.col("_metadata.file_name")
+    series_expr = F.col(series) if series else F.col("_metadata.file_path")
     key_expr = F.col(key) if key else F.xxhash64(*header)
     out = raw.select(
         series_expr.cast("string").alias(SERIES),
         F.col(date_col).alias(TS),
         key_expr.alias(KEY),
-        *[F.when(~F.isnan(value_col), F.col(value_col)).alias(value_col)],
-        *extras,
+        *[_number(raw, c).alias(c) for c in (value_col, *extras)],
     )
     return require_rows(out)
 
 
-def require_rows(df: DataFrame, message: str = "the resulting table is empty") -> DataFrame:
+def require_rows(df: DataFrame, message: str = "no rows are left") -> DataFrame:
     if df.isEmpty():
         raise ValueError(message)
     return df
@@ -149,13 +156,13 @@ def select_ohlcv(
 ) -> DataFrame:
     """One price column of some tickers (all if None) with ``start <= date < end``."""
     if start >= end:
-        raise ValueError("start must be before end")
+        raise ValueError("the period is empty: start does not come before end")
     if column not in df.columns:
-        raise ValueError(f"column {column!r} not found; available: {df.columns}")
+        raise ValueError(f"the table has {df.columns}, not {column!r}")
     picked = df.where((F.col(date_col) >= F.lit(start)) & (F.col(date_col) < F.lit(end)))
     if tickers is not None:
         picked = picked.where(F.col(ticker_col).isin(list(tickers)))
-    return standardise(picked, date_col, column, series=ticker_col, key=F.xxhash64(ticker_col, date_col))
+    return require_rows(standardise(picked, date_col, column, series=ticker_col, key=F.xxhash64(ticker_col, date_col)))
 
 
 def normalise_ticker(c: Column | str) -> Column:
@@ -171,7 +178,7 @@ def validate(df: DataFrame, required: Sequence[str], numeric: Sequence[str]) ->
     """
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"required columns missing: {missing}")
+        raise ValueError(f"the table lacks the required {missing}")
     rules = {"rows": F.count(F.lit(1))}
     for c in required:
         rules[f"{c} missing"] = F.count_if(F.col(c).isNull())

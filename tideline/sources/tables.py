@@ -17,8 +17,6 @@ from tideline.sources.series import KEY, SERIES, TS, require_rows, standardise
 SERIES_TABLE = "time_series"
 RESULTS_TABLE = "detection_results"
 
-POINTS_PER_DOCUMENT = 10_000
-
 
 def jdbc_table(
     spark: SparkSession,
@@ -67,11 +65,13 @@ def series_rows(df: DataFrame, value: str = "value") -> DataFrame:
     return df.select(F.col(SERIES).alias("name"), F.col(TS).alias("ts"), F.col(value).cast("double").alias("value"))
 
 
-def result_rows(results: DataFrame, detector: str = "detector", points: bool = False) -> DataFrame:
-    """One JSON document per series and method for a ``detection_results`` table.
+def result_rows(
+    results: DataFrame, detector: str = "detector", points: bool = True, points_per_document: int = 10_000
+) -> DataFrame:
+    """JSON documents for a ``detection_results`` table: every point, or a summary without ``points``.
 
-    By default a summary of fixed size. With ``points`` every point is kept, as one document per
-    series, method and run of points, so that no document grows with the length of the series.
+    Documents hold up to ``points_per_document`` points, so that none grows with the length of its
+    series; ``part`` numbers those of a series and method from 0 in time order.
     """
     if not points:
         body = results.groupBy(SERIES, detector).agg(
@@ -86,12 +86,12 @@ def result_rows(results: DataFrame, detector: str = "detector", points: bool = F
             F.col(SERIES).alias("series_name"), F.col(detector).alias("method"), F.to_json(document).alias("results")
         )
     placed = with_position(results, [SERIES, detector], [TS, KEY], "_place")
-    part = F.floor(F.col("_place") / F.lit(POINTS_PER_DOCUMENT))
-    body = placed.groupBy(SERIES, detector, part.alias("_part")).agg(
+    part = F.floor(F.col("_place") / F.lit(points_per_document)).cast("int")
+    body = placed.groupBy(SERIES, detector, part.alias("part")).agg(
         F.sort_array(F.collect_list(F.struct(TS, KEY, "score", "label"))).alias("points")
     )
     return body.select(
-        F.col(SERIES).alias("series_name"), F.col(detector).alias("method"), F.to_json(F.struct("points")).alias("results")
+        F.col(SERIES).alias("series_name"), F.col(detector).alias("method"), "part", F.to_json(F.struct("points")).alias("results")
     )
 
 
