@@ -308,7 +308,24 @@ def report_facts(spark: SparkSession, sf: str) -> DataFrame:
     return report_rows(verdicts(spark, sf))
 
 
-@query()
+@query(
+    _TOXIC_METRICS
+    + """, c AS (SELECT detector, count(*) FILTER (WHERE label = -1) AS a, count(label) AS n FROM x GROUP BY 1),
+    t AS (SELECT doc_id, count(*) FILTER (WHERE label = -1) AS votes, count(label) AS voters FROM x GROUP BY 1),
+    k AS (SELECT max(n) AS n, count(*) AS d FROM c)
+    SELECT 0 AS line_no, '# Detection Report' AS line
+    UNION ALL SELECT unnest([1, 3]), ''
+    UNION ALL SELECT 2, format('{} rows were judged by {} detectors.', n, d) FROM k
+    UNION ALL SELECT 4, '| Detector | Flagged | Share | accuracy | precision | recall | f1 | auc_roc |'
+    UNION ALL SELECT 5, '| --- | --- | --- | --- | --- | --- | --- | --- |'
+    UNION ALL SELECT CAST(5 + row_number() OVER (ORDER BY detector) AS INT), format('| {} | {} | {:.2f}% | {:.4f} | {:.4f} | {:.4f} | {:.4f} | {:.4f} |',
+        detector, a, a * 100.0 / n, accuracy, precision, recall, f1, auc_roc) FROM c JOIN m USING (detector) JOIN u USING (detector)
+    UNION ALL SELECT CAST(6 + d AS INT), '' FROM k
+    UNION ALL SELECT CAST(7 + d AS INT), format('Flagged by more than half of the detectors: {} rows.',
+        (SELECT count(*) FROM t WHERE 2 * votes > voters)) FROM k
+    UNION ALL SELECT CAST(8 + d AS INT), format('Flagged by every detector: {} rows.', (SELECT count(*) FROM t WHERE votes = voters)) FROM k
+    UNION ALL SELECT CAST(9 + d AS INT), '' FROM k"""
+)
 def report_markdown(spark: SparkSession, sf: str) -> DataFrame:
     rows = documents_scored(spark, sf)
     metrics = evaluate(rows, "toxic", score="score", label_format="one_is_anomaly")

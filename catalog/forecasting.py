@@ -47,18 +47,78 @@ def forecast_linear_flags(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(out).drop("row_key")
 
 
-@query()
-def forecast_full(spark: SparkSession, sf: str) -> DataFrame:
+@query(
+    f"""WITH {DAILY}, {_LINE.format('d')},
+    a AS (SELECT s, ts FROM d UNION ALL SELECT s, last + i * INTERVAL 1 DAY FROM r, (SELECT unnest(range(1, 15)) AS i))
+    SELECT a.s AS series_id, a.ts AS ds, round(my + b * (epoch_us(a.ts) / 1e6 / 86400 - mx), 2) AS yhat, d.v AS value
+    FROM a JOIN r USING (s) LEFT JOIN d ON d.s = a.s AND d.ts = a.ts"""
+)
+def forecast_actuals(spark: SparkSession, sf: str) -> DataFrame:
+    """Forecast rows beside what was observed; future rows have no value."""
     rows = daily(spark, sf)
-    forecast = Forecaster().fit(rows).predict(rows, 30)
-    return with_actuals(_rounded(forecast), rows)
+    forecast = _rounded(Forecaster(**_PLAIN).fit(rows).predict(rows, 14))
+    return with_actuals(forecast, rows).select("series_id", "ds", "yhat", "value")
+
 
+_GAP = CALENDAR.replace("LEFT JOIN d ON", "LEFT JOIN d ON g.s <> '1-URGENT' AND")
 
-@query()
+
+@query(
+    f"""WITH {_GAP}, {_LINE.format('c')}
+    SELECT c.s AS series_id, ts, v AS value, round({_YHAT}, 2) AS yhat, round({_YHAT} - {_Z} * sd, 2) AS yhat_lower,
+        round({_YHAT} + {_Z} * sd, 2) AS yhat_upper,
+        coalesce(v < {_YHAT} - {_Z} * sd OR v > {_YHAT} + {_Z} * sd, false) AS is_anomaly
+    FROM c LEFT JOIN r USING (s) LEFT JOIN g USING (s)"""
+)
+def forecast_null_series(spark: SparkSession, sf: str) -> DataFrame:
+    """A series without any value keeps its rows and has no flags."""
+    known = F.when(F.col("series_id") != "1-URGENT", F.col("value"))
+    out = Forecaster(**_PLAIN).detect_anomalies(calendar(spark, sf).withColumn("value", known))
+    return _rounded(out).drop("row_key")
+
+
+# The full model has no counterpart in SQL, which states what must hold of its rows instead.
+
+
+@query(
+    f"""WITH {DAILY} SELECT s AS series_id, count(*) + 30 AS n_rows, count(*) AS observed, 0 AS outside_interval,
+        true AS closer_than_mean FROM d GROUP BY s"""
+)
+def forecast_full(spark: SparkSession, sf: str) -> DataFrame:
+    rows = daily(spark, sf)
+    forecast = with_actuals(Forecaster().fit(rows).predict(rows, 30), rows)
+    rest = F.col("value") - F.col("yhat")
+    return forecast.groupBy("series_id").agg(
+        F.count("yhat").alias("n_rows"),
+        F.count("value").alias("observed"),
+        F.count_if((F.col("yhat") < F.col("yhat_lower")) | (F.col("yhat") > F.col("yhat_upper"))).cast("int").alias("outside_interval"),
+        (F.sqrt(F.avg(rest * rest)) <= F.stddev_pop("value")).alias("closer_than_mean"),
+    )
+
+
+_PLANTED_SQL = f"""WITH {DAILY} SELECT s AS series_id, count(*) AS n_rows, 0 AS outside_interval,
+        count(*) FILTER (WHERE dayofyear(ts) = 100) AS planted, count(*) FILTER (WHERE dayofyear(ts) = 100) AS planted_flagged
+    FROM d GROUP BY s"""
+
+
+def _planted_flags(spark: SparkSession, sf: str, forecaster: Forecaster) -> DataFrame:
+    """Once a year a value is far above all others."""
+    planted = F.dayofyear("ts") == 100
+    rows = daily(spark, sf).withColumn("value", F.when(planted, F.lit(1e9)).otherwise(F.col("value")))
+    out = forecaster.detect_anomalies(rows)
+    return out.groupBy("series_id").agg(
+        F.count("yhat").alias("n_rows"),
+        F.count_if((F.col("yhat") < F.col("yhat_lower")) | (F.col("yhat") > F.col("yhat_upper"))).cast("int").alias("outside_interval"),
+        F.count_if(planted).alias("planted"),
+        F.count_if(planted & F.col("is_anomaly")).alias("planted_flagged"),
+    )
+
+
+@query(_PLANTED_SQL)
 def forecast_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(Forecaster().detect_anomalies(daily(spark, sf)))
+    return _planted_flags(spark, sf, Forecaster(yearly_seasonality=False))
 
 
-@query()
+@query(_PLANTED_SQL)
 def forecast_multiplicative(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(Forecaster(seasonality_mode="multiplicative").detect_anomalies(daily(spark, sf)))
+    return _planted_flags(spark, sf, Forecaster(seasonality_mode="multiplicative", yearly_seasonality=False))

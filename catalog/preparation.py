@@ -89,6 +89,17 @@ def scale_standard_many(spark: SparkSession, sf: str) -> DataFrame:
     return _scaled("standard", "user_id")(spark, sf)
 
 
+@query(
+    f"""WITH {EVENTS}, p AS (SELECT s, avg(v) AS c, stddev_pop(v) AS w FROM e WHERE s IN ('click', 'view') GROUP BY s)
+    SELECT e.s AS series_id, ts, k AS row_key, round((v - c) / w, 6) AS value FROM e LEFT JOIN p USING (s)"""
+)
+def scale_unseen_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of series that were not fitted stay, without a value."""
+    rows = events(spark, sf)
+    model = Scaler(["value"]).fit(rows.where(F.col("series_id").isin("click", "view")))
+    return model.transform(rows).withColumn("value", F.round("value", 6))
+
+
 @query(
     """SELECT c_custkey, round(c_acctbal, 6) AS c_acctbal, c_nationkey FROM customer"""
 )
