@@ -74,3 +74,14 @@ def test_query(spark, write_tables):
         assert r.n_hits == len(hits)
         assert r.score == max((h[3] for h in hits), default=None)
     assert queries.op9_licence_scan(spark, path).limit(0).collect() == []
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_a_unit_without_anchor_words_stays_below(threshold):
+    for name, own in licences.TEMPLATES.items():
+        for text in own:
+            counts = licences.bigrams(text)
+            needed = licences.anchors(counts, threshold)
+            # The best unit without these words has every bigram that does not touch them.
+            shared = sum(c for g, c in counts.items() if needed.isdisjoint(g.split()))
+            assert 2 * shared / (shared + counts.total()) < threshold, name

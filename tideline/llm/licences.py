@@ -8,6 +8,7 @@ repeats, over the bigrams of both. The score of a unit of n bigrams against a te
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Mapping, Sequence
@@ -79,6 +80,23 @@ def bigrams(text: str) -> Counter:
     return Counter(map(" ".join, zip(words, words[1:])))
 
 
+def anchors(counts: Counter, threshold: float) -> set[str]:
+    """Words of which a unit must hold one to reach the threshold against a template.
+
+    With s of the template's m bigrams shared, a unit has at least s, so the score is at most
+    2 s / (s + m): s has to be m t / (2 - t) or more. Without any of the returned words the unit
+    misses more bigrams than that leaves. Long words are taken first, as they are seldom elsewhere.
+    """
+    m = counts.total()
+    spare = m - math.ceil(m * threshold / (2 - threshold) - 1e-9)
+    taken: set[str] = set()
+    for word in sorted({w for g in counts for w in g.split()}, key=lambda w: (-len(w), w)):
+        taken.add(word)
+        if sum(c for g, c in counts.items() if not taken.isdisjoint(g.split())) > spare:
+            break
+    return taken
+
+
 def _grams(words: Column) -> Column:
     ahead = F.slice(words, F.lit(2), F.size(words) - 1)
     return F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), ahead, lambda a, b: F.concat_ws(" ", a, b))
@@ -117,6 +135,7 @@ def scan(
     )
     sizes = [sum(counts.values()) for _, counts in known]
     least, most = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
+    needed = F.array(*map(F.lit, sorted(set().union(*[anchors(counts, threshold) for _, counts in known]))))
     plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), GAP, " ")
 
     def units(kind: str, parts: Column, wanted) -> Column:
@@ -124,7 +143,7 @@ def scan(
             parts,
             lambda p, i: F.struct(F.lit(kind).alias("kind"), (i + 1).alias("number"), F.array_remove(F.split(p, "[ \n]+"), "").alias("words"), p.alias("p")),
         )
-        fitting = F.filter(named, lambda u: wanted(u["p"]) & (F.size(u["words"]) - 1).between(least, most))
+        fitting = F.filter(named, lambda u: wanted(u["p"]) & (F.size(u["words"]) - 1).between(least, most) & F.arrays_overlap(u["words"], "_needed"))
         return F.transform(fitting, lambda u: F.struct(u["kind"].alias("kind"), u["number"].alias("number"), _grams(u["words"]).alias("grams")))
 
     def best(unit: Column) -> Column:
@@ -144,13 +163,15 @@ def scan(
         df.withColumn("_plain", plain)
         .withColumn("_blocks", F.split("_plain", "\n *\n[ \n]*"))
         .withColumn("_templates", table)
+        .withColumn("_needed", needed)
         .withColumn(
             "_units",
-            F.concat(
+            # Most texts have none of the words that a template calls for.
+            F.when(F.arrays_overlap(F.split("_plain", "[ \n]+"), "_needed"), F.concat(
                 units("line", F.split("_plain", "\n"), lambda p: F.lit(True)),
                 units("paragraph", F.col("_blocks"), lambda p: F.contains(p, F.lit("\n"))),
                 units("text", F.when(F.size("_blocks") > 1, F.array("_plain")).otherwise(F.array().cast("array<string>")), lambda p: F.lit(True)),
-            ),
+            )).otherwise(F.array().cast("array<struct<kind:string,number:int,grams:array<string>>>")),
         )
     )
     scored = F.transform("_units", lambda u: F.struct(u["kind"].alias("kind"), u["number"].alias("number"), best(u).alias("best")))
