@@ -21,7 +21,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tideline.plans.attach import attach
 from tideline.plans.scratch import freeze
 
 WINDOW = 16
@@ -162,7 +161,8 @@ def dedup(
     marked = df.select(
         *kept, F.coalesce(F.col(key).cast("bigint"), by_text).alias("_id"), F.hash(F.lit(1), body).alias("_mark")
     )
-    joined = attach(marked, held_elsewhere(marked, text, mean_words), ["_id", "_mark"], "left", row_bytes=512)
+    # About as many rows as there are texts, each of its own length: an ordinary join at every size.
+    joined = marked.join(held_elsewhere(marked, text, mean_words), ["_id", "_mark"], "left")
 
     @F.pandas_udf("text string, spans array<struct<start:int,stop:int,words:int>>")
     def without(texts: pd.Series, numbers: pd.Series) -> pd.DataFrame:
