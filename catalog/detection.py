@@ -15,6 +15,7 @@ from tideline.operators.recon import WindowReconstruction
 from tideline.operators.votes import decide
 from tideline.sources.series import standardise
 from tideline.streaming.scoring import score_stream
+from tideline.streaming.windows import refreshed, tumbling
 
 VECTORS = {"inputs": "embedding", "by": [], "order": ["vec_id"]}
 
@@ -80,6 +81,20 @@ def stream_score(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(score_stream(rows, model), _KEYS)
 
 
+@query(
+    f"""WITH {EVENTS} SELECT s AS series_id, time_bucket(INTERVAL 1 HOUR, ts) AS start,
+        time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS end, count(v) AS n, round(sum(v), 4) AS total,
+        min(v) AS least, max(v) AS greatest
+    FROM e GROUP BY 1, 2, 3"""
+)
+def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly aggregates of the events as they arrive, kept up to date in a table."""
+    schema = table(spark, sf, "events").schema
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    rows = standardise(arriving, "ts", "value", series="event_type", key="event_id")
+    return refreshed(tumbling(rows, "1 hour")).withColumn("total", F.round("total", 4))
+
+
 def _lof_sql(own: bool) -> str:
     """In value order the 20 nearest rows lie within 20 places on either side."""
     return f"""WITH {EVENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY v, k) AS i FROM e),

@@ -6,6 +6,7 @@ from tideline.operators.envelope import EllipticEnvelope
 from tideline.operators.lof import LocalOutlierFactor
 from tideline.operators.recon import WindowReconstruction
 from tideline.streaming.scoring import score_stream
+from tideline.streaming.windows import refreshed, tumbling
 
 
 @pytest.mark.parametrize("detector", [EllipticEnvelope(), LocalOutlierFactor(n_neighbors=3)])
@@ -26,3 +27,22 @@ def test_windows_are_refused(spark, series, tmp_path):
     model = WindowReconstruction(window_size=5).fit(df)
     with pytest.raises(ValueError):
         score_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), model)
+
+
+def test_tumbling_stream_equals_batch(spark, series, tmp_path):
+    df = series({"a": range(20), "b": [1, None, 3]})
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    a = refreshed(tumbling(stream, "7 days")).orderBy("series_id", "start").collect()
+    b = tumbling(df, "7 days").orderBy("series_id", "start").collect()
+    assert a == b and sum(r["n"] for r in a) == 22
+    assert tumbling(stream, "7 days", late="1 day").isStreaming
+
+
+def test_input_column_called_batch(spark, series, tmp_path):
+    from pyspark.sql import functions as F
+
+    df = series({"a": range(20)}).withColumn("batch", F.lit("x"))
+    df.write.parquet(str(tmp_path / "in"))
+    out = score_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), EllipticEnvelope().fit(df))
+    assert {r["batch"] for r in out.collect()} == {"x"}
