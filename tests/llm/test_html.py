@@ -32,6 +32,7 @@ CASES = {
     "article header": (f"<article><header><h1>Head</h1></header><p>{PROSE}</p></article>", ["Head", PROSE]),
     "open script": (f"<p>{PROSE}</p><script>var x", [PROSE]),
     "unclosed inline": (f"<p><b>{PROSE}<br><p>x <i>y</i>z</p>", [PROSE, "x yz"]),
+    "hidden": (f"<p title='a hidden gem' class=lead>{PROSE}</p><p hidden>{PROSE}</p><div aria-hidden='true'>{PROSE}</div>", [PROSE]),
     "no markup": ("just  some\ntext", ["just some text"]),
     "no text": ("<nav><a>x</a></nav><script>1</script>", []),
     "empty": ("", []),

@@ -30,6 +30,8 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"([^\s\"'>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+))")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
 _RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -73,8 +75,10 @@ def _no_article(tag: str, attrs: str, inside_article: bool) -> bool:
     if tag in _DROPPED:
         # The header of an article holds its heading.
         return not (tag == "header" and inside_article)
-    if tag in ("html", "body", "article", "main") or "=" not in attrs:
+    if tag in ("html", "body", "article", "main") or not attrs:
         return False
+    if _HIDDEN.search(_QUOTED.sub("", attrs)):
+        return True
     for name, *values in _ATTR.findall(attrs):
         value = html.unescape("".join(values)).lower()
         name = name.lower()
@@ -87,7 +91,7 @@ def _no_article(tag: str, attrs: str, inside_article: bool) -> bool:
                     return not (inside_article and words[-1] == "header")
         if name == "aria-hidden" and value == "true":
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs))
+    return False
 
 
 def read(page: str) -> tuple[list[Element], list[TextNode]]:
