@@ -72,8 +72,8 @@ def _repeat_words(window: int) -> Column:
     return F.aggregate(F.sort_array(F.array_compact(twice)), start, cover, lambda s: s["total"])
 
 
-def features(df: DataFrame, rules: Rules, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Add one struct ``_f`` of counts; null texts count as empty."""
+def features(df: DataFrame, rules: Rules, text: str = "text", lang: str = "lang", base: bool = True) -> DataFrame:
+    """Add one struct ``_f`` of counts; null texts count as empty. Without ``base`` the histograms only."""
     body = F.coalesce(F.col(text), F.lit(""))
     languages = list(rules.common_words)
     common = F.lit(None).cast("array<string>")
@@ -96,12 +96,15 @@ def features(df: DataFrame, rules: Rules, text: str = "text", lang: str = "lang"
     inside = [total - F.length(F.regexp_replace(body, f"[{c}]+", "")) for c in CLASSES]
     classes = F.array(*inside)
     found = F.transform("_common", lambda w: (F.size("_parts") - F.size(F.array_remove("_parts", w))).cast("long"))
-    struct = F.struct(
+    counts = [
         F.col("_n").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (total - F.length(F.translate(body, SYMBOLS, ""))).alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.when(F.col("_sorted").isNotNull(), _repeat_words(rules.window)), F.lit(0)).cast("long").alias("n_repeat_words"),
+    ]
+    struct = F.struct(
+        *(counts if base else []),
         total.alias("chars"),
         classes.alias("classes"),
         F.size("_parts").cast("long").alias("compared"),
@@ -170,7 +173,6 @@ def judge(counted: DataFrame, refs: DataFrame, rules: Rules, lang: str = "lang")
 
 def keep_good(df: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows that the rules keep, with their columns. Texts are read twice and never shuffled."""
-    counted = features(df, rules, text, lang)
-    refs = references(counted, rules, lang)
+    refs = references(features(df, rules, text, lang, base=False), rules, lang)
     marked = df.select(F.struct(*df.columns).alias("_doc"), F.col(text).alias("_text"), F.col(lang).alias("_of"))
     return judge(features(marked, rules, "_text", "_of"), refs, rules, "_of").where("kept").select("_doc.*")
