@@ -114,3 +114,36 @@ def test_query(spark, write_tables):
     got = {r.doc_id: r for r in queries.op3_gear_chunks(spark, path).collect()}
     assert {k: r.text for k, r in got.items()} == dict(zip([k for k, _ in rows], plain_dedup(rows)))
     assert all(r.n_cut_words == sum(s.words for s in r.spans) for r in got.values())
+
+
+def test_chance_chunks_of_unrelated_texts_stay(spark):
+    draw = random.Random(5)
+    text = prose(draw, 120)
+    # A chunk of 12 words would be a passage by itself.
+    parts = [c.decode() for c in plain_chunks(text) if len(c.split()) < 12]
+    # Every chunk is known from another text, no two in a row from the same one.
+    spread = []
+    for k, part in enumerate(parts):
+        tried = (prose(draw, 9) + part + prose(draw, 9) for _ in range(5000))
+        spread.append((k, next(t for t in tried if part.encode() in plain_chunks(t)[1:-1])))
+    rows = [(k, t) for k, t in spread] + [(900, text), (901, prose(draw, 30) + text)]
+    known = {c for _, t in spread for c in plain_chunks(t)}
+    assert sum(len(p.split()) for p in parts if p.encode() in known) >= 50
+    got = {r.doc_id: r for r in chunks.dedup(spark.createDataFrame([(k, t, "x", 1) for k, t in rows], SCHEMA)).collect()}
+    assert got[900].text == text and not got[900].spans
+    assert sum(s.words for s in got[901].spans) >= 100
+    assert plain_dedup(rows)[-2] != text
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_passages_cover_what_sequences_cover(seed):
+    draw = random.Random(seed)
+    words = [draw.randint(0, 9) for _ in range(draw.randint(0, 25))]
+    first, after = chunks.passages(np.array(words, dtype=np.int64), 12)
+    found = list(zip(first.tolist(), after.tolist()))
+    assert len(found) == len(set(found)) and all(sum(words[a:b]) >= 12 for a, b in found)
+    # Any sequence of enough words is covered by the passages that lie in it.
+    for a in range(len(words)):
+        for b in range(a + 1, len(words) + 1):
+            covered = {k for x, y in found if a <= x and y <= b for k in range(x, y)}
+            assert covered == (set(range(a, b)) if sum(words[a:b]) >= 12 else set())

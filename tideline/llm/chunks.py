@@ -3,12 +3,13 @@
 A gear hash rolls over the bytes of a text: shifted left by one, plus a random number for the byte,
 so that it depends on the last ``WINDOW`` bytes only. A chunk ends at the end of a run of white space
 where the hash falls below a limit. No chunk border depends on an earlier one, so an insertion changes
-the chunks around it and all others stay. Chunks are compared by digest.
+the chunks around it and all others stay. Passages of chunks are compared by digest.
 
-A chunk is repeated if a document of smaller id has it, or the same document further up. Where
-repeated chunks follow one another and hold at least ``min_words`` words in all, the run is cut out of
-the text. The first holder of a chunk keeps it, so nothing is lost from the corpus, and a few words
-that two texts share by chance are left alone.
+What is looked for are passages: the fewest consecutive chunks from each chunk on, and up to each chunk,
+that hold at least ``min_words`` words. A passage is repeated if a document of smaller id has it as a
+whole, or the same document further up. Repeated passages are cut out of the text; together they cover
+just the sequences of that many words or more that an earlier text has in the same order. The first
+holder of a passage keeps it, and words that texts share by chance, one here and one there, are left alone.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ WINDOW = 16
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([i]), 7) for i in range(256)], dtype=np.uint64)
 _WHITE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _ROWS = "digest bigint, _id bigint, place bigint"
-# Chunks held by over one part in so many of all repeated ones are spread over so many salts.
+# Passages held by over one part in so many of all repeated ones are spread over so many salts.
 _HOT, _SALTS = 10_000, 64
 
 
@@ -58,19 +59,39 @@ def cut(raw: bytes, mean_words: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return ends, np.diff(np.concatenate([[0], np.cumsum(begins)[ends - 1]]))
 
 
-def _pieces(text: str | None, mean_words: int) -> tuple[bytes, np.ndarray, np.ndarray, list[int]]:
-    """The UTF-8 text, its chunk ends, words per chunk and digests."""
+def passages(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First chunks and ends (exclusive) of the passages: the shortest of ``min_words`` words from
+    each chunk on, then the shortest up to each chunk that are not among those."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    count = len(words)
+    first = np.arange(count)
+    after = np.searchsorted(total, total[:-1] + min_words, side="left")
+    first, after = first[after <= count], after[after <= count]
+    stop = np.arange(1, count + 1)
+    start = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    start, stop = start[start >= 0], stop[start >= 0]
+    # Those from their first chunk on that are no longer than these have been listed.
+    fresh = total[stop - 1] - total[start] >= min_words
+    fresh |= start == stop
+    return np.concatenate([first, start[fresh]]), np.concatenate([after, stop[fresh]])
+
+
+def _passages(text: str | None, mean_words: int, min_words: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The UTF-8 text, its chunk ends, words per chunk, and first chunks, ends and digests of its passages."""
     raw = text.encode() if text else b""
     ends, words = cut(raw, mean_words)
-    edges = [0, *ends.tolist()]
-    return raw, ends, words, [xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(edges, edges[1:])]
+    edges = np.concatenate([[0], ends])
+    first, after = passages(words, min_words)
+    # Borders near the start of a text lack the bytes before: what begins there is known from starts only.
+    digests = [xxhash.xxh64_intdigest(raw[a:b], 0 if a else 1) for a, b in zip(edges[first].tolist(), edges[after].tolist())]
+    return raw, ends, words, first, after, np.array(digests, dtype=np.uint64)
 
 
-def chunk_rows(df: DataFrame, text: str, mean_words: int) -> DataFrame:
-    """One row per chunk of ``_id``, ``_mark``, ``text``: its digest and where it is.
+def passage_rows(df: DataFrame, text: str, mean_words: int, min_words: int) -> DataFrame:
+    """One row per passage of ``_id``, ``_mark``, ``text``: its digest and where it is.
 
-    ``place`` has the document's 32-bit mark above and the chunk's number below, so that three
-    numbers are all that has to be moved of a chunk.
+    ``place`` has the document's 32-bit mark above and the passage's number below, so that three
+    numbers are all that has to be moved of a passage.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,9 +102,9 @@ def chunk_rows(df: DataFrame, text: str, mean_words: int) -> DataFrame:
                 rows, digests, size = [], [], 0
                 # Bounded pieces, whatever the texts' lengths.
                 while at < len(batch) and size < 4_000_000:
-                    raw, _, _, found = _pieces(texts[at].as_py(), mean_words)
+                    raw, _, _, _, _, found = _passages(texts[at].as_py(), mean_words, min_words)
                     rows.append((at, len(found)))
-                    digests.append(np.array(found, dtype=np.uint64).view(np.int64))
+                    digests.append(found.view(np.int64))
                     size += len(raw)
                     at += 1
                 counts = [n for _, n in rows]
@@ -97,15 +118,15 @@ def chunk_rows(df: DataFrame, text: str, mean_words: int) -> DataFrame:
     return df.select("_id", "_mark", F.col(text)).mapInArrow(run, _ROWS)
 
 
-def held_elsewhere(df: DataFrame, text: str, mean_words: int) -> DataFrame:
-    """``_id``, ``_mark`` and ``numbers``: the chunks of a text that a document of smaller id has.
+def held_elsewhere(df: DataFrame, text: str, mean_words: int, min_words: int) -> DataFrame:
+    """``_id``, ``_mark`` and ``numbers``: the passages of a text that a document of smaller id has.
 
     Holders are put together per digest, combining before the shuffle, and only digests of several
-    documents are kept. Chunks then meet them by digest. A digest that holds a large part of all of
+    documents are kept. Passages then meet them by digest. A digest that holds a large part of all of
     these rows, of which there are at most ``_HOT``, is known to every task and spread over salts.
     """
-    chunks = chunk_rows(df, text, mean_words)
-    holders = chunks.groupBy("digest").agg(F.min("_id").alias("least"), F.max("_id").alias("most"), F.count(F.lit(1)).alias("n"))
+    rows = passage_rows(df, text, mean_words, min_words)
+    holders = rows.groupBy("digest").agg(F.min("_id").alias("least"), F.max("_id").alias("most"), F.count(F.lit(1)).alias("n"))
     holders = freeze(holders.where("least < most").select("digest", "least", "n"), "holders")
     total = holders.agg(F.sum("n").alias("n"))
     hot = holders.join(F.broadcast(total.select(F.col("n").alias("_all"))), F.col("n") * _HOT > F.col("_all")).select(
@@ -113,7 +134,7 @@ def held_elsewhere(df: DataFrame, text: str, mean_words: int) -> DataFrame:
     )
     hot = F.broadcast(hot)
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("_id", "place"), F.lit(_SALTS))).otherwise(F.lit(0)).cast("int")
-    asked = chunks.join(hot, "digest", "left").select("digest", "_id", "place", salt.alias("_salt"))
+    asked = rows.join(hot, "digest", "left").select("digest", "_id", "place", salt.alias("_salt"))
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
     known = holders.join(hot, "digest", "left").select("digest", "least", F.explode(salts).alias("_salt"))
     later = asked.join(known, ["digest", "_salt"]).where("_id > least")
@@ -123,26 +144,29 @@ def held_elsewhere(df: DataFrame, text: str, mean_words: int) -> DataFrame:
 
 
 def cut_out(text: str | None, numbers: Sequence[int], mean_words: int, min_words: int) -> tuple[str | None, list[dict]]:
-    """The text without its runs of repeated chunks, and where these were."""
+    """The text without its repeated passages, and where these were."""
     if not text:
         return text, []
-    raw, ends, words, digests = _pieces(text, mean_words)
-    repeated = np.zeros(len(ends) + 1, dtype=bool)
-    repeated[list(numbers)] = True
-    if len(set(digests)) < len(digests):
-        seen: set[int] = set()
-        for k, d in enumerate(digests):
-            repeated[k] |= d in seen
-            seen.add(d)
+    raw, ends, words, first, after, digests = _passages(text, mean_words, min_words)
+    known = np.zeros(len(first), dtype=bool)
+    known[list(numbers)] = True
+    if len(digests):
+        # The same passage further up: any but the first place of a digest.
+        _, where = np.unique(digests, return_inverse=True)
+        least = np.full(where.max() + 1, len(ends))
+        np.minimum.at(least, where, first)
+        known |= first > least[where]
+    marks = np.zeros(len(ends) + 2, dtype=np.int64)
+    np.add.at(marks, first[known], 1)
+    np.add.at(marks, after[known], -1)
+    repeated = np.cumsum(marks)[:-1] > 0
     turns = np.flatnonzero(np.diff(np.concatenate([[False], repeated])))
     kept, spans, at = b"", [], 0
     edges = [0, *ends.tolist()]
     for first, after in zip(turns[::2].tolist(), turns[1::2].tolist()):
-        held = int(words[first:after].sum())
-        if held >= min_words:
-            kept += raw[at : edges[first]]
-            at = edges[after]
-            spans.append({"start": edges[first], "stop": at, "words": held})
+        kept += raw[at : edges[first]]
+        at = edges[after]
+        spans.append({"start": edges[first], "stop": at, "words": int(words[first:after].sum())})
     return ((kept + raw[at:]).decode(), spans) if spans else (text, [])
 
 
@@ -162,7 +186,7 @@ def dedup(
         *kept, F.coalesce(F.col(key).cast("bigint"), by_text).alias("_id"), F.hash(F.lit(1), body).alias("_mark")
     )
     # About as many rows as there are texts, each of its own length: an ordinary join at every size.
-    joined = marked.join(held_elsewhere(marked, text, mean_words), ["_id", "_mark"], "left")
+    joined = marked.join(held_elsewhere(marked, text, mean_words, min_words), ["_id", "_mark"], "left")
 
     @F.pandas_udf("text string, spans array<struct<start:int,stop:int,words:int>>")
     def without(texts: pd.Series, numbers: pd.Series) -> pd.DataFrame:
