@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import bpe, chunks, html, licences, merkle, mixing, quality, sharding, simhash, tokens
+from tideline.llm import bpe, chunks, decontamination, html, licences, merkle, mixing, quality, sharding, simhash, tokens
 from tideline.llm.hashing import SPAN, number_sql, row_key_sql
 from tideline.llm.registry import QUERIES, SQL, query, table
 from tideline.plans.scratch import freeze
@@ -284,3 +284,47 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+WINDOW = 10
+
+
+@query
+def op13_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontamination.decontaminate(documents, items, window=WINDOW)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+SQL["op13_fm_decontaminate"] = rf"""
+WITH letters AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS big, 'abcdefghijklmnopqrstuvwxyz' AS small),
+d AS (
+    SELECT row_number() OVER () AS rid, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), big, small), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, letters),
+i AS (
+    SELECT CAST(item_id AS VARCHAR) AS item,
+        regexp_extract_all(translate(coalesce(text, ''), big, small), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark, letters),
+phrases AS (
+    SELECT DISTINCT item, least(len(w), {WINDOW}) AS size, unnest(list_transform(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1),
+        lambda k: array_to_string(w[k:k + {WINDOW - 1}], ' '))) AS phrase FROM i WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM phrases),
+places AS (
+    SELECT rid, size, unnest(range(1, len(w) - size + 2)) AS spot,
+        unnest(list_transform(range(1, len(w) - size + 2), lambda k: array_to_string(w[k:k + size - 1], ' '))) AS phrase
+    FROM d, sizes WHERE len(w) >= size),
+found AS (SELECT rid, p.size, spot, item FROM places p JOIN phrases q ON p.phrase = q.phrase AND p.size = q.size),
+hit AS (SELECT rid, count(DISTINCT k) AS n FROM (SELECT rid, unnest(range(spot, spot + size)) AS k FROM found) GROUP BY rid),
+named AS (
+    SELECT rid, count(DISTINCT item) AS n, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT rid, item FROM found WHERE item IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)"""
