@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import bpe, chunks, decontamination, html, licences, merkle, mixing, quality, sharding, simhash, tokens
+from tideline.llm import bpe, chunks, decontamination, html, licences, manifest, merkle, mixing, quality, sharding, simhash, tokens
 from tideline.llm.hashing import SPAN, number_sql, row_key_sql
 from tideline.llm.registry import QUERIES, SQL, query, table
 from tideline.plans.scratch import freeze
@@ -286,6 +286,79 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ARITY = 3
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars"]
+    turned = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    shortened = F.when(turned, F.regexp_replace("text", "\n", "")).otherwise(F.col("text"))
+    rows = documents.select(
+        "doc_id",
+        "source",
+        manifest.leaf([F.col(c) for c in [*columns, "text"]]).alias("digest"),
+        manifest.leaf([*[F.col(c) for c in columns], shortened]).alias("tampered"),
+    )
+    built = manifest.build(rows, "source", ["doc_id"], arity=ARITY)
+    return built.leaves.select(
+        "doc_id",
+        manifest.as_hex(F.col("digest")).alias("leaf"),
+        "subroot",
+        F.lit(built.root).alias("root"),
+        manifest.proof(F.col("path")).alias("proof_sha256"),
+        manifest.fold(F.col("tampered"), F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _manifest_sql() -> str:
+    def row(text: str) -> str:
+        columns = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in columns) + ")"
+
+    # The bits of a CRC-32 one by one: a byte is taken in, then eight times the lowest bit goes.
+    steps = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = (
+        f"list_reduce(list_concat([4294967295], {steps}), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) "
+        "WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+    )
+    up = f"list_transform(range(0, len(ns), {ARITY}), lambda i: sha256(array_to_string(ns[i + 1:i + {ARITY}], '')))"
+
+    def fold(name: str, start: str, levels: str) -> str:
+        return f"""{name} AS (
+    {start}
+    UNION ALL
+    SELECT f.rid, f.s, f.level + 1, f.i // {ARITY}, f.proof || array_to_string(l.ns[r + 1:f.i], '') || array_to_string(l.ns[f.i + 2:r + {ARITY}], ''),
+        sha256(array_to_string(l.ns[r + 1:f.i], '') || f.folded || array_to_string(l.ns[f.i + 2:r + {ARITY}], ''))
+    FROM (SELECT *, i - i % {ARITY} AS r FROM {name}) f JOIN {levels} l ON l.s IS NOT DISTINCT FROM f.s AND l.level = f.level
+    WHERE len(l.ns) > 1)"""
+
+    return rf"""
+WITH RECURSIVE d AS (
+    SELECT *, {row("text")} AS leaf,
+        {row(f"CASE WHEN {crc} % 2 = 1 THEN replace(text, chr(10), '') ELSE text END")} AS tampered FROM documents),
+p AS (
+    SELECT *, row_number() OVER () AS rid,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+levels AS (
+    SELECT source AS s, 0 AS level, list(leaf ORDER BY i) AS ns FROM p GROUP BY source
+    UNION ALL SELECT s, level + 1, {up} FROM levels WHERE len(ns) > 1),
+subroots AS (
+    SELECT s, level AS height, ns[1] AS subroot, row_number() OVER (ORDER BY s NULLS FIRST) - 1 AS i FROM levels WHERE len(ns) = 1),
+tops AS (
+    SELECT 0 AS s, 0 AS level, list(subroot ORDER BY i) AS ns FROM subroots
+    UNION ALL SELECT s, level + 1, {up} FROM tops WHERE len(ns) > 1),
+{fold("lower", "SELECT rid, source AS s, 0 AS level, i, '' AS proof, tampered AS folded FROM p", "levels")},
+{fold("upper", "SELECT l.rid, 0 AS s, 0 AS level, u.i, l.proof, l.folded FROM lower l JOIN subroots u ON u.s IS NOT DISTINCT FROM l.s AND u.height = l.level", "tops")}
+SELECT p.doc_id, p.leaf, u.subroot, t.ns[1] AS root, sha256(f.proof) AS proof_sha256, f.folded AS folded_root, f.folded = t.ns[1] AS verified
+FROM p JOIN subroots u ON u.s IS NOT DISTINCT FROM p.source JOIN tops t ON len(t.ns) = 1
+JOIN upper f ON f.rid = p.rid AND f.level = t.level"""
+
+
+SQL["op12_merkle_manifest"] = _manifest_sql()
+
+
 WINDOW = 10
 
 
