@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import bpe, chunks, decontamination, html, licences, manifest, merkle, mixing, quality, sharding, simhash, tokens
+from tideline.llm import bpe, centroids, chunks, decontamination, html, licences, manifest, merkle, mixing, quality, sharding, simhash, tokens
 from tideline.llm.hashing import SPAN, number_sql, row_key_sql
 from tideline.llm.registry import QUERIES, SQL, query, table
 from tideline.plans.scratch import freeze
@@ -286,6 +286,54 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+CENTROIDS, ROUNDS, CENTROID_SEED, COMPONENTS, SCALE = 40, 5, 2, 64, 256
+
+
+@query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "embeddings").where(centroids.usable(F.col("embedding"), COMPONENTS))
+    vectors = given.select("vec_id", centroids.whole(F.col("embedding"), SCALE).alias("vector"))
+    placed, final = centroids.cluster(vectors, CENTROIDS, ROUNDS, CENTROID_SEED)
+    rows = freeze(placed.select("vec_id", "cluster", "distance"), "placed")
+    return centroids.with_inertia(rows, final).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _centroids_sql() -> str:
+    # x and c hold the components as doubles, which are exact for whole numbers of this size.
+    def assigned(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (
+    SELECT rid, vec_id, x, b.c AS cluster, b.d AS distance FROM (
+        SELECT rid, any_value(vec_id) AS vec_id, any_value(x) AS x, min(struct_pack(
+            d := CAST(list_inner_product(x, x) - 2 * list_inner_product(x, y) + list_inner_product(y, y) AS BIGINT), c := c)) AS b
+        FROM v, c{k} GROUP BY rid))"""
+
+    def moved(k: int) -> str:
+        return f"""c{k} AS MATERIALIZED (
+    SELECT o.c, coalesce(m.y, o.y) AS y FROM c{k - 1} o LEFT JOIN (
+        SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS y FROM (
+            SELECT cluster, i, CAST(sum(CAST(p AS BIGINT)) AS BIGINT) AS s, count(*) AS n
+            FROM (SELECT cluster, unnest(x) AS p, unnest(range({COMPONENTS})) AS i FROM a{k - 1}) GROUP BY cluster, i)
+        GROUP BY cluster) m ON m.cluster = o.c)"""
+
+    steps = ",\n".join(f"{assigned(k)},\n{moved(k + 1)}" for k in range(ROUNDS))
+    return f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: floor({SCALE} * CAST(e AS DOUBLE))) AS x
+    FROM embeddings WHERE len(embedding) = {COMPONENTS} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS MATERIALIZED (
+    SELECT CAST(row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS INT) AS c, x AS y
+    FROM (SELECT sha256('{CENTROID_SEED}:' || CAST(vec_id AS VARCHAR)) AS h, x FROM v) ORDER BY h NULLS LAST, x LIMIT {CENTROIDS}),
+{steps},
+{assigned(ROUNDS)}
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+    CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(list_transform(y, lambda e: CAST(CAST(e AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{ROUNDS} JOIN c{ROUNDS} ON c = cluster"""
+
+
+SQL["op11_centroids"] = _centroids_sql()
+
+
 ARITY = 3
 
 
