@@ -21,7 +21,7 @@ def test_csv(spark, tmp_path):
     out = S.read_csv(spark, path, extra={"is_anomaly": "int"}).orderBy("ts").collect()
     assert [r["value"] for r in out] == [1.0, 2.5]
     assert [r["is_anomaly"] for r in out] == [1, 0]
-    assert out[0]["series_id"] == "data.csv" and out[0]["ts"] == dt.datetime(2024, 1, 1)
+    assert out[0]["series_id"].endswith("/data.csv") and out[0]["ts"] == dt.datetime(2024, 1, 1)
 
 
 def test_csv_with_other_names(spark, tmp_path):

@@ -5,20 +5,27 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 _registered: set[str] = set()
-_scopes: list[list[str]] = []
+# Each thread, such as that of a micro-batch, has a scope of its own.
+_scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset, one in the warehouse.
 
-    Both are shared by all executors; a machine's own temporary folder is never used.
+    All executors must reach it. On a cluster a warehouse on the driver's own disk is therefore refused.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tideline"
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    alone = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+    if not alone and _file_system(spark, warehouse)[0].getScheme() == "file":
+        raise ValueError(f"set spark.checkpoint.dir to a shared folder: the warehouse {warehouse} is on the driver's disk")
+    return f"{warehouse}/_tideline"
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -35,19 +42,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         files.deleteOnExit(place)
         _registered.add(folder)
     path = f"{folder}/{label}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     return path
 
 
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
-    """Remove the tables that are written in the block when it ends; for results used up by then."""
-    _scopes.append([])
+    """Remove the tables that this thread writes in the block when it ends; for results used up by then."""
+    paths: list[str] = []
+    outer = _scope.set(paths)
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scope.reset(outer)
+        for path in paths:
             files, place = _file_system(spark, path)
             files.delete(place, True)
 
