@@ -12,8 +12,9 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import struct
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,7 +27,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # White space as Unicode has it; Python's own \s also takes the separators 1C to 1F.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 # Pre-tokens remembered by a worker. It forgets them all when full, which only costs time.
-_REMEMBERED = 600_000
+_REMEMBERED = 1_200_000
+# Pre-tokens of texts that are looked up together.
+_AT_ONCE = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,13 +102,22 @@ class PerfectHash:
         return out
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def byte_pairs(ranks: dict[bytes, int]) -> list[list[int]]:
+    """The rank of every two bytes, -1 where they are no token."""
+    table = [[-1] * 256 for _ in range(256)]
+    for key, rank in ranks.items():
+        if len(key) == 2:
+            table[key[0]][key[1]] = rank
+    return table
+
+
+def merge(piece: bytes, ranks: dict[bytes, int], pairs: list[list[int]]) -> list[int]:
     """Tokens of a pre-token: always the adjacent pair of least rank, the leftmost of equals, is merged."""
     n = len(piece)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     rank_of, push, pop = ranks.get, heapq.heappush, heapq.heappop
     # (rank, start, end) of two adjacent parts; stale if one of them has changed since.
-    heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := rank_of(piece[i : i + 2])) is not None]
+    heap = [(rank, i, i + 2) for i, (a, b) in enumerate(zip(piece, piece[1:])) if (rank := pairs[a][b]) >= 0]
     heapq.heapify(heap)
     while heap:
         _, start, end = pop(heap)
@@ -159,7 +171,8 @@ class Bpe:
             narrow = narrow.replace(f"\\p{{{name}}}", f"[{members}]")
         # The standard library is faster and has no \\p; up to U+00FF the two patterns agree.
         self._narrow = None if re.search(r"\\[pP]|\(\?[>|#&R]", narrow) else re.compile(narrow)
-        self._bytes: list[bytes] | None = None
+        self._pairs = byte_pairs(self.ranks)
+        self._bytes: np.ndarray | None = None
 
     def split(self, text: str) -> list[str]:
         if self._narrow is not None:
@@ -170,39 +183,58 @@ class Bpe:
                 pass
         return self._any.findall(text)
 
-    def learn(self, pieces: list[str]) -> None:
-        """Remember the tokens of pre-tokens not seen before."""
-        if len(self.known) + len(pieces) > _REMEMBERED:
+    def learn(self, pieces: set[str]) -> None:
+        """Remember the tokens of pre-tokens."""
+        fresh = list(pieces.difference(self.known))
+        if len(self.known) + len(fresh) > _REMEMBERED:
             self.known.clear()
-        raw = [p.encode() for p in pieces]
-        for piece, key, value in zip(pieces, raw, self.table.find(raw).tolist()):
-            ids = [value] if value >= 0 else merge(key, self.ranks)
-            self.known[piece] = np.array(ids, dtype="<u4").tobytes()
+            fresh = list(pieces)
+        raw = [p.encode() for p in fresh]
+        for piece, key, value in zip(fresh, raw, self.table.find(raw).tolist()):
+            ids = (value,) if value >= 0 else merge(key, self.ranks, self._pairs)
+            self.known[piece] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
-        pieces = self.split(text) if text else []
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            pass
-        out = []
-        # Part by part, so that a huge text with ever new words stays within what is remembered.
-        for at in range(0, len(pieces), _REMEMBERED // 2):
-            part = pieces[at : at + _REMEMBERED // 2]
-            fresh = [p for p in dict.fromkeys(part) if p not in self.known]
-            if len(self.known) + len(fresh) > _REMEMBERED:
-                fresh = list(dict.fromkeys(part))
-            self.learn(fresh)
-            out.append(b"".join(map(self.known.__getitem__, part)))
-        return b"".join(out)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
+        """The same for many texts; new pre-tokens of texts of ``_AT_ONCE`` pre-tokens are met at once."""
+        out: list[bytes] = []
+        waiting: list[list[str]] = []
+        count = 0
+
+        def done() -> None:
+            self.learn(set().union(*waiting))
+            out.extend(b"".join(map(self.known.__getitem__, pieces)) for pieces in waiting)
+            waiting.clear()
+
+        for text in texts:
+            pieces = self.split(text) if text else []
+            if len(pieces) > _REMEMBERED // 2:
+                # Part by part, so that a huge text with ever new words stays within what is remembered.
+                done()
+                coded, count = [], 0
+                for at in range(0, len(pieces), _REMEMBERED // 2):
+                    part = pieces[at : at + _REMEMBERED // 2]
+                    self.learn(set(part))
+                    coded.append(b"".join(map(self.known.__getitem__, part)))
+                out.append(b"".join(coded))
+                continue
+            if count + len(pieces) > _AT_ONCE:
+                done()
+                count = 0
+            waiting.append(pieces)
+            count += len(pieces)
+        done()
+        return out
 
     def decode(self, ids: bytes | None) -> bytes:
         if self._bytes is None:
-            self._bytes = [b""] * (max(self.ranks.values()) + 1)
+            self._bytes = np.full(max(self.ranks.values()) + 1, b"", dtype=object)
             for key, rank in self.ranks.items():
                 self._bytes[rank] = key
-        return b"".join(map(self._bytes.__getitem__, np.frombuffer(ids or b"", dtype="<u4").tolist()))
+        return b"".join(self._bytes[np.frombuffer(ids or b"", dtype="<u4")].tolist())
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -224,7 +256,7 @@ def encode(df: DataFrame, model: Broadcast, text: str = "text", ids: str = "toke
 
     @F.pandas_udf("binary")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.value.encode(t) for t in texts], dtype=object)
+        return pd.Series(model.value.encode_all(texts), dtype=object)
 
     return df.withColumn(ids, run(F.col(text)))
 
