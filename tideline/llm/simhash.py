@@ -189,23 +189,21 @@ def near_components(prints: DataFrame, radius: int = 3, key: str = "doc_id", buc
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
     """One row of every component: the least key, rows without a key last, ties by a hash of the row.
 
-    Of rows that are equal in all columns one is kept. Rows are told apart by key and row hash.
+    Of rows that are equal in all columns one is kept. Rows are told apart by key and row hash. Columns may
+    bear any name.
     """
-    names = df.columns
-    marked = df.withColumn("_row", F.xxhash64(*[F.col(c) for c, t in df.dtypes if not t.startswith("map")]))
-    prints = freeze(fingerprints(marked.select(key, "_row", text), text, words=words).select(F.col(key).alias("_key"), "_row", "simhash"), "rows")
+    hashed = F.xxhash64(*[F.col(c) for c, t in df.dtypes if "map<" not in t])
+    named = df.select(F.col(key).alias("key"), hashed.alias("hash"), F.col(text).alias("text"))
+    prints = freeze(fingerprints(named, words=words).select("key", "hash", "simhash"), "rows")
     # A row hash stands for a row where the component has to be named even without a key.
     distinct = freeze(prints.select("simhash").distinct(), "prints")
     roots = components(near_links(distinct, radius))
     table = freeze(roots.withColumnRenamed("node", "simhash"), "roots")
-    rows = prints.groupBy("_key", "_row", "simhash").agg(F.count(F.lit(1)).alias("n"))
+    rows = prints.groupBy("key", "hash", "simhash").agg(F.count(F.lit(1)).alias("n"))
     rooted = attach(rows, table, ["simhash"], "left", row_bytes=32, frozen=True).withColumn("root", F.coalesce("root", "simhash"))
-    order = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_row").alias("row"), F.col("n").alias("n"))
-    chosen = freeze(rooted.groupBy("root").agg(F.min(order).alias("x")).select("x.key", "x.row", "x.n"), "chosen")
-    first = marked.join(
-        chosen.select(F.col("key").alias("_k"), F.col("row").alias("_r"), F.col("n").alias("_n")),
-        F.col(key).eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")),
-    )
-    single = first.where("_n = 1").select(*names)
-    repeated = first.where("_n > 1").dropDuplicates(["_k", "_r"]).select(*names)
-    return single.unionByName(repeated)
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "hash", "n")
+    chosen = freeze(rooted.groupBy("root").agg(F.min(order).alias("x")).select("x.key", "x.hash", "x.n"), "chosen")
+    packed = df.select(F.col(key).alias("_key"), hashed.alias("_hash"), F.struct(*[F.col(c) for c in df.columns]).alias("row"))
+    first = packed.join(chosen, F.col("_key").eqNullSafe(F.col("key")) & (F.col("_hash") == F.col("hash")))
+    single = first.where("n = 1").select("row.*")
+    return single.union(first.where("n > 1").dropDuplicates(["key", "hash"]).select("row.*"))
