@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import bpe, chunks, mixing, quality, similar
+from tideline.llm import bpe, chunks, mixing, quality, simhash
 from tideline.plans.scratch import scratch_path
 
 
@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share 0.8 or more of their five-word shingles the least id stays."""
-    return similar.keep_one(docs, words=5, similarity=0.8)
+    """Of each group of documents whose SimHashes of three-word shingles link at 3 bits or fewer the least id stays."""
+    return simhash.keep_one(docs, words=3, radius=3)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
