@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from catalog.evaluation import auc_sql, metrics_sql
 from catalog.inputs import DAILY, EVENTS, daily, events, table
@@ -13,6 +13,7 @@ from tideline.operators.isolation import IsolationForest
 from tideline.operators.lof import LocalOutlierFactor
 from tideline.operators.recon import WindowReconstruction
 from tideline.operators.votes import decide
+from tideline.plans import with_position
 from tideline.sources.series import standardise
 from tideline.streaming.scoring import score_stream
 from tideline.streaming.windows import refreshed, tumbling
@@ -216,12 +217,65 @@ def detect_recon(spark: SparkSession, sf: str) -> DataFrame:
     return _facts(out, F.lit(False), ["series_id"]).drop("planted", "planted_flagged")
 
 
+# Verdicts row by row, of which the queries above state what must hold.
+
+
+@query()
+def verdicts_iforest(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown(IsolationForest(contamination=0.05).fit_transform(events(spark, sf)), _KEYS)
+
+
+@query()
+def verdicts_iforest_pd(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown(IsolationForest(**VECTORS).fit_transform(_vectors(spark, sf)), ["vec_id"])
+
+
+@query()
+def verdicts_mcd_pd(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown(EllipticEnvelope(**VECTORS).fit_transform(_vectors(spark, sf)), ["vec_id"])
+
+
+@query()
+def verdicts_recon(spark: SparkSession, sf: str) -> DataFrame:
+    return _shown(WindowReconstruction().fit_transform(daily(spark, sf)), _KEYS)
+
+
+_SPIKED = """p AS (SELECT s, ts, row_number() OVER w AS i, (row_number() OVER w) % 200 = 100 AS spike FROM d
+        WINDOW w AS (PARTITION BY s ORDER BY ts)),
+    w AS (SELECT s, i, max(CASE WHEN spike THEN 1 ELSE 0 END) OVER (PARTITION BY s ORDER BY i ROWS 29 PRECEDING) AS hit FROM p)"""
+
+
+@query(
+    f"""WITH {DAILY}, {_SPIKED} SELECT s AS series_id, count(*) AS n_rows, sum(hit)::BIGINT AS planted, sum(hit)::BIGINT AS planted_flagged
+    FROM w WHERE i >= 30 GROUP BY s"""
+)
+def recon_planted(spark: SparkSession, sf: str) -> DataFrame:
+    """Fitted on the series, then asked about it with a spike in every 200th row: all windows that hold one are flagged."""
+    rows = daily(spark, sf)
+    placed = with_position(rows, ["series_id"], ["ts", "row_key"], "i").withColumn("spike", (F.col("i") + 1) % 200 == 100)
+    spiked = placed.withColumn("value", F.when(F.col("spike"), F.lit(1e10)).otherwise(F.col("value")))
+    around = Window.partitionBy("series_id").orderBy("i").rowsBetween(-29, 0)
+    held = placed.select("series_id", "ts", "row_key", F.max(F.col("spike").cast("int")).over(around).alias("hit"))
+    out = WindowReconstruction().fit(rows).transform(spiked.drop("i", "spike")).join(held, ["series_id", "ts", "row_key"])
+    return out.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("hit").alias("planted"), F.count_if((F.col("hit") == 1) & (F.col("label") == -1)).alias("planted_flagged")
+    )
+
+
 def _ensemble() -> Ensemble:
     return Ensemble(
         [EllipticEnvelope(contamination=0.05), LocalOutlierFactor(contamination=0.05), IsolationForest(contamination=0.05)]
     )
 
 
+@query()
+def run_detectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Three detectors and the majority vote over the events, as report rows."""
+    ensemble = _ensemble()
+    ensemble.run(events(spark, sf))
+    return ensemble.report()
+
+
 @query(
     f"""WITH {EVENTS}, {mcd_tables(0.05)},
     all_rows AS (SELECT count(*) AS n, count(*) FILTER (WHERE dist > t) AS a FROM d JOIN t USING (s)),
@@ -234,11 +288,8 @@ def _ensemble() -> Ensemble:
         FROM all_rows, names
     UNION ALL SELECT 'ensemble', 'all', entry, 'within bounds' FROM (SELECT unnest(['majority', 'unanimous']) AS entry)"""
 )
-def run_detectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Three detectors and the majority vote over the events, as report rows.
-
-    Numbers that hang on random trees or on ties are stated as what must hold of them.
-    """
+def run_detectors_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of ``run_detectors``; numbers that hang on random trees or on ties are stated as what must hold."""
     ensemble = _ensemble()
     results = ensemble.run(events(spark, sf))
     report = ensemble.report()
@@ -260,13 +311,24 @@ def run_detectors(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("section", "item", "entry", shown.alias("value"))
 
 
+def _mixed(spark: SparkSession, sf: str) -> Ensemble:
+    ensemble = Ensemble([EllipticEnvelope(), WindowReconstruction(), IsolationForest(contamination=0.1)])
+    ensemble.run(daily(spark, sf))
+    return ensemble
+
+
+@query()
+def run_and_vote(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, windows and the vote over both, on daily values."""
+    return _mixed(spark, sf).vote()
+
+
 @query(
     f"""WITH {DAILY} SELECT s AS series_id, count(*) AS n_rows, count(*) AS voted, 0 AS out_of_order FROM d GROUP BY s"""
 )
-def run_and_vote(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows, windows and the vote over both, on daily values: a stricter vote flags no row that a laxer one does not."""
-    ensemble = Ensemble([EllipticEnvelope(), WindowReconstruction(), IsolationForest(contamination=0.1)])
-    ensemble.run(daily(spark, sf))
+def run_and_vote_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """A stricter vote flags no row that a laxer one does not."""
+    ensemble = _mixed(spark, sf)
     votes = ensemble.tally()
     flagged = {k: decide(F.col("votes"), F.col("voters"), k) == -1 for k in ("unanimous", "majority", "any")}
     wrong = (flagged["unanimous"] & ~flagged["majority"]) | (flagged["majority"] & ~flagged["any"])
@@ -282,17 +344,27 @@ _TRUE = f"""WITH {EVENTS}, {mcd_tables(0.05)},
         v > 250 AS truth FROM d JOIN t USING (s))"""
 
 
+def _compared(spark: SparkSession, sf: str) -> DataFrame:
+    rows = events(spark, sf).withColumn("is_anomaly", F.when(F.col("value") > 250, 1).otherwise(0))
+    ensemble = _ensemble()
+    ensemble.run(rows, "is_anomaly", "one_is_anomaly")
+    return ensemble.compare()
+
+
+@query()
+def run_and_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """The same detectors against a truth: events far above the usual value are anomalies."""
+    return _compared(spark, sf)
+
+
 @query(
     f"""{_TRUE}, m AS ({metrics_sql('x', 'detector', 'truth')}), u AS ({auc_sql('x', 'truth')})
     SELECT detector, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall,
         round(f1, 6) AS f1, round(auc_roc, 6) AS auc_roc FROM m JOIN u USING (detector)"""
 )
-def run_and_compare(spark: SparkSession, sf: str) -> DataFrame:
-    """The same detectors against a truth, events far above the usual value; the envelope's row of the comparison."""
-    rows = events(spark, sf).withColumn("is_anomaly", F.when(F.col("value") > 250, 1).otherwise(0))
-    ensemble = _ensemble()
-    ensemble.run(rows, "is_anomaly", "one_is_anomaly")
-    found = ensemble.compare().where("detector = 'EllipticEnvelope'")
+def run_and_compare_envelope(spark: SparkSession, sf: str) -> DataFrame:
+    """The envelope's row of the comparison, which SQL can state."""
+    found = _compared(spark, sf).where("detector = 'EllipticEnvelope'")
     return found.select("detector", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1", "auc_roc")])
 
 

@@ -80,11 +80,27 @@ def forecast_null_series(spark: SparkSession, sf: str) -> DataFrame:
 # The full model has no counterpart in SQL, which states what must hold of its rows instead.
 
 
+@query()
+def forecast_full(spark: SparkSession, sf: str) -> DataFrame:
+    rows = daily(spark, sf)
+    return with_actuals(_rounded(Forecaster().fit(rows).predict(rows, 30)), rows)
+
+
+@query()
+def forecast_flags(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(Forecaster().detect_anomalies(daily(spark, sf)))
+
+
+@query()
+def forecast_multiplicative(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(Forecaster(seasonality_mode="multiplicative").detect_anomalies(daily(spark, sf)))
+
+
 @query(
     f"""WITH {DAILY} SELECT s AS series_id, count(*) + 30 AS n_rows, count(*) AS observed, 0 AS outside_interval,
         true AS closer_than_mean FROM d GROUP BY s"""
 )
-def forecast_full(spark: SparkSession, sf: str) -> DataFrame:
+def forecast_full_facts(spark: SparkSession, sf: str) -> DataFrame:
     rows = daily(spark, sf)
     forecast = with_actuals(Forecaster().fit(rows).predict(rows, 30), rows)
     rest = F.col("value") - F.col("yhat")
@@ -115,10 +131,10 @@ def _planted_flags(spark: SparkSession, sf: str, forecaster: Forecaster) -> Data
 
 
 @query(_PLANTED_SQL)
-def forecast_flags(spark: SparkSession, sf: str) -> DataFrame:
+def forecast_flags_facts(spark: SparkSession, sf: str) -> DataFrame:
     return _planted_flags(spark, sf, Forecaster(yearly_seasonality=False))
 
 
 @query(_PLANTED_SQL)
-def forecast_multiplicative(spark: SparkSession, sf: str) -> DataFrame:
+def forecast_multiplicative_facts(spark: SparkSession, sf: str) -> DataFrame:
     return _planted_flags(spark, sf, Forecaster(seasonality_mode="multiplicative", yearly_seasonality=False))
