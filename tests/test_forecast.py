@@ -106,3 +106,21 @@ def test_interval_at_high_levels(series):
         half = out.agg(F.avg((F.col("yhat_upper") - F.col("yhat_lower")) / 2)).first()[0]
         assert half == pytest.approx(1.96 * noise.std(), rel=0.05)
         assert out.where("row_key = 150 and is_anomaly").count() == 1
+
+
+def test_settled_series_leave_the_rounds(spark, series):
+    import math
+
+    waves = [50.0 + 0.2 * i + 12 * math.sin(2 * math.pi * i / 7) * (1 + 0.01 * i) + (i * 7919 % 13) for i in range(90)]
+    df = series({"flat": [5.0] * 90, "waves": waves})
+    options = {"seasonality_mode": "multiplicative", "yearly_seasonality": False}
+    full = Forecaster(**options).fit(df)
+    assert full.unsettled().collect() == []
+    with pytest.warns(UserWarning, match="1 series have not settled"):
+        short = Forecaster(max_alternations=1, **options).fit(df)
+    assert [r["series_id"] for r in short.unsettled().collect()] == ["waves"]
+    # The series that settles is not touched by the one that goes on.
+    rows = [m.params.where("series_id = 'flat'").collect() for m in (full, short)]
+    assert rows[0] == rows[1]
+    with pytest.warns(UserWarning, match="settled"):
+        assert Forecaster(max_rounds=1).fit(df).unsettled().count() == 1

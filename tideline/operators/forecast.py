@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 from statistics import NormalDist
@@ -41,14 +42,17 @@ class Forecaster:
     weekly_seasonality: bool | int = True
     n_changepoints: int = 25
     season_prior_scale: float = 10.0
-    # Rounds that settle priors against noise within a solve, and trend against season (two passes each).
-    max_rounds: int = 100
-    max_alternations: int = 5
+    # Rounds that settle priors against noise within a solve, and trend against season (two passes each). A series
+    # that takes more keeps its last estimate, is not ``settled`` in the model, and is warned about.
+    max_rounds: int = 1000
+    max_alternations: int = 50
     value: str = "value"
     by: Sequence[str] = (SERIES,)
     order: Sequence[str] = (TS, KEY)
 
     def __post_init__(self) -> None:
+        if self.max_rounds < 1 or self.max_alternations < 1:
+            raise ValueError("max_rounds and max_alternations must be at least 1")
         if self.seasonality_mode not in ("additive", "multiplicative"):
             raise ValueError("seasonality_mode must be 'additive' or 'multiplicative'")
         if not 0 < self.interval_width < 1:
@@ -119,38 +123,54 @@ class Forecaster:
             *by, "_t0", "_t1", "_size", "_mean",
             F.slice("_beta", 1, n_trend).alias("_trend_beta"),
             F.slice("_beta", n_trend + 1, n_season).alias("_season_beta") if n_season else F.array().cast("array<double>").alias("_season_beta"),
-            "_sigma", "_slope_step",
+            "_sigma", "_slope_step", "_settled",
         )
-        return ForecastModel(self, freeze(model, "forecast"))
+        model = ForecastModel(self, freeze(model, "forecast"))
+        if left := model.unsettled().count():
+            warnings.warn(f"{left} series have not settled; raise max_rounds or max_alternations", stacklevel=2)
+        return model
 
     def _fit_multiplicative(self, rows: DataFrame, by: list[str], priors: list[float], season_priors: list[float]) -> DataFrame:
-        """y = trend · (1 + season): trend and season are fitted in turn, each given the other."""
+        """y = trend · (1 + season): trend and season are fitted in turn, each given the other.
+
+        A series leaves the rounds once its deviation has settled; the others go on without it.
+        """
         rows = freeze(rows, "design")
-        trend = _ridge(rows.select(*by, F.concat("_trend", F.array("_y")).alias("_z")), by, priors, self.max_rounds)
-        groups = rows_of(trend)
         width = 16 * (len(priors) + len(season_priors))
-        before: DataFrame | None = None
+        first = _ridge(rows.select(*by, F.concat("_trend", F.array("_y")).alias("_z")), by, priors, self.max_rounds)
+        active = first.select(*by, F.col("_beta").alias("_tb"), F.col("_sigma").alias("_before"))
+        groups = rows_of(first)
+        done: list[DataFrame] = []
         for _ in range(self.max_alternations):
-            level = attach(rows, trend.select(*by, F.col("_beta").alias("_tb")), by, row_bytes=width, at_most=groups).withColumn("_level", _dot("_trend", "_tb"))
+            level = attach(rows, active.select(*by, "_tb"), by, row_bytes=width, at_most=groups).withColumn("_level", _dot("_trend", "_tb"))
             scaled = F.transform("_season", lambda s: s * F.col("_level"))
             season = _ridge(level.select(*by, F.concat(scaled, F.array(F.col("_y") - F.col("_level"))).alias("_z")), by, season_priors, self.max_rounds)
-            wave = attach(rows, season.select(*by, F.col("_beta").alias("_sb")), by, row_bytes=width, at_most=groups).withColumn("_wave", 1.0 + _dot("_season", "_sb"))
+            season = season.select(*by, F.col("_beta").alias("_sb"), F.col("_settled").alias("_season_settled"))
+            wave = attach(rows, season.select(*by, "_sb"), by, row_bytes=width, at_most=groups).withColumn("_wave", 1.0 + _dot("_season", "_sb"))
             scaled = F.transform("_trend", lambda s: s * F.col("_wave"))
             trend = _ridge(wave.select(*by, F.concat(scaled, F.array("_y")).alias("_z")), by, priors, self.max_rounds)
-            if before is not None:
-                moved = attach(trend, before, by, row_bytes=32, at_most=groups).agg(
-                    F.max(F.abs(F.col("_sigma") - F.col("_before")) / F.greatest("_before", F.lit(1e-12))).alias("m")
-                )
-                if (moved.first()["m"] or 0.0) <= 1e-3:
-                    break
-            before = trend.select(*by, F.col("_sigma").alias("_before"))
-        both = trend.select(*by, F.col("_beta").alias("_tb"), "_slope_step")
-        both = attach(both, season.select(*by, F.col("_beta").alias("_sb")), by, row_bytes=width, at_most=groups)
+            both = attach(attach(trend, season, by, row_bytes=width, at_most=groups), active.select(*by, "_before"), by, row_bytes=64, at_most=groups)
+            still = F.abs(F.col("_sigma") - F.col("_before")) <= 1e-3 * F.greatest("_before", F.lit(1e-12))
+            state = both.select(
+                *by, F.col("_beta").alias("_tb"), "_sb", F.col("_sigma").alias("_before"), "_slope_step",
+                (still & F.col("_settled") & F.col("_season_settled")).alias("_settled"),
+            )
+            state = freeze(state, "state")
+            done.append(state.where("_settled"))
+            active = state.where("not _settled")
+            groups = active.count()
+            if not groups:
+                break
+        both = active
+        for settled in done:
+            both = both.unionByName(settled)
+        both = freeze(both.drop("_before"), "both")
         # The deviation is taken from the residuals themselves.
-        fitted = attach(rows, freeze(both, "both"), by, row_bytes=width, frozen=True)
+        fitted = attach(rows, both, by, row_bytes=width, frozen=True)
         rest = F.col("_y") - _dot("_trend", "_tb") * (1.0 + _dot("_season", "_sb"))
         sigma = fitted.groupBy(*by).agg(F.sqrt(F.avg(rest * rest)).alias("_sigma"))
-        return attach(both, sigma, by, at_most=groups).select(*by, F.concat("_tb", "_sb").alias("_beta"), "_sigma", "_slope_step")
+        joined = attach(both, sigma, by, at_most=rows_of(both))
+        return joined.select(*by, F.concat("_tb", "_sb").alias("_beta"), "_sigma", "_slope_step", "_settled")
 
     def detect_anomalies(self, df: DataFrame) -> DataFrame:
         """Fit, forecast the same rows, and flag values outside the interval."""
@@ -183,20 +203,21 @@ def _ridge(rows: DataFrame, by: list[str], priors: list[float], max_rounds: int)
         # Nothing below the rounding of the sums counts as noise.
         least = max(1e-14 * yy / n, 1e-300)
         noise = max(yy / n - (m[size, -1] / n) ** 2, least)
-        beta = np.zeros(size)
+        beta, settled = np.zeros(size), False
         # The weight of the priors depends on the noise and the noise on the fit: settle both.
         for _ in range(max_rounds):
             beta = np.linalg.lstsq(gram + np.diag(np.asarray(priors) * noise), target, rcond=None)[0]
             rest = max((yy - 2 * beta @ target + beta @ gram @ beta) / n, least)
-            if abs(rest - noise) <= 1e-9 * noise:
+            settled = abs(rest - noise) <= 1e-9 * noise
+            if settled:
                 break
             noise = rest
         first = group.head(1)[by].reset_index(drop=True) if by else pd.DataFrame(index=[0])
         hinges = beta[2:] if size > 2 else np.zeros(0)
         step = float(np.sqrt((hinges**2).mean())) if len(hinges) else 0.0
-        return first.assign(_beta=[beta.tolist()], _sigma=float(np.sqrt(noise)), _slope_step=step)
+        return first.assign(_beta=[beta.tolist()], _sigma=float(np.sqrt(noise)), _slope_step=step, _settled=bool(settled))
 
-    schema = ", ".join([*([fields(sums, by)] if by else []), "_beta array<double>", "_sigma double", "_slope_step double"])
+    schema = ", ".join([*([fields(sums, by)] if by else []), "_beta array<double>", "_sigma double", "_slope_step double", "_settled boolean"])
     return freeze(sums.groupBy("_g").applyInPandas(solve, schema), "ridge")
 
 
@@ -205,6 +226,10 @@ class ForecastModel:
     spec: Forecaster
     params: DataFrame
 
+    def unsettled(self) -> DataFrame:
+        """The series whose fit was ended before it had settled."""
+        return self.params.where("not _settled").select(*self.spec.by)
+
     def _predict(self, rows: DataFrame, how: str = "inner") -> DataFrame:
         spec = self.spec
         by = list(spec.by)
