@@ -13,10 +13,11 @@ from tideline.operators.isolation import IsolationForest
 from tideline.operators.lof import LocalOutlierFactor
 from tideline.operators.recon import WindowReconstruction
 from tideline.operators.votes import decide
-from tideline.plans import with_position
+from tideline.plans import scratch_path, scratch_scope, with_position
+from tideline.plans.store import load, save
 from tideline.sources.series import standardise
 from tideline.streaming.scoring import score_stream
-from tideline.streaming.windows import refreshed, tumbling
+from tideline.streaming.windows import band, closed, outside_band, refreshed, tumbling
 
 VECTORS = {"inputs": "embedding", "by": [], "order": ["vec_id"]}
 
@@ -96,6 +97,35 @@ def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     return refreshed(tumbling(rows, "1 hour")).withColumn("total", F.round("total", 4))
 
 
+@query(
+    f"""WITH {EVENTS}, w AS (
+        SELECT s, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(v) AS n, sum(v) AS total FROM e GROUP BY 1, 2),
+    b AS (SELECT s, avg(total) AS m, stddev_samp(total) AS d FROM w GROUP BY s)
+    SELECT s AS series_id, start, start + INTERVAL 1 HOUR AS end, n, round(total, 4) AS total, round(m - 2 * d, 4) AS lower,
+        round(m + 2 * d, 4) AS upper, coalesce(total < m - 2 * d OR total > m + 2 * d, false) AS is_anomaly
+    FROM w JOIN b USING (s) WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM e) - INTERVAL 2 HOURS"""
+)
+def stream_band_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly totals of the events as their hours end, flagged outside a band of two deviations fitted before."""
+    schema = table(spark, sf, "events").schema
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    rows = standardise(arriving, "ts", "value", series="event_type", key="event_id")
+    bounds = band(tumbling(events(spark, sf), "1 hour"))
+    flagged = closed(outside_band(tumbling(rows, "1 hour", late="2 hours"), bounds))
+    shown = [F.round(c, 4).alias(c) for c in ("total", "lower", "upper")]
+    return flagged.select("series_id", "start", "end", "n", *shown, "is_anomaly")
+
+
+@query(f"WITH {EVENTS}, {mcd_tables(0.1)} {_MCD_ROWS}")
+def model_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """An envelope that was published in a model folder and taken up again scores as it did."""
+    folder = scratch_path(spark, "models")
+    with scratch_scope(spark):
+        # What fitting wrote is gone when the model is loaded.
+        version = save(EllipticEnvelope().fit(events(spark, sf)), folder, spark)
+    return _shown(load(spark, folder, version).transform(events(spark, sf)), _KEYS)
+
+
 def _lof_sql(own: bool) -> str:
     """In value order the 20 nearest rows lie within 20 places on either side."""
     return f"""WITH {EVENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY v, k) AS i FROM e),
@@ -117,6 +147,15 @@ def detect_lof_1d(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(LocalOutlierFactor().fit_transform(events(spark, sf)), _KEYS)
 
 
+@query(_lof_sql(own=True))
+def model_round_trip_lof(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of a local outlier factor, whose look-up reads blocks of the folder."""
+    folder = scratch_path(spark, "models")
+    with scratch_scope(spark):
+        save(LocalOutlierFactor().fit(events(spark, sf)), folder, spark)
+    return _shown(load(spark, folder).transform(events(spark, sf)), _KEYS)
+
+
 @query(_lof_sql(own=False))
 def detect_lof_1d_fitted(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(LocalOutlierFactor(novelty=False).fit_transform(events(spark, sf)), _KEYS)

@@ -8,13 +8,13 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tideline.operators.detector import Detector, DetectorModel, check_contamination, finish
 from tideline.operators.neighbours import METRICS, nearest
-from tideline.plans import Running, attach, freeze, overlap, quantiles, rows_of, scan, with_position
+from tideline.plans import attach, freeze, overlap, quantiles, rows_of, with_position
 from tideline.plans.attach import join_null_safe
-from tideline.plans.models import fields, group_key, spread
+from tideline.plans.models import apply_models, fields, group_key, spread
 from tideline.plans.settings import setting
 
 # Factor above which "auto" calls a row anomalous; guard against zero reach.
@@ -77,14 +77,18 @@ class LocalOutlierFactor(Detector):
 
         def factors(block: pd.DataFrame) -> pd.DataFrame:
             block = block.sort_values("_v").reset_index(drop=True)
+            own = np.flatnonzero(block["_copy"] == 0)
             v, m, wanted = block["_v"].to_numpy(), block["_m"].to_numpy(), int(block["_k"].iloc[0])
             kdist, lrd, lof = fitted_factors(v, m, k, wanted)
-            out = block[[*by, "_v", "_m", "_k"]].assign(_kdist=kdist, _lrd=lrd, _lof=lof)
-            return out[block["_copy"] == 0]
+            out = block[[*by, "_block", "_v", "_m", "_k"]].assign(_own=block["_copy"] == 0, _kdist=kdist, _lrd=lrd, _lof=lof)
+            # With the k values on either side a block answers for every value from its first to the next one's.
+            return out.iloc[max(0, own[0] - k) : own[-1] + 1 + k] if len(own) else out.head(0)
 
-        schema = f"{fields(rows, [*by, '_v', '_m', '_k'])}, _kdist double, _lrd double, _lof double"
-        fitted = freeze(spread(rows, "_g", "_block").groupBy("_g", "_block").applyInPandas(factors, schema), "lof")
-        return SingleLofModel(self.name, self, fitted, self._thresholds(fitted, "_m"))
+        schema = f"{fields(rows, [*by, '_block', '_v', '_m', '_k'])}, _own boolean, _kdist double, _lrd double, _lof double"
+        blocks = spread(rows, "_g", "_block").groupBy("_g", "_block").applyInPandas(factors, schema)
+        blocks = freeze(blocks.withColumn("_part", _part(df.sparkSession, by)), "blocks", ["_part"])
+        edges = freeze(blocks.where("_own").groupBy(*by, "_block").agg(F.min("_v").alias("_first")), "edges")
+        return SingleLofModel(self.name, self, blocks, edges, self._thresholds(blocks.where("_own"), "_m"))
 
     # Vectors: again a factor depends on the vector only, so copies are counted and distinct
     # vectors compared. Equal distances are settled by the order of the vectors.
@@ -174,11 +178,26 @@ def new_factors(
     return out
 
 
+def _part(spark: SparkSession, by: Sequence[str]) -> Column:
+    """The folder of a block."""
+    return F.pmod(F.xxhash64(*by, "_block"), F.lit(setting(spark, "valueParts"))).cast("int")
+
+
+def _block_of(x: np.ndarray, model: dict[str, Any]) -> np.ndarray:
+    """The block that answers for each value: the last one that begins at or before it, else the first."""
+    order = np.argsort(model["_first"])
+    at = np.searchsorted(np.asarray(model["_first"])[order], x[:, 0], side="right") - 1
+    return np.asarray(model["_block"], dtype=np.float64)[order][np.maximum(at, 0)]
+
+
 @dataclass(frozen=True)
 class SingleLofModel(DetectorModel):
+    """``blocks``: runs of fitted values in order, each with its surroundings; ``edges``: where they begin."""
+
     name: str
     spec: LocalOutlierFactor
-    fitted: DataFrame
+    blocks: DataFrame
+    edges: DataFrame
     thresholds: DataFrame | None
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -189,40 +208,34 @@ class SingleLofModel(DetectorModel):
         if spec.novelty:
             factors = self._look_up(rows.where(F.col("_v").isNotNull()).select(*by, "_v").distinct())
         else:
-            factors = self.fitted.select(*by, "_v", F.col("_lof").alias("_raw"))
+            factors = self.blocks.where("_own").select(*by, "_v", F.col("_lof").alias("_raw"))
         out = attach(rows, factors, [*by, "_v"], how="left", row_bytes=64).drop("_v")
         return finish(_with_threshold(out, self.thresholds, by), centred=False)
 
     def _look_up(self, asked: DataFrame) -> DataFrame:
-        """Factors of distinct values, each next to the k fitted values on either side of it."""
-        by, k = self.spec.by, self.spec.n_neighbors
-        known = self.fitted.select(*by, "_v", F.lit(0).alias("_kind"), "_m", "_k", "_kdist", "_lrd")
-        asked = asked.withColumn("_kind", F.lit(1))
-        both = known.unionByName(asked, allowMissingColumns=True)
-        seen = Running((1 - F.col("_kind")).cast("long"), "_pos", inclusive=False)
-        placed = scan(freeze(both, "both"), by, ["_v", "_kind"], [seen])
-        block = max(setting(asked.sparkSession, "valueBlock"), 4 * k)
-        parts = overlap(placed.where("_kind = 0"), "_pos", block, k, k).drop("_copy")
-        # A value belongs to the block of the next fitted value, where k more follow. However many
-        # ask in one block, a task gets a bounded share of them and the block's fitted values.
-        own = placed.where("_kind = 1").withColumn("_block", F.floor(F.col("_pos") / F.lit(block)))
-        own = freeze(own, "asked")
-        most = F.lit(setting(asked.sparkSession, "askedRows"))
+        """Factors of distinct values. Only the asked values are written, and only the folders of their
+        blocks are read."""
+        spark, by, k = asked.sparkSession, self.spec.by, self.spec.n_neighbors
+        placed = apply_models(asked.withColumn("_x", F.array("_v")), by, "_x", self.edges, _block_of, "_block", 64)
+        # Without a block there is no fitted series, and no factor.
+        own = freeze(placed.where(F.col("_block").isNotNull()).select(*by, "_v", F.col("_block").cast("long").alias("_block")), "asked")
+        # However many ask in one block, a task gets a bounded share of them and the block's fitted values.
+        most = F.lit(setting(spark, "askedRows"))
         shares = own.groupBy(*by, "_block").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_shares"))
-        shares = freeze(shares, "shares")
+        shares = freeze(shares.withColumn("_part", _part(spark, by)), "shares")
+        # At most as many numbers as there are folders.
+        hit = [r["_part"] for r in shares.select("_part").distinct().collect()]
+        known = self.blocks.where(F.col("_part").isin(hit)).select(*by, "_block", "_v", "_m", "_k", "_kdist", "_lrd", F.lit(0).alias("_kind"))
+        shares = shares.drop("_part")
         spread_own = attach(own, shares, [*by, "_block"], frozen=True, row_bytes=64).withColumn("_share", F.pmod(F.xxhash64("_v"), F.col("_shares")).cast("int"))
-        repeated = join_null_safe(parts, shares, [*by, "_block"]).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
-        rows = repeated.unionByName(spread_own).drop("_shares").withColumn("_g", group_key(by))
+        repeated = attach(known, shares, [*by, "_block"], frozen=True, row_bytes=64).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
+        rows = repeated.unionByName(spread_own.withColumn("_kind", F.lit(1)), allowMissingColumns=True).drop("_shares").withColumn("_g", group_key(by))
 
         def factors(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("_v", kind="stable")
-            fit, new = rows[rows["_kind"] == 0], rows[rows["_kind"] == 1]
-            out = new[[*by, "_v"]]
-            if not len(fit):
-                return out.assign(_raw=None)
+            fit, new = rows[rows["_kind"] == 0].sort_values("_v"), rows[rows["_kind"] == 1]
             arrays = [fit[c].to_numpy() for c in ("_v", "_m", "_kdist", "_lrd")]
             wanted = int(fit["_k"].iloc[0])
-            return out.assign(_raw=new_factors(*arrays, new["_v"].to_numpy(), k, wanted))
+            return new[[*by, "_v"]].assign(_raw=new_factors(*arrays, new["_v"].to_numpy(), k, wanted))
 
         schema = f"{fields(asked, [*by, '_v'])}, _raw double"
         return spread(rows, "_g", "_block", "_share").groupBy("_g", "_block", "_share").applyInPandas(factors, schema)

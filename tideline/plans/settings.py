@@ -25,6 +25,8 @@ _DEFAULTS = {
     # Distinct values per block of the one-dimensional local outlier factor, and rows that ask in one task.
     "valueBlock": 50_000,
     "askedRows": 200_000,
+    # Folders that the blocks of fitted values are dealt over; a look-up reads those that it hits.
+    "valueParts": 1_024,
     # Rows of one block in blocked neighbour search and in per-block model application.
     "blockRows": 4_096,
 }

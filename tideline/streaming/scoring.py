@@ -8,7 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tideline.operators.detector import DetectorModel
 from tideline.plans import scratch_path, scratch_scope
 
-_BATCH = "tideline_batch"
+# The column of the folders that micro-batches write.
+BATCH = "tideline_batch"
 
 
 def start_scoring(stream: DataFrame, model: DetectorModel, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -22,7 +23,7 @@ def start_scoring(stream: DataFrame, model: DetectorModel, path: str, checkpoint
 
     def write(batch: DataFrame, batch_id: int) -> None:
         with scratch_scope(batch.sparkSession):
-            model.transform(batch).write.mode("overwrite").parquet(f"{path}/{_BATCH}={batch_id}")
+            model.transform(batch).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return query.trigger(**(trigger or {"availableNow": True})).start()
@@ -32,4 +33,4 @@ def score_stream(stream: DataFrame, model: DetectorModel) -> DataFrame:
     """Score all that is available now and return the scored rows."""
     folder = scratch_path(stream.sparkSession, "stream")
     start_scoring(stream, model, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
-    return stream.sparkSession.read.parquet(f"{folder}/rows").drop(_BATCH)
+    return stream.sparkSession.read.parquet(f"{folder}/rows").drop(BATCH)
