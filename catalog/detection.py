@@ -11,6 +11,7 @@ from tideline.operators.ensemble import Ensemble
 from tideline.operators.envelope import EllipticEnvelope
 from tideline.operators.isolation import IsolationForest
 from tideline.operators.lof import LocalOutlierFactor
+from tideline.operators.neighbours import knn_join as join_nearest
 from tideline.operators.recon import WindowReconstruction
 from tideline.operators.votes import decide
 from tideline.plans import scratch_path, scratch_scope, with_position
@@ -256,6 +257,20 @@ def detect_recon(spark: SparkSession, sf: str) -> DataFrame:
     return _facts(out, F.lit(False), ["series_id"]).drop("planted", "planted_flagged")
 
 
+@query(
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL),
+    p AS (SELECT a.vec_id, b.vec_id AS neighbour, sqrt(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: (a.x[i] - b.x[i]) ** 2))) AS d
+        FROM v a, v b),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbour) AS rank FROM p)
+    SELECT vec_id, CAST(rank AS INT) AS rank, neighbour, round(d, 6) AS distance FROM r WHERE rank <= 6"""
+)
+def knn_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The six nearest of every vector, by pivots and bounds of each vector: blocks are smaller than the table."""
+    vectors = _vectors(spark, sf)
+    near = join_nearest(vectors, vectors, 6, key="vec_id", vector="embedding", block=128)
+    return near.select("vec_id", "rank", "neighbour", F.round("distance", 6).alias("distance"))
+
+
 # Verdicts row by row, of which the queries above state what must hold.
 
 

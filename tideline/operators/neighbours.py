@@ -1,10 +1,11 @@
-"""Exact nearest vectors by partitions.
-
-A few vectors of a group serve as pivots. Every vector belongs to the cell of its nearest pivot.
-By the triangle inequality, all that the k nearest vectors of a cell can reach lies within a known
-distance of the cell's pivot, so a known vector is sent only to the cells it can matter to. Cells
-are cut into blocks of bounded size and every task compares one block with another; only the k
-best of a block travel on, never pairs.
+"""Exact nearest vectors by partitions, in two phases.
+
+A few vectors of a group serve as pivots, and every vector belongs to the cell of its nearest pivot. An
+asked vector is first compared with its own cell. The distance of the k-th vector found there bounds how
+far it has to look; by the triangle inequality a cell can matter only if its pivot, less the cell's radius,
+is within that bound, and so is half of what its pivot is farther off than the own one. The vector goes to
+those cells alone. Cells are cut into blocks of bounded size and every task compares one block with another;
+only the k best of a block travel on, never pairs, and they are merged a bounded number at a time.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tideline.plans import attach, freeze, rows_of
 from tideline.plans.attach import join_null_safe
@@ -42,25 +43,76 @@ METRICS = {
 }
 
 
-def nearest(asked: DataFrame, known: DataFrame, by: Sequence[str], k: int, metric: str) -> DataFrame:
+def _paired(start: float, step: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        total = np.full(len(a), start)
+        for j in range(a.shape[1]):
+            total = step(total, np.abs(a[:, j] - b[:, j]))
+        return total
+
+    return distances
+
+
+# The same of rows side by side, added up in the same order.
+PAIRED = {
+    "euclidean": lambda a, b: np.sqrt(_paired(0.0, lambda t, d: t + d * d)(a, b)),
+    "manhattan": _paired(0.0, lambda t, d: t + d),
+    "chebyshev": _paired(0.0, np.maximum),
+}
+
+
+def nearest(
+    asked: DataFrame, known: DataFrame, by: Sequence[str], k: int, metric: str, block: int | None = None, counts: dict[str, int] | None = None
+) -> DataFrame:
     """The ``k`` nearest known vectors of every asked one: ``(by, _qid, _near)``.
 
     ``asked`` has ``(by, _vid, _x)`` and ``known`` ``(by, _vid, _m, _x)``, both written tables.
-    ``_near`` lists ``(d, vid, m)`` from near to far, equal distances by ``vid``.
+    ``_near`` lists ``(d, vid, m)`` from near to far, equal distances by ``vid``. ``block`` rows are compared
+    in one task at a time. ``counts`` is told how many pairs of blocks were compared at home and elsewhere.
     """
     by = list(by)
-    block = setting(asked.sparkSession, "blockRows")
+    block = block or setting(asked.sparkSession, "blockRows")
+    counts = {} if counts is None else counts
     # Fresh columns, since both sides may be the same table.
     asked = asked.select(*by, F.col("_vid").alias("_qid"), F.col("_x").alias("_x"))
     if rows_of(known) <= block:
         # Few known vectors: one cell per group.
-        asked_cells, sent = (d.withColumn("_cell", F.lit(0)) for d in (asked, known))
-    else:
-        asked_cells, sent = _cells(asked, known, by, k, metric, block)
+        asked_cells, known_cells = (d.withColumn("_cell", F.lit(0)) for d in (asked, known))
+        found, counts["home"] = _compared(asked_cells, known_cells, by, k, metric, block)
+        return found
+    p = known.select(F.max(F.size("_x")).alias("p")).first()["p"]
+    pivot_bytes = 16 * p + 64
+    pivots = freeze(_pivots(known, by, block), "pivots")
+    asked_cells = _placed(asked, by, pivots, metric, pivot_bytes)
+    known_cells = _placed(known, by, pivots, metric, pivot_bytes)
+    home, counts["home"] = _compared(asked_cells.drop("_d"), known_cells.drop("_d"), by, k, metric, block)
+    home = freeze(home, "home")
+    # Without k vectors at home there is no bound, and without any there is no row of ``home`` either.
+    kth = home.select(*by, "_qid", F.try_element_at("_near", F.lit(k))["d"].alias("_kth"))
+    bound = F.coalesce("_kth", F.lit(float("inf")))
+    asking = join_null_safe(asked_cells, kth, [*by, "_qid"], how="left").withColumn("_b", F.concat("_x", F.array(bound, F.col("_d"), F.col("_cell"))))
+    radius = known_cells.groupBy(*by, "_cell").agg(F.max("_d").alias("_radius"))
+    reach = freeze(attach(pivots, radius, [*by, "_cell"]), "reach")
+    away = apply_models(asking, by, "_b", reach, _within(metric), "_cells", pivot_bytes + 8, returns="array<double>")
+    away = away.select(*by, "_qid", "_x", F.explode(F.col("_cells").cast("array<int>")).alias("_cell"))
+    others, counts["away"] = _compared(freeze(away, "away"), known_cells.drop("_d"), by, k, metric, block)
+    return home.union(others).groupBy(*by, "_qid").agg(_merged(k))
+
+
+def _merged(k: int) -> Column:
+    return F.slice(F.sort_array(F.flatten(F.collect_list("_near"))), 1, k).alias("_near")
+
+
+def _compared(asked: DataFrame, known: DataFrame, by: list[str], k: int, metric: str, block: int) -> tuple[DataFrame, int]:
+    """The ``k`` nearest of every asked vector in the cells that it is in, and how many pairs of blocks that took."""
     # Blocks per cell, on either side.
-    blocks = asked_cells.groupBy(*by, "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_qn"))
-    received = sent.groupBy(*by, "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_cn"))
-    blocks = freeze(join_null_safe(blocks, received, [*by, "_cell"]), "blocks")
+    blocks = asked.groupBy(*by, "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_qn"))
+    received = known.groupBy(*by, "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_cn"))
+    # The blocks of a group's cells are numbered through; there are at most as many cells as pivots.
+    before = F.sum("_cn").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = join_null_safe(blocks, received, [*by, "_cell"]).withColumn("_first", F.coalesce(before, F.lit(0)))
+    blocks = freeze(blocks, "blocks")
+    total = blocks.agg(F.sum(F.col("_qn").cast("long") * F.col("_cn")).alias("pairs"), F.max(F.col("_first") + F.col("_cn")).alias("most")).first()
 
     def blocked(rows: DataFrame, own: str, own_n: str, own_id: str, other: str, other_n: str) -> DataFrame:
         out = attach(rows, blocks, [*by, "_cell"], frozen=True)
@@ -68,46 +120,29 @@ def nearest(asked: DataFrame, known: DataFrame, by: Sequence[str], k: int, metri
         out = out.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
         return out.drop(own_n, other_n).withColumn("_g", group_key(by))
 
-    left = blocked(asked_cells, "_qb", "_qn", "_qid", "_cb", "_cn")
-    right = blocked(sent, "_cb", "_cn", "_vid", "_qb", "_qn").drop(*by)
+    left = blocked(asked, "_qb", "_qn", "_qid", "_cb", "_cn").withColumn("_round", F.col("_first") + F.col("_cb")).drop("_first")
+    right = blocked(known, "_cb", "_cn", "_vid", "_qb", "_qn").drop(*by, "_first")
     keys = ["_g", "_cell", "_qb", "_cb"]
-    schema = f"{fields(left, [*by, '_qid', '_cb'])}, d array<double>, vid array<bigint>, m array<bigint>"
+    schema = f"{fields(left, [*by, '_qid', '_round'])}, d array<double>, vid array<bigint>, m array<bigint>"
 
     def compare(these: pd.DataFrame, those: pd.DataFrame) -> pd.DataFrame:
-        out = these[[*by, "_qid", "_cb"]].reset_index(drop=True)
+        out = these[[*by, "_qid", "_round"]].reset_index(drop=True)
         if not len(these) or not len(those):
             nothing = pd.Series(dtype=object)
             return out.head(0).assign(d=nothing, vid=nothing, m=nothing)
-        best = _best(matrix(these["_x"]), matrix(those["_x"]), those["_vid"].to_numpy(), k, metric)
         vid, m = those["_vid"].to_numpy(), those["_m"].to_numpy()
-        return out.assign(
-            d=[d for _, d in best], vid=[vid[i] for i, _ in best], m=[m[i] for i, _ in best]
-        )
+        places, d = _best(matrix(these["_x"]), matrix(those["_x"]), vid, k, metric)
+        return out.assign(d=list(d), vid=list(vid[places]), m=list(m[places]))
 
     left, right = spread(left, *keys), spread(right, *keys)
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, schema)
-    zipped = F.arrays_zip("d", "vid", "m").alias("_near")
-    merged = F.slice(F.sort_array(F.flatten(F.collect_list("_near"))), 1, k).alias("_near")
-    # Two rounds, so that no list grows with the number of blocks of a large cell.
-    first = found.select(*by, "_qid", F.floor(F.col("_cb") / _MERGE).alias("_round"), zipped).groupBy(*by, "_qid", "_round").agg(merged)
-    return first.groupBy(*by, "_qid").agg(merged)
-
-
-def _cells(
-    asked: DataFrame, known: DataFrame, by: list[str], k: int, metric: str, block: int
-) -> tuple[DataFrame, DataFrame]:
-    """Asked vectors in their cells, and known vectors in every cell they can matter to."""
-    p = known.select(F.max(F.size("_x")).alias("p")).first()["p"]
-    pivot_bytes = 16 * p + 64
-    pivots = freeze(_pivots(known, by, block), "pivots")
-    place = _placing(metric)
-    asked_cells = _placed(asked, by, pivots, place, pivot_bytes)
-    known_cells = _placed(known, by, pivots, place, pivot_bytes)
-    bounds = freeze(_bounds(asked_cells, known_cells, pivots, by, k, metric), "bounds")
-    sent = apply_models(known, by, "_x", bounds, _reaching(metric), "_cells", pivot_bytes + 8, returns="array<double>")
-    # Cogrouping hashes the keys as they are, so the cell has to be of one type on both sides.
-    sent = sent.withColumn("_cell", F.explode(F.col("_cells").cast("array<int>"))).drop("_cells")
-    return asked_cells.drop("_d"), freeze(sent, "sent")
+    out = found.select(*by, "_qid", "_round", F.arrays_zip("d", "vid", "m").alias("_near"))
+    # So many lists at a time, whatever the number of blocks.
+    rounds = total["most"] or 1
+    while rounds > _MERGE:
+        out = out.withColumn("_round", F.floor(F.col("_round") / _MERGE)).groupBy(*by, "_qid", "_round").agg(_merged(k))
+        rounds = -(-rounds // _MERGE)
+    return out.groupBy(*by, "_qid").agg(_merged(k)), total["pairs"] or 0
 
 
 def _pivots(known: DataFrame, by: list[str], block: int) -> DataFrame:
@@ -137,64 +172,38 @@ def _to_pivots(x: np.ndarray, model: dict[str, Any], metric: str) -> tuple[np.nd
     return np.asarray(model["_cell"])[order], METRICS[metric](x, pivots)
 
 
-def _placing(metric: str) -> Callable:
-    def place(x: np.ndarray, model: dict[str, Any]) -> list:
+def _placed(rows: DataFrame, by: list[str], pivots: DataFrame, metric: str, pivot_bytes: int) -> DataFrame:
+    """Rows with their cell and the distance ``_d`` from its pivot."""
+
+    def place(x: np.ndarray, model: dict[str, Any]) -> np.ndarray:
         cells, d = _to_pivots(x, model, metric)
         at = d.argmin(axis=1)
-        return np.column_stack([cells[at], d[np.arange(len(x)), at]]).tolist()
-
-    return place
+        return np.column_stack([cells[at], d[np.arange(len(x)), at]])
 
-
-def _placed(rows: DataFrame, by: list[str], pivots: DataFrame, place: Callable, pivot_bytes: int) -> DataFrame:
     out = apply_models(rows, by, "_x", pivots, place, "_at", pivot_bytes, returns="array<double>")
     out = out.where(F.col("_at").isNotNull())
     return freeze(out.select(*rows.columns, F.col("_at")[0].cast("int").alias("_cell"), F.col("_at")[1].alias("_d")), "cells")
 
 
-def _bounds(
-    asked: DataFrame, known: DataFrame, pivots: DataFrame, by: list[str], k: int, metric: str
-) -> DataFrame:
-    """Per cell with asked vectors: its pivot and how far from it a known vector can matter."""
-    radius = asked.groupBy(*by, "_cell").agg(F.max("_d").alias("_radius"))
-    w = Window.partitionBy(*by, "_cell").orderBy("_d")
-    # The k nearest of each cell; tasks keep k rows per cell before the shuffle.
-    close = known.select(*by, "_cell", "_d").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    close = close.groupBy(*by, "_cell").agg(F.collect_list("_d").alias("_close"))
-    table = attach(attach(pivots, radius, [*by, "_cell"], how="left"), close, [*by, "_cell"], how="left")
-
-    def reach(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.reset_index(drop=True)
-        points = matrix(group["_p"])
-        between = METRICS[metric](points, points)
-        used = np.flatnonzero(group["_radius"].notna())
-        lists = [np.asarray(c, dtype=float) if c is not None else np.empty(0) for c in group["_close"]]
-        out = group.loc[used, [*by, "_cell", "_p"]]
-        reaches = []
-        for i in used:
-            upper = np.concatenate([between[i, j] + lists[j] for j in range(len(lists))])
-            radius_i = float(group["_radius"].iloc[i])
-            # With fewer than k known vectors in all, everything is within reach.
-            kth = np.partition(upper, k - 1)[k - 1] if len(upper) >= k else np.inf
-            reaches.append((2 * radius_i + kth) * (1 + _SLACK) + _SLACK)
-        return out.assign(_reach=reaches)
-
-    schema = f"{fields(pivots, [*by, '_cell', '_p'])}, _reach double"
-    return table.withColumn("_g", group_key(by)).groupBy("_g").applyInPandas(reach, schema)
-
-
-def _reaching(metric: str) -> Callable:
+def _within(metric: str) -> Callable:
+    """The other cells that may hold a vector within a row's bound; a row ends in bound, own distance and own cell."""
+
     def cells_within(x: np.ndarray, model: dict[str, Any]) -> list:
-        cells, d = _to_pivots(x, model, metric)
-        reach = np.asarray(model["_reach"])[np.argsort(model["_cell"])]
-        return [cells[row].astype(float).tolist() for row in d <= reach[None, :]]
+        bound, own, home = x[:, -3], x[:, -2], x[:, -1]
+        cells, d = _to_pivots(x[:, :-3], model, metric)
+        radius = np.asarray(model["_radius"], dtype=float)[np.argsort(model["_cell"])]
+        least = np.maximum(d - radius[None, :], (d - own[:, None]) / 2)
+        slack = _SLACK * (1 + d + radius[None, :])
+        wanted = (least <= bound[:, None] + slack) & (cells[None, :] != home[:, None])
+        return np.split(np.broadcast_to(cells.astype(float), wanted.shape)[wanted], np.cumsum(wanted.sum(axis=1))[:-1])
 
     return cells_within
 
 
-def _best(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, metric: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For every row of ``a`` the places and distances of its ``k`` nearest rows of ``b``."""
-    out = []
+def _best(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """For every row of ``a`` the places and distances of its ``k`` nearest rows of ``b``, or of all if they are fewer."""
+    k = min(k, len(b))
+    places, distances = np.empty((len(a), k), dtype=np.int64), np.empty((len(a), k))
     squares = (b * b).sum(axis=1)
     for start in range(0, len(a), 256):
         part = a[start : start + 256]
@@ -203,12 +212,39 @@ def _best(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, metric: str) ->
             own = (part * part).sum(axis=1)[:, None]
             rough = own + squares[None, :] - 2 * part @ b.T
             slack = 1e-10 * (own + squares.max())
-            close = rough <= np.partition(rough, k - 1, axis=1)[:, k - 1 : k] + slack
+            row, column = np.nonzero(rough <= np.partition(rough, k - 1, axis=1)[:, k - 1 : k] + slack)
         else:
-            close = np.ones((len(part), len(b)), dtype=bool)
-        for i in range(len(part)):
-            places = np.flatnonzero(close[i])
-            d = METRICS[metric](part[i : i + 1], b[places])[0]
-            order = np.lexsort((ids[places], d))[:k]
-            out.append((places[order], d[order]))
-    return out
+            row, column = np.divmod(np.arange(len(part) * len(b)), len(b))
+        count = np.bincount(row, minlength=len(part))
+        turn = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        d = np.full((len(part), count.max()), np.inf)
+        at = np.zeros(d.shape, dtype=np.int64)
+        at[row, turn] = column
+        d[row, turn] = PAIRED[metric](part[row], b[column])
+        order = np.lexsort((ids[at], d), axis=1)[:, :k]
+        places[start : start + 256] = np.take_along_axis(at, order, axis=1)
+        distances[start : start + 256] = np.take_along_axis(d, order, axis=1)
+    return places, distances
+
+
+def knn_join(
+    asked: DataFrame, known: DataFrame, k: int, by: Sequence[str] = (), key: str = "row_key", vector: str = "features",
+    metric: str = "euclidean", block: int | None = None, counts: dict[str, int] | None = None,
+) -> DataFrame:
+    """The ``k`` nearest rows of ``known`` for every row of ``asked``: ``by``, ``key``, ``rank``, ``neighbour``, ``distance``.
+
+    ``key`` is an integer that tells the rows of a group apart. Rows without a vector take no part; a row that is in both
+    tables is its own neighbour. Equal distances go by key.
+    """
+    if k < 1 or metric not in METRICS:
+        raise ValueError(f"k must be at least 1 and metric one of {sorted(METRICS)}")
+    by = list(by)
+
+    def told(df: DataFrame) -> DataFrame:
+        x = F.col(vector).cast("array<double>")
+        return freeze(df.where(x.isNotNull()).select(*by, F.col(key).cast("long").alias("_vid"), F.lit(1).cast("long").alias("_m"), x.alias("_x")), "told")
+
+    rows = told(known)
+    near = nearest(rows if asked is known else told(asked), rows, by, k, metric, block, counts)
+    listed = near.select(*by, F.col("_qid").alias(key), F.posexplode("_near").alias("rank", "_c"))
+    return listed.select(*by, key, (F.col("rank") + 1).alias("rank"), F.col("_c.vid").alias("neighbour"), F.col("_c.d").alias("distance"))

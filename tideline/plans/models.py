@@ -62,8 +62,7 @@ def apply_models(
         if returns == "double":
             out[places] = values
         else:
-            for place, value in zip(places, values):
-                out[place] = value
+            out[places] = np.fromiter(values, dtype=object, count=len(places))
 
     if rows_of(models) * model_bytes <= setting(spark, "broadcastBytes"):
         table = keyed_models.toPandas()
