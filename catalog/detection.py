@@ -271,6 +271,28 @@ def knn_join(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("vec_id", "rank", "neighbour", F.round("distance", 6).alias("distance"))
 
 
+def _approximate(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten near vectors of every fiftieth one, by random planes."""
+    vectors = _vectors(spark, sf)
+    return join_nearest(vectors.where("vec_id % 50 = 0"), vectors, 10, key="vec_id", vector="embedding", exact=False, cell_rows=128)
+
+
+@query()
+def knn_approximate(spark: SparkSession, sf: str) -> DataFrame:
+    return _approximate(spark, sf).select("vec_id", "rank", "neighbour", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT count(*) AS asked, 10 * count(*) AS found, true AS recalled FROM embeddings WHERE vec_id % 50 = 0")
+def knn_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """At least nine of ten of the exact neighbours are among the approximate ones."""
+    vectors = _vectors(spark, sf)
+    exact = join_nearest(vectors.where("vec_id % 50 = 0"), vectors, 10, key="vec_id", vector="embedding", block=512)
+    near = _approximate(spark, sf).select("vec_id", "neighbour", F.lit(1).alias("hit"))
+    both = exact.join(near, ["vec_id", "neighbour"], "left")
+    recall = F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1))
+    return both.agg(F.count_distinct("vec_id").alias("asked"), F.count(F.lit(1)).alias("found"), (recall >= 0.9).alias("recalled"))
+
+
 # Verdicts row by row, of which the queries above state what must hold.
 
 

@@ -67,3 +67,20 @@ def test_nothing_and_wrong(spark):
     for wrong in ({"k": 0}, {"k": 1, "metric": "cosine"}):
         with pytest.raises(ValueError):
             knn_join(some, some, **wrong)
+
+
+def test_approximate_recall(spark, limits):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(rng.normal(0, 4, 8), 1, (150, 8)) for _ in range(10)])
+    x = [list(v) for v in x] + [list(x[0])] * 40 + [None]
+    groups = [i % 2 for i in range(len(x))]
+    df, counts = frame(spark, x, groups), {}
+    asked = df.where("row_key % 50 = 0")
+    found = knn_join(asked, df, 5, ["series_id"], exact=False, tables=8, probes=6, cell_rows=64, block=64, counts=counts).collect()
+    want = {(r[1], r[3]): r[4] for r in plain(x, x, groups, groups, 5, "euclidean") if r[1] % 50 == 0}
+    got = {(r.row_key, r.neighbour): r.distance for r in found}
+    assert len(got) == len(found) and counts["probed"] > 0
+    hits = [p for p in want if p in got]
+    assert len(hits) >= 0.9 * len(want) and all(abs(got[p] - want[p]) < 1e-9 for p in hits)
+    assert all(r["rank"] <= 5 for r in found)
+    assert knn_join(asked, df.limit(0), 2, ["series_id"], exact=False).collect() == []

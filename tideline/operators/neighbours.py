@@ -10,7 +10,8 @@ only the k best of a block travel on, never pairs, and they are merged a bounded
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import combinations
 from typing import Any
 
 import numpy as np
@@ -99,16 +100,22 @@ def nearest(
     return home.union(others).groupBy(*by, "_qid").agg(_merged(k))
 
 
-def _merged(k: int) -> Column:
-    return F.slice(F.sort_array(F.flatten(F.collect_list("_near"))), 1, k).alias("_near")
+def _merged(k: int, repeats: bool = False) -> Column:
+    near = F.flatten(F.collect_list("_near"))
+    return F.slice(F.sort_array(F.array_distinct(near) if repeats else near), 1, k).alias("_near")
 
 
-def _compared(asked: DataFrame, known: DataFrame, by: list[str], k: int, metric: str, block: int) -> tuple[DataFrame, int]:
-    """The ``k`` nearest of every asked vector in the cells that it is in, and how many pairs of blocks that took."""
+def _compared(
+    asked: DataFrame, known: DataFrame, by: list[str], k: int, metric: str, block: int, repeats: bool = False
+) -> tuple[DataFrame, int]:
+    """The ``k`` nearest of every asked vector in the cells that it is in, and how many pairs of blocks that took.
+
+    With ``repeats`` two vectors may share several cells.
+    """
     # Blocks per cell, on either side.
     blocks = asked.groupBy(*by, "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_qn"))
     received = known.groupBy(*by, "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_cn"))
-    # The blocks of a group's cells are numbered through; there are at most as many cells as pivots.
+    # The blocks of a group's cells are numbered through; one row per cell.
     before = F.sum("_cn").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
     blocks = join_null_safe(blocks, received, [*by, "_cell"]).withColumn("_first", F.coalesce(before, F.lit(0)))
     blocks = freeze(blocks, "blocks")
@@ -140,9 +147,9 @@ def _compared(asked: DataFrame, known: DataFrame, by: list[str], k: int, metric:
     # So many lists at a time, whatever the number of blocks.
     rounds = total["most"] or 1
     while rounds > _MERGE:
-        out = out.withColumn("_round", F.floor(F.col("_round") / _MERGE)).groupBy(*by, "_qid", "_round").agg(_merged(k))
+        out = out.withColumn("_round", F.floor(F.col("_round") / _MERGE)).groupBy(*by, "_qid", "_round").agg(_merged(k, repeats))
         rounds = -(-rounds // _MERGE)
-    return out.groupBy(*by, "_qid").agg(_merged(k)), total["pairs"] or 0
+    return out.groupBy(*by, "_qid").agg(_merged(k, repeats)), total["pairs"] or 0
 
 
 def _pivots(known: DataFrame, by: list[str], block: int) -> DataFrame:
@@ -227,14 +234,74 @@ def _best(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int, metric: str) ->
     return places, distances
 
 
+def _projections(x: np.ndarray, model: dict[str, Any], tables: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per table: its number of bits, the projections of the centred vectors, and the cells of these."""
+    bits, mean = int(model["_bits"][0]), np.asarray(model["_mean"][0], dtype=float)
+    for t in range(tables):
+        along = np.random.default_rng([seed, t]).normal(size=(len(mean), bits))
+        y = (x - mean) @ along
+        yield bits, y, (t << bits) + (y > 0) @ (1 << np.arange(bits))
+
+
+def _probed(y: np.ndarray, cells: np.ndarray, probes: int) -> np.ndarray:
+    """The cells that a vector is most likely to share with near ones: its own, and those across the sides
+    that it lies closest to, up to three of them at a time."""
+    bits = y.shape[1]
+    near = np.argsort(np.abs(y), axis=1)[:, : min(bits, 8)]
+    flips = [f for n in range(4) for f in combinations(range(near.shape[1]), n)]
+    cost = np.stack([(np.take_along_axis(y, near[:, list(f)], axis=1) ** 2).sum(axis=1) for f in flips], axis=1)
+    turned = np.stack([(1 << near[:, list(f)]).sum(axis=1) for f in flips], axis=1).astype(np.int64)
+    best = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+    return cells[:, None] ^ np.take_along_axis(turned, best, axis=1)
+
+
+def approximate(
+    asked: DataFrame, known: DataFrame, by: Sequence[str], k: int, metric: str, tables: int, probes: int, cell_rows: int,
+    seed: int, block: int | None = None, counts: dict[str, int] | None = None,
+) -> DataFrame:
+    """Like ``nearest``, but of the known vectors that share a cell with the asked one in some table.
+
+    A cell is the sides on which a vector lies of random planes through the mean of its group, so many planes that a
+    cell has about ``cell_rows`` rows. Known vectors are in one cell of each of ``tables`` tables; an asked one looks into
+    ``probes`` cells of each. Cells of any size are compared whole, in blocks.
+    """
+    by = list(by)
+    asked = asked.select(*by, F.col("_vid").alias("_qid"), "_x")
+    parts = known.select(*by, F.posexplode("_x").alias("_i", "_c"))
+    means = parts.groupBy(*by, "_i").agg(F.avg("_c").alias("_c"), F.count(F.lit(1)).alias("_n"))
+    planes = F.greatest(F.ceil(F.log2(F.max("_n") / F.lit(cell_rows))), F.lit(1)).cast("int")
+    # One row per group, as long as a vector.
+    places = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_c"))), lambda c: c["_c"])
+    models = freeze(means.groupBy(*by).agg(places.alias("_mean"), planes.alias("_bits")), "planes")
+    size = 16 * (known.select(F.max(F.size("_x")).alias("p")).first()["p"] or 0) + 64
+
+    def own(x: np.ndarray, model: dict[str, Any]) -> np.ndarray:
+        return np.stack([cells for _, _, cells in _projections(x, model, tables, seed)], axis=1).astype(float)
+
+    def looked(x: np.ndarray, model: dict[str, Any]) -> np.ndarray:
+        return np.concatenate([_probed(y, cells, probes) for _, y, cells in _projections(x, model, tables, seed)], axis=1).astype(float)
+
+    def celled(rows: DataFrame, kernel: Callable, label: str) -> DataFrame:
+        out = apply_models(rows, by, "_x", models, kernel, "_cells", size, returns="array<double>")
+        return freeze(out.withColumn("_cell", F.explode(F.col("_cells").cast("array<bigint>"))).drop("_cells"), label)
+
+    block = block or setting(asked.sparkSession, "blockRows")
+    found, n = _compared(celled(asked, looked, "probes"), celled(known, own, "cells"), by, k, metric, block, repeats=True)
+    if counts is not None:
+        counts["probed"] = n
+    return found
+
+
 def knn_join(
     asked: DataFrame, known: DataFrame, k: int, by: Sequence[str] = (), key: str = "row_key", vector: str = "features",
-    metric: str = "euclidean", block: int | None = None, counts: dict[str, int] | None = None,
+    metric: str = "euclidean", block: int | None = None, counts: dict[str, int] | None = None, exact: bool = True,
+    tables: int = 16, probes: int = 8, cell_rows: int = 512, seed: int = 42,
 ) -> DataFrame:
     """The ``k`` nearest rows of ``known`` for every row of ``asked``: ``by``, ``key``, ``rank``, ``neighbour``, ``distance``.
 
     ``key`` is an integer that tells the rows of a group apart. Rows without a vector take no part; a row that is in both
-    tables is its own neighbour. Equal distances go by key.
+    tables is its own neighbour. Equal distances go by key. Without ``exact`` the nearest are sought in cells of random
+    planes (``approximate``): distances are exact, neighbours may be missed.
     """
     if k < 1 or metric not in METRICS:
         raise ValueError(f"k must be at least 1 and metric one of {sorted(METRICS)}")
@@ -245,6 +312,10 @@ def knn_join(
         return freeze(df.where(x.isNotNull()).select(*by, F.col(key).cast("long").alias("_vid"), F.lit(1).cast("long").alias("_m"), x.alias("_x")), "told")
 
     rows = told(known)
-    near = nearest(rows if asked is known else told(asked), rows, by, k, metric, block, counts)
+    questions = rows if asked is known else told(asked)
+    if exact:
+        near = nearest(questions, rows, by, k, metric, block, counts)
+    else:
+        near = approximate(questions, rows, by, k, metric, tables, probes, cell_rows, seed, block, counts)
     listed = near.select(*by, F.col("_qid").alias(key), F.posexplode("_near").alias("rank", "_c"))
     return listed.select(*by, key, (F.col("rank") + 1).alias("rank"), F.col("_c.vid").alias("neighbour"), F.col("_c.d").alias("distance"))
