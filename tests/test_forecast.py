@@ -124,3 +124,22 @@ def test_settled_series_leave_the_rounds(spark, series):
     assert rows[0] == rows[1]
     with pytest.warns(UserWarning, match="settled"):
         assert Forecaster(max_rounds=1).fit(df).unsettled().count() == 1
+
+
+def test_simulated_paths(spark, series):
+    bent = [float(i if i < 60 else 60 - 3 * (i - 60)) + (i * 7919 % 5) for i in range(100)]
+    df = series({"line": [2.0 * i + (i * 31 % 7) for i in range(100)], "bent": bent})
+    model = Forecaster(10.0, n_changepoints=10, yearly_seasonality=False, weekly_seasonality=False).fit(df)
+    out = model.simulate(df, 30, draws=400).orderBy("series_id", "ds").toPandas()
+    again = model.simulate(df.repartition(5), 30, draws=400).orderBy("series_id", "ds").toPandas()
+    assert out.equals(again) and len(out) == 60
+    assert ((out["yhat_lower"] <= out["yhat_median"]) & (out["yhat_median"] <= out["yhat_upper"])).all()
+    width = (out["yhat_upper"] - out["yhat_lower"]).groupby(out["series_id"]).apply(list)
+    # A slope that has changed may change again, by more than one that hardly did.
+    grown = {k: w[-1] - w[0] for k, w in width.items()}
+    assert width["bent"][-1] > 2 * width["bent"][0] and grown["bent"] > 2 * grown["line"]
+    future = model.predict(df, 30).where("ds > timestamp_ntz'2024-04-09'").orderBy("series_id", "ds").toPandas()
+    assert np.allclose(future["yhat"], out["yhat"])
+    for wrong in ({"periods": 0}, {"periods": 3, "draws": 1}):
+        with pytest.raises(ValueError):
+            model.simulate(df, **wrong)

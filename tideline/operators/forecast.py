@@ -10,13 +10,13 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tideline.functions.labels import outside
 from tideline.functions.scalars import micros
 from tideline.plans import attach, freeze, rows_of
 from tideline.plans.attach import join_null_safe
-from tideline.plans.models import fields, group_key
+from tideline.plans.models import fields, group_key, uniform
 from tideline.plans.moments import outer_sums
 from tideline.sources.series import KEY, SERIES, TS
 
@@ -274,6 +274,47 @@ class ForecastModel:
             past = past.unionByName(future)
         return self._predict(past).withColumnRenamed(ts, "ds").select(*by, "ds", "yhat", "yhat_lower", "yhat_upper")
 
+    def simulate(self, history: DataFrame, periods: int, freq: str = "1 day", draws: int = 1000, seed: int = 42) -> DataFrame:
+        """The ``periods`` steps after the history, with intervals from ``draws`` simulated paths per series.
+
+        In every step the slope changes as often, and by Laplace numbers as large, as it did in the history. Normal noise comes
+        on top, the same on all steps of a path: intervals are per step, and differ then by the trend alone. All numbers come
+        from hashes of seed, series, path and step.
+        """
+        spec = self.spec
+        by, ts = list(spec.by), spec.ts
+        if periods < 1 or draws < 2:
+            raise ValueError("periods must be at least 1 and draws at least 2")
+        last = history.where(F.col(spec.value).isNotNull()).groupBy(*by).agg(F.max(ts).alias("_last"))
+        steps = last.select(*by, "_last", F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("_i"))
+        kind = history.schema[ts].dataType.simpleString()
+        steps = steps.select(*by, "_i", *[(F.col("_last") + F.expr(f"interval {freq}") * i).cast(kind).alias(c) for c, i in ((ts, F.col("_i")), ("_previous", F.col("_i") - 1))])
+        point = self._predict(steps).drop("yhat_lower", "yhat_upper")
+        wide = attach(point, self.params, by, frozen=True, row_bytes=16 * (spec.n_changepoints + 64))
+        # A step has a length in scaled time, and the trend a weight where the season multiplies it.
+        season = _dot("_terms", "_season_beta")
+        wide = wide.withColumn("_terms", spec.season_terms(F.col(ts))).select(
+            *by, ts, "_i", "yhat", "_size", "_sigma", "_slope_step",
+            (_scaled_time(ts) - _scaled_time("_previous")).alias("_dt"),
+            (F.lit(1.0) if spec.seasonality_mode == "additive" else 1.0 + season).alias("_weight"),
+            F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_d"),
+        )
+        side, change = (uniform(seed, stream, *by, "_d", "_i") for stream in ("side", "change"))
+        radius, angle = (uniform(seed, stream, *by, "_d") for stream in ("radius", "angle"))
+        laplace = -F.signum(side - 0.5) * F.ln(1.0 - 2.0 * F.abs(side - 0.5)) * F.col("_slope_step") / math.sqrt(2)
+        chance = 1.0 - F.exp(-F.lit(spec.n_changepoints / CHANGEPOINT_RANGE) * F.col("_dt"))
+        # As many rows as steps per window.
+        so_far = Window.partitionBy(*by, "_d").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+        paths = wide.withColumn("_slope", F.sum(F.when(change < chance, laplace).otherwise(0.0)).over(so_far))
+        paths = paths.withColumn("_bent", F.sum(F.col("_slope") * F.col("_dt")).over(so_far))
+        noise = F.sqrt(-2.0 * F.ln(radius)) * F.cos(2.0 * math.pi * angle) * F.col("_sigma")
+        value = F.col("yhat") + F.col("_size") * (F.col("_bent") * F.col("_weight") + noise)
+        edge = (1.0 - spec.interval_width) / 2
+        out = paths.withColumn("_path", value).groupBy(*by, ts).agg(
+            F.first("yhat").alias("yhat"), F.percentile("_path", F.array(F.lit(edge), F.lit(0.5), F.lit(1.0 - edge))).alias("_q")
+        )
+        return out.select(*by, F.col(ts).alias("ds"), "yhat", *[F.col("_q")[i].alias(c) for i, c in enumerate(("yhat_lower", "yhat_median", "yhat_upper"))])
+
 
 def with_actuals(forecast: DataFrame, actuals: DataFrame, value: str = "value", by: Sequence[str] = (SERIES,), ts: str = TS) -> DataFrame:
     """Forecast rows with the observed value where there is one; without one the row is future."""
