@@ -13,8 +13,10 @@ from tideline.plans.settings import _DEFAULTS
 from tideline.operators.isolation import IsolationForest, forest_scores, forest_steps, grow_tree, mean_path, step_scores
 from tideline.operators.lof import LocalOutlierFactor
 from tideline.operators.neighbours import nearest
+from tideline.operators import recon
 from tideline.operators.recon import WindowReconstruction
 from tideline.plans import freeze, with_position
+from tideline.plans.moments import lag_sums, window_sums
 
 VECTOR = {"inputs": "features", "order": ["row_key"]}
 
@@ -278,6 +280,48 @@ def test_reconstruction_of_ready_windows(spark, series):
     np.testing.assert_allclose(a, b, rtol=1e-9)
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 20])
+def test_window_sums(limits, spark, size):
+    """The sums over windows without windows, with nulls, several inputs and series too short for a window."""
+    rng = np.random.default_rng(size)
+    held = {"a": rng.normal(1e6, 3, (90, 2)), "b": rng.normal(0, 1, (20, 2)), "c": rng.normal(0, 1, (3, 2)), None: rng.normal(5, 1, (45, 2))}
+    rows, want = [], {}
+    for name, x in held.items():
+        gone = {4, 30, 31} if len(x) > 40 else set()
+        rows += [(name, i, None if i in gone else [float(v) for v in r]) for i, r in enumerate(x)]
+        z = [np.r_[1.0, x[i : i + size].ravel()] for i in range(len(x) - size + 1) if not gone & set(range(i, i + size))]
+        if z:
+            want[name] = np.vstack(z).T @ np.vstack(z)
+    df = spark.createDataFrame(rows, "s string, i int, x array<double>").repartition(4)
+    got = {}
+    for r in window_sums(df, ["s"], ["i"], "x", size).collect():
+        got.setdefault(r.s, {})[r.i] = r.total
+    assert got.keys() == want.keys()
+    for name, m in want.items():
+        np.testing.assert_allclose([got[name][k] for k in range(m.size)], m.ravel(), rtol=1e-9, atol=1e-6)
+
+
+def test_lag_sums_keep_small_differences():
+    x = 1e8 + np.random.default_rng(3).normal(0, 1, (500, 1))
+    z = np.array([np.r_[1.0, x[i : i + 5, 0]] for i in range(496)])
+    np.testing.assert_allclose(lag_sums(x, 5), z.T @ z, rtol=1e-12)
+
+
+def test_reconstruction_fits_on_rows(series, monkeypatch):
+    """Training writes no table of windows, and the basis is that of the windows."""
+    written = []
+    monkeypatch.setattr(recon, "freeze", lambda df, label: written.append((label, df.columns)) or freeze(df, label))
+    df = series({"s": np.random.default_rng(0).normal(size=80).tolist(), "t": [*range(30), None, *range(30)]})
+    detector = WindowReconstruction(window_size=6)
+    got = {r.series_id: r for r in detector.fit(df).models.collect()}
+    assert not any("_w" in columns for _, columns in written)
+    ready = WindowReconstruction(window_size=6, inputs="_w", windowed=True).fit(detector.windows(df))
+    for r in ready.models.collect():
+        np.testing.assert_allclose(got[r.series_id].mean, r.mean, rtol=1e-9)
+    a, b = (m.errors(d).orderBy("series_id", "ts").toPandas()["_raw"] for m, d in ((detector.fit(df), df), (ready, detector.windows(df))))
+    np.testing.assert_allclose(a, b, rtol=1e-7, atol=1e-9)
+
+
 def test_reconstruction_refuses_short_series(series):
     with pytest.raises(ValueError, match="window_size"):
         WindowReconstruction(window_size=20, short="error").fit(series({"s": range(5)}))

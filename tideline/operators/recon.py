@@ -13,14 +13,15 @@ from tideline.operators.detector import Detector, DetectorModel, finish
 from tideline.operators.rolling import sliding_windows
 from tideline.plans import attach, freeze, quantiles
 from tideline.plans.models import apply_models, fields, group_key
-from tideline.plans.moments import outer_sums
+from tideline.plans.moments import outer_sums, window_sums
 
 
 class WindowReconstruction(Detector):
     """Linear autoencoder over sliding windows.
 
     The best linear encoder and decoder are the leading principal components, which follow from
-    sums of outer products; training is one pass. Results are keyed by the last row of a window.
+    sums of outer products of windows; these come from products of rows a lag apart, so windows are
+    not laid out for training. Results are keyed by the last row of a window.
     With ``windowed`` the input is an array column that already holds one window per row.
     """
 
@@ -55,8 +56,15 @@ class WindowReconstruction(Detector):
 
     def fit(self, df: DataFrame) -> WindowReconstructionModel:
         by, wanted = self.by, self.n_components
-        windows = freeze(self.windows(df), "windows")
-        sums = outer_sums(windows.select(*by, F.concat(F.array(F.lit(1.0)), "_w").alias("_z")), by, "_z")
+        windows = self.windows(df)
+        if self.windowed:
+            windows = freeze(windows, "windows")
+            sums = outer_sums(windows.select(*by, F.concat(F.array(F.lit(1.0)), "_w").alias("_z")), by, "_z")
+        else:
+            step = F.array(*[F.col(c).cast("double") for c in self.inputs])
+            whole = F.forall(step, lambda c: c.isNotNull())
+            rows = df.select(*by, *self.order, F.when(whole, step).alias("_x"))
+            sums = window_sums(rows, by, self.order, "_x", self.window_size)
 
         def solve(group: pd.DataFrame) -> pd.DataFrame:
             flat = np.zeros(int(group["i"].max()) + 1)

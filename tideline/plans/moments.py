@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tideline.plans.attach import attach
+from tideline.plans.ordered import overlap, with_position
 from tideline.plans.settings import setting
 
 # Matrices held at once by one task before partial sums are passed on.
@@ -50,9 +51,75 @@ def outer_sums(df: DataFrame, by: Sequence[str], vector: str) -> DataFrame:
         if held:
             yield drain()
 
+    return _totals(_gathered(keyed).mapInPandas(partial, "_g string, m array<double>"), df, by)
+
+
+def window_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], vector: str, size: int) -> DataFrame:
+    """What ``outer_sums`` gives for (1, w), w the flattened windows of ``size`` consecutive ``vector``s, without windows.
+
+    Windows with a null vector count nothing. Rows lie in blocks that overlap by a window less one row;
+    a task passes on one triangle per block, whatever the size of its windows.
+    """
+    spark = df.sparkSession
+    reach = size - 1
+    kept = df.select(*by, *order, vector)
+    rows = with_position(kept, by, order, "_pos").select(*by, "_pos", vector)
+    block = max(setting(spark, "chunkRows"), 4 * reach, 1)
+    laid = overlap(rows, "_pos", block, reach, 0).withColumn("_g", F.to_json(F.struct(*[F.col(c) for c in by])) if by else F.lit(""))
+
+    def partial(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_pos")
+        missing = part[vector].isna().to_numpy()
+        total = None
+        # Stretches between rows without a vector have windows of their own.
+        for stretch in np.split(np.arange(len(part)), np.flatnonzero(missing)):
+            stretch = stretch[~missing[stretch]]
+            if len(stretch) >= size:
+                m = lag_sums(np.vstack(part[vector].to_numpy()[stretch]), size)
+                total = m if total is None else total + m
+        if total is None:
+            return pd.DataFrame({"_g": [], "m": []}, dtype=object)
+        return pd.DataFrame({"_g": [part["_g"].iloc[0]], "m": [total[np.triu_indices(len(total))]]})
+
+    parts = laid.groupBy("_g", "_block").applyInPandas(partial, "_g string, m array<double>")
+    return _totals(parts, df, by)
+
+
+def lag_sums(x: np.ndarray, size: int) -> np.ndarray:
+    """Sum of (1, w)(1, w)ᵀ over all windows of ``size`` rows of ``x``, from products of rows ``lag`` apart.
+
+    The products of the first row of each window with the rows after it are summed over all windows; the
+    sums for the next row of the windows differ by a product that leaves at the head and one that enters
+    at the tail.
+    """
+    n, d = x.shape
+    count = n - size + 1
+    # Products about the middle of the rows, so that a high level does not cancel the differences away.
+    middle = x.mean(axis=0)
+    c = x - middle
+    total = np.empty((size, d, size, d))
+    for lag in range(size):
+        s = c[:count].T @ c[lag : lag + count]
+        for a in range(size - lag):
+            if a:
+                s = s - np.outer(c[a - 1], c[a - 1 + lag]) + np.outer(c[a - 1 + count], c[a - 1 + lag + count])
+            total[a, :, a + lag, :] = s
+            total[a + lag, :, a, :] = s.T
+    running = np.concatenate([np.zeros((1, d)), np.cumsum(c, axis=0)])
+    plain = (running[count : count + size] - running[:size]).ravel()
+    level = np.tile(middle, size)
+    out = np.empty((1 + size * d, 1 + size * d))
+    out[0, 0] = count
+    out[0, 1:] = out[1:, 0] = plain + count * level
+    cross = np.outer(plain, level)
+    out[1:, 1:] = total.reshape(size * d, size * d) + cross + cross.T + count * np.outer(level, level)
+    return out
+
+
+def _totals(parts: DataFrame, df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Entries of both halves from partial triangles ``m`` of the groups ``_g``."""
     sums = (
-        _gathered(keyed).mapInPandas(partial, "_g string, m array<double>")
-        .select("_g", F.posexplode("m").alias("i", "v"), F.size("m").alias("n"))
+        parts.select("_g", F.posexplode("m").alias("i", "v"), F.size("m").alias("n"))
         .groupBy("_g", "i", "n")
         .agg(F.sum("v").alias("total"))
     )
