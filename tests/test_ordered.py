@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.plans import LastSeen, NextSeen, Running, attach, framed, freeze, quantiles, scan, with_position
+from tideline.plans import LastSeen, NextSeen, Running, attach, framed, freeze, quantiles, scan, smallest, with_position
 
 
 @pytest.fixture
@@ -100,3 +102,41 @@ def test_frozen_table_knows_its_rows(spark):
     frozen = freeze(spark.range(17).withColumn("x", F.array("id")))
     assert frozen._tideline_rows == 17 and frozen.count() == 17
     assert frozen.schema["x"].dataType.simpleString() == "array<bigint>"
+
+
+def test_smallest(limits, spark, monkeypatch):
+    """Exactly the wanted rows, ties by key, with few bins so that ranges are closed in more than once."""
+    monkeypatch.setattr(sys.modules["tideline.plans.smallest"], "_BINS", 4)
+    rng = np.random.default_rng(4)
+    held = {
+        "spread": [*rng.exponential(1, 60), 1e12, float("inf")],
+        "ties": [*[2.0] * 30, *[1.0] * 10, *[3.0] * 10],
+        "equal": [0.5] * 20,
+        "few": [3.0, 1.0],
+        None: [*rng.normal(0, 1e-9, 25), None, float("nan")],
+    }
+    wanted = {"spread": 31, "ties": 25, "equal": 7, "few": 9, None: 26}
+    rows = [(s, i, v) for s, vs in held.items() for i, v in enumerate(None if v is None else float(v) for v in vs)]
+    df = spark.createDataFrame(rows, "s string, i int, v double").repartition(5)
+    sizes = freeze(spark.createDataFrame(list(wanted.items()), "s string, h bigint"), "sizes")
+    got = smallest(df, ["s"], "v", ["i"], sizes, "h", 62).collect()
+    for s, h in wanted.items():
+        there = sorted((float("inf") if v != v else v, i) for i, v in enumerate(held[s]) if v is not None)
+        assert sorted(r.i for r in got if r.s == s) == sorted(i for _, i in there[:h])
+    assert smallest(df.limit(0), ["s"], "v", ["i"], sizes, "h", 62).collect() == []
+
+
+def test_smallest_sorts_little(spark):
+    """Of a long group only a slice is ordered: no range partitioning of all rows."""
+    spark.conf.set("spark.tideline.maxGroupRows", "100")
+    try:
+        df = spark.range(20_000).select(F.lit("s").alias("s"), F.col("id").alias("i"), F.rand(1).alias("v"))
+        sizes = freeze(spark.createDataFrame([("s", 9_000)], "s string, h bigint"), "sizes")
+        out = smallest(freeze(df, "values"), ["s"], "v", ["i"], sizes, "h", 20_000)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" not in plan
+        kept = {r.i for r in out.collect()}
+        least = {r.i for r in df.orderBy("v").limit(9_000).collect()}
+        assert kept == least
+    finally:
+        spark.conf.unset("spark.tideline.maxGroupRows")

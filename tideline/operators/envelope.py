@@ -7,11 +7,11 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from tideline.functions.chi2 import chi2_quantile
 from tideline.operators.detector import Detector, DetectorModel, check_contamination, finish
-from tideline.plans import LastSeen, Running, attach, freeze, quantiles, rows_of, scan, with_position
+from tideline.plans import LastSeen, Running, attach, freeze, quantiles, rows_of, scan, smallest
 from tideline.plans.models import apply_models, fields, group_key, matrix, sample_rate, uniform
 from tideline.plans.moments import outer_sums
 
@@ -121,20 +121,18 @@ class EllipticEnvelope(Detector):
         rows = df.select(*by, *self.order, self.vector(df).alias("_x")).where(F.col("_x").isNotNull())
         sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.max(F.size("_x")).alias("_p"))
         sizes = freeze(sizes, "sizes")
-        p = sizes.agg(F.max("_p").alias("p")).first()["p"]
+        p, longest, average = sizes.agg(F.max("_p"), F.max("_n"), F.avg("_n")).first()
         if p is None:
             raise ValueError("no complete rows to fit on")
         sizes = freeze(sizes.withColumn("_h", self.support(F.col("_n"), p)), "sizes")
         model = freeze(self._start(rows, sizes, p), "start")
         # A step never raises a determinant, so each series settles; the ones that have keep their estimate.
         for _ in range(self.max_steps):
-            following = self._refit(rows, model, sizes, p)
-            before = model.select(*by, F.col("log_det").alias("_before"))
-            moved = attach(following, before, by, row_bytes=32, at_most=rows_of(model)).agg(
-                F.max(F.abs(F.col("log_det") - F.col("_before")) / F.greatest(F.lit(1.0), F.abs("_before"))).alias("m")
-            )
-            model = following
-            if (moved.first()["m"] or 0.0) <= 1e-9:
+            before, change = model.select(*by, F.col("log_det").alias("_before")), Observation()
+            step = attach(self._refit(rows, model, sizes, p, longest, average), before, by, row_bytes=32, at_most=rows_of(model))
+            moved = F.abs(F.col("log_det") - F.col("_before")) / F.greatest(F.lit(1.0), F.abs("_before"))
+            model = freeze(step.observe(change, F.max(moved).alias("m")).drop("_before"), "shape")
+            if (change.get["m"] or 0.0) <= 1e-9:
                 break
         else:
             raise RuntimeError(f"the support has not settled in {self.max_steps} steps; raise max_steps")
@@ -143,7 +141,7 @@ class EllipticEnvelope(Detector):
         median = quantiles(scored, by, "_dist", {"_median": 0.5})
         corrected = F.try_divide(F.col("_dist") * F.lit(chi2_quantile(0.5, p)), F.col("_median"))
         kept = attach(scored, median, by, at_most=groups).where(corrected < F.lit(chi2_quantile(0.975, p)))
-        model = freeze(solve_shape(outer_sums(kept.select(*by, F.concat(F.array(F.lit(1.0)), "_x").alias("_z")), by, "_z"), by, p), "shape")
+        model = freeze(self._shape(kept, p, average), "shape")
         last = freeze(self._distances(rows, model, p).select(*by, "_dist"), "distances")
         cut = freeze(quantiles(last, by, "_dist", {"_cut": 1 - self.contamination}), "threshold")
         return VectorEnvelopeModel(self.name, self, model, cut, p)
@@ -151,14 +149,15 @@ class EllipticEnvelope(Detector):
     def _distances(self, rows: DataFrame, model: DataFrame, p: int) -> DataFrame:
         return apply_models(rows, self.by, "_x", model, mahalanobis, "_dist", 8 * p * (p + 1) + 64)
 
-    def _refit(self, rows: DataFrame, model: DataFrame, sizes: DataFrame, p: int) -> DataFrame:
+    def _refit(self, rows: DataFrame, model: DataFrame, sizes: DataFrame, p: int, longest: int, average: float) -> DataFrame:
         """One concentration step: the closest rows, exactly as many as the support has, give the next shape."""
         by = self.by
-        scored = freeze(self._distances(rows, model, p).where(F.col("_dist").isNotNull()), "distances")
-        near = with_position(scored, by, ["_dist", *self.order], "_place")
-        kept = attach(near, sizes.select(*by, "_h"), by, at_most=rows_of(sizes)).where(F.col("_place") < F.col("_h"))
+        kept = smallest(self._distances(rows, model, p), by, "_dist", self.order, sizes, "_h", longest)
+        return self._shape(kept, p, average)
+
+    def _shape(self, kept: DataFrame, p: int, average: float) -> DataFrame:
         z = F.concat(F.array(F.lit(1.0)), F.col("_x")).alias("_z")
-        return freeze(solve_shape(outer_sums(kept.select(*by, z), by, "_z"), by, p), "shape")
+        return solve_shape(outer_sums(kept.select(*self.by, z), self.by, "_z", average), self.by, p)
 
     def _start(self, rows: DataFrame, sizes: DataFrame, p: int) -> DataFrame:
         by, seed, wanted, starts = self.by, self.seed, self.start_rows, self.starts

@@ -4,6 +4,7 @@ from tideline.plans.attach import attach
 from tideline.plans.ordered import LastSeen, NextSeen, Running, framed, overlap, scan, with_position
 from tideline.plans.quantiles import quantiles
 from tideline.plans.scratch import freeze, rows_of, scratch_path, scratch_root, scratch_scope
+from tideline.plans.smallest import smallest
 
 __all__ = [
     "LastSeen",
@@ -19,5 +20,6 @@ __all__ = [
     "scratch_path",
     "scratch_root",
     "scratch_scope",
+    "smallest",
     "with_position",
 ]

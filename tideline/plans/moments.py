@@ -16,12 +16,12 @@ from tideline.plans.settings import setting
 _HELD_BYTES = 64 * 1024 * 1024
 
 
-def outer_sums(df: DataFrame, by: Sequence[str], vector: str) -> DataFrame:
+def outer_sums(df: DataFrame, by: Sequence[str], vector: str, average: float | None = None) -> DataFrame:
     """``(by, i, total)``: entry ``i`` of the flattened sum of ``v vᵀ`` over the vectors of a group.
 
     Put a leading 1 in the vector to obtain the count and the plain sums as well. Each task adds
     up its rows per group; the partial matrices are then summed entry by entry, so no task ever
-    sees the rows of a whole group.
+    sees the rows of a whole group. ``average`` is about how many rows a group has, where that is known.
     """
     keyed = df.select(F.struct(*[F.col(c) for c in by]).alias("_g") if by else F.lit(0).alias("_g"), vector)
     keyed = keyed.withColumn("_g", F.to_json("_g") if by else F.lit("")).where(F.col(vector).isNotNull())
@@ -51,7 +51,7 @@ def outer_sums(df: DataFrame, by: Sequence[str], vector: str) -> DataFrame:
         if held:
             yield drain()
 
-    return _totals(_gathered(keyed).mapInPandas(partial, "_g string, m array<double>"), df, by)
+    return _totals(_gathered(keyed, average).mapInPandas(partial, "_g string, m array<double>"), df, by)
 
 
 def window_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], vector: str, size: int) -> DataFrame:
@@ -137,7 +137,7 @@ def _totals(parts: DataFrame, df: DataFrame, by: Sequence[str]) -> DataFrame:
     return sums.select(F.from_json("_g", schema).alias("_k"), "i", "total").select("_k.*", "i", "total")
 
 
-def _gathered(keyed: DataFrame) -> DataFrame:
+def _gathered(keyed: DataFrame, average: float | None) -> DataFrame:
     """Rows as they are where groups are long; short groups are brought together first.
 
     A task passes on a matrix for every group that it meets, which is far larger than a row. Spread
@@ -145,6 +145,8 @@ def _gathered(keyed: DataFrame) -> DataFrame:
     therefore sent to one task whole, while longer ones stay where they are.
     """
     spark = keyed.sparkSession
+    if average is not None and average > setting(spark, "shortRows"):
+        return keyed
     sizes = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("n"))
     totals = sizes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups")).first()
     if not totals["groups"] or totals["rows"] / totals["groups"] > setting(spark, "shortRows"):
