@@ -51,6 +51,50 @@ def test_copies(spark, rate, limits):
         assert dict(got) == {i: n for i, n in want.items() if n}
 
 
+def exact_copies(seed: int, key: str, rate: int) -> int:
+    """By fractions of the greatest term, summed exactly enough from the mean outwards."""
+    at = int(hashlib.md5(f"{seed}|copies|{key}".encode()).hexdigest()[:13], 16) / 2**52
+    reach = int(14 * math.sqrt(rate)) + 40
+    low = max(0, rate - reach)
+    logs = [k * math.log(rate) - rate - math.lgamma(k + 1) for k in (rate,)]
+    terms = {rate: math.exp(logs[0])}
+    for k in range(rate + 1, rate + reach):
+        terms[k] = terms[k - 1] * rate / k
+    for k in range(rate, low, -1):
+        terms[k - 1] = terms[k] * k / rate
+    total, copies = 0.0, low
+    for k in sorted(terms):
+        total += terms[k]
+        if total > at:
+            return k
+    return copies
+
+
+@pytest.mark.parametrize("rate", [900, 100_000, 9_900_000])
+def test_high_rates(spark, rate):
+    """In time that grows with the spread, not with the rate; only the numbers of copies are built here."""
+    df = docs(spark, 3 if rate > 1000 else 60)
+    rates = df.select("source").distinct().selectExpr("source", f"double({rate}) as rate")
+    got = {r.doc_id: r.n for r in mixing.replicate(df, rates, seed=5).groupBy("doc_id").count().withColumnRenamed("count", "n").collect()}
+    # Terms at high rates carry the rounding of logarithms, which may move a draw by one.
+    assert all(abs(got[i] - exact_copies(5, str(i), rate)) <= (1 if rate > 1000 else 0) for i in got) and len(got) == df.count()
+
+
+@pytest.mark.parametrize("rate", [3e9, 1e7, float("nan"), float("inf")])
+def test_rates_beyond_the_limit(spark, rate):
+    df = docs(spark, 3)
+    rates = spark.createDataFrame([("big", rate), ("s0", -1.0)], "source string, rate double")
+    with pytest.raises(ValueError, match="max_copies"):
+        mixing.replicate(df, rates)
+
+
+def test_distributions_of_odd_rates(spark):
+    rates = spark.createDataFrame([("zero", 0.0), ("below", -2.0), (None, None), ("low", 1e-9), ("some", 60.0)], "source string, rate double")
+    got = {r._source: r for r in mixing._distributions(rates).collect()}
+    assert got["zero"]._cdf == got["below"]._cdf == got[None]._cdf == [1.0]
+    assert got["low"]._cdf[0] == pytest.approx(1 - 1e-9, rel=1e-15) and got["some"]._cdf[-1] == pytest.approx(1, abs=1e-13)
+
+
 def test_order_weights_nulls_and_repeats(spark):
     rows = [(None, "a", None, "q"), (None, "a", None, "q"), (1, None, "s", "q"), (1, None, "s", "q"), (2, "", "s", "q"), (3, "long " * 5000, "s", "q")]
     df = spark.createDataFrame(rows, SCHEMA)

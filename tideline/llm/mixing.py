@@ -9,10 +9,16 @@ hash.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tideline.llm.hashing import SPAN, number, row_key
 from tideline.plans.attach import attach
+from tideline.plans.scratch import freeze, rows_of
+
+# The most copies that a row may get: they are numbers of one array in a task.
+MAX_COPIES = 10_000_000
 
 
 def source_rates(
@@ -50,42 +56,66 @@ def source_rates(
     return weighed.join(F.broadcast(sums)).select("source", "size", "weight", F.coalesce(rate, F.lit(1.0)).alias("rate"))
 
 
-def _distribution(rate: Column) -> Column:
-    """P(copies <= k) for k = 0, 1, … until what is left is too small for the hash to hit."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
+def _least(rate: Column) -> Column:
+    """Fewer copies than these, or more than ``_most``, are too seldom for the hash to hit."""
+    return F.greatest(F.floor(rate - 12 * F.sqrt(rate) - 30), F.lit(0)).cast("long")
 
-    def step(state: Column, k: Column) -> Column:
-        log_factorial = state["lf"] + F.when(k > 0, F.coalesce(F.ln(k.cast("double")), F.lit(0.0))).otherwise(0.0)
-        term = F.coalesce(F.exp(k * F.ln(rate) - rate - log_factorial), F.lit(0.0))
-        return F.struct(
-            log_factorial.alias("lf"),
-            (state["sum"] + term).alias("sum"),
-            F.concat(state["cdf"], F.array(state["sum"] + term)).alias("cdf"),
-        )
 
-    none = F.slice(F.array(F.lit(0.0)), 2, 1)
-    start = F.struct(F.lit(0.0).alias("lf"), F.lit(0.0).alias("sum"), none.alias("cdf"))
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(0), last), start, step, lambda s: s["cdf"])).otherwise(
-        F.array(F.lit(1.0))
-    )
+def _most(rate: Column) -> Column:
+    return F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("long")
+
+
+def _chance(k: Column, rate: Column) -> Column:
+    """P(copies = k): by the factorial, beyond 20 by Stirling's series around the mean."""
+    exact = k * F.ln(rate) - rate - F.ln(F.factorial(F.least(k, F.lit(20)).cast("int")))
+    x = F.greatest(k, F.lit(1)).cast("double")
+    off = (x - rate) / rate
+    stirling = 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5))
+    around = -rate * ((1 + off) * F.log1p(off) - off) - F.ln(2 * math.pi * x) / 2 - stirling
+    return F.exp(F.when(k <= 20, exact).otherwise(around))
+
+
+def _distributions(rates: DataFrame) -> DataFrame:
+    """``_source``, ``_first``, ``_cdf``: P(copies <= k) for k = ``_first`` and on.
+
+    A source has 24 standard deviations of rows, which are summed up in order and put into one array.
+    """
+    rate = F.coalesce(F.when(F.col("rate") > 0, F.col("rate").cast("double")), F.lit(0.0))
+    steps = rates.select(F.col("source").alias("_source"), rate.alias("_rate")).select("*", _least(F.col("_rate")).alias("_first"), _most(F.col("_rate")).alias("_last"))
+    steps = steps.select("*", F.explode(F.sequence("_first", F.when(F.col("_rate") > 0, F.col("_last")).otherwise(F.lit(0)))).alias("_k"))
+    chance = F.when(F.col("_rate") > 0, _chance(F.col("_k"), F.col("_rate"))).otherwise(F.lit(1.0))
+    upto = F.sum(chance).over(Window.partitionBy("_source").orderBy("_k"))
+    lists = steps.select("_source", "_first", "_k", upto.alias("_p")).groupBy("_source", "_first")
+    return lists.agg(F.array_sort(F.collect_list(F.struct("_k", "_p"))).getField("_p").alias("_cdf"))
 
 
 def replicate(
-    df: DataFrame, rates: DataFrame, seed: int = 0, source: str = "source", key: str = "doc_id", text: str = "text"
+    df: DataFrame,
+    rates: DataFrame,
+    seed: int = 0,
+    source: str = "source",
+    key: str = "doc_id",
+    text: str = "text",
+    max_copies: int = MAX_COPIES,
 ) -> DataFrame:
     """The rows, each as often as its hash says, with ``copy`` from 1 and ``mix_key``.
 
     Rows with equal keys of one source get equally many copies; a row without a key is hashed by its
     text. Rows of a source that ``rates`` does not name are left out, as if of rate 0. ``copy`` and
-    ``mix_key`` replace columns of these names.
+    ``mix_key`` replace columns of these names. ``rates`` has one row per source. Where a rate is so high
+    that a row could get over ``max_copies`` copies this raises, as it does for rates that are no numbers.
     """
     kept = df.drop("copy", "mix_key")
-    tables = rates.select(F.col("source").alias("_source"), _distribution(F.col("rate")).alias("_cdf"))
+    rates = freeze(rates.select("source", "rate"), "rates")
+    highest = rates.agg(F.max(F.col("rate").cast("double")).alias("rate")).first()["rate"] or 0.0
+    if not max(highest, 0.0) + 12 * math.sqrt(max(highest, 0.0)) + 30 <= max_copies:
+        raise ValueError(f"a rate of {highest} may give a row over max_copies = {max_copies} copies")
+    width = 24 * math.sqrt(max(highest, 0.0)) + 62
     named = kept.withColumn("_source", F.col(source))
-    drawn = attach(named, tables, ["_source"], row_bytes=1024).drop("_source")
+    drawn = attach(named, _distributions(rates), ["_source"], row_bytes=int(8 * width) + 64, at_most=rows_of(rates)).drop("_source")
     name = row_key(key, text)
     at = number(F.lit(str(seed)), F.lit("copies"), name) / F.lit(float(SPAN))
-    copies = F.size(F.filter("_cdf", lambda p: p <= at))
+    copies = (F.col("_first") + F.size(F.filter("_cdf", lambda p: p <= at))).cast("int")
     return (
         drawn.withColumn("_copies", copies)
         .where(F.col("_copies") > 0)
