@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog.inputs import CALENDAR_LOGS, DAILY_LOGS, EVENTS, USERS, calendar, daily_logs, events, table
@@ -9,6 +11,7 @@ from catalog.registry import query
 from tideline.operators.missing import handle_missing
 from tideline.operators.rolling import add_features, rolling_band, short_series, sliding_windows
 from tideline.operators.scaling import Scaler, normalize
+from tideline.operators.timeframes import rolling_time
 
 
 def _filled(strategy: str):
@@ -142,6 +145,28 @@ def rolling_bands(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in numbers})
 
 
+def _time_frames(series: str, span: str) -> str:
+    return f"""WITH {series} SELECT s AS series_id, ts, k AS row_key, v AS value, count(v) OVER w AS rolling_n,
+        round(avg(v) OVER w, 6) AS rolling_mean, round(stddev_samp(v) OVER w, 6) AS rolling_std,
+        min(v) OVER w AS rolling_min, max(v) OVER w AS rolling_max
+    FROM e WINDOW w AS (PARTITION BY s ORDER BY ts RANGE BETWEEN INTERVAL {span} PRECEDING AND CURRENT ROW)"""
+
+
+def _rounded_frames(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in ("rolling_mean", "rolling_std")})
+
+
+@query(_time_frames(EVENTS, "6 HOUR"))
+def rolling_time_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Irregular rows, framed by hours instead of a number of rows."""
+    return _rounded_frames(rolling_time(events(spark, sf), span=dt.timedelta(hours=6)))
+
+
+@query(_time_frames(USERS, "3 DAY"))
+def rolling_time_frames_many(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded_frames(rolling_time(events(spark, sf, "user_id"), span=dt.timedelta(days=3)))
+
+
 @query(
     f"""WITH {EVENTS} SELECT s AS series_id, ts, k AS row_key, round(sum(v) OVER w, 4) AS total,
         min(v) OVER w AS lowest, max(v) OVER w AS highest, first_value(v) OVER w AS first_step, v AS last_step

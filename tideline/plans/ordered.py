@@ -80,7 +80,31 @@ class NextSeen(LastSeen):
         return F.min_by(c, F.when(c.isNotNull(), F.col("_at")))
 
 
-Item = Running | LastSeen | NextSeen
+@dataclass(frozen=True)
+class Swept:
+    """``how`` (sum, min or max; nulls ignored) of ``value`` up to this row or, ``backward``, from this row on."""
+
+    value: Column
+    name: str
+    how: str = "sum"
+    backward: bool = False
+
+    def local(self, c: Column, w: WindowSpec) -> Column:
+        return self.chunk_total(c).over(w.rowsBetween(_START, 0))
+
+    def chunk_total(self, c: Column) -> Column:
+        return getattr(F, self.how)(c)
+
+    def carry(self, c: Column, w: WindowSpec) -> Column:
+        return self.chunk_total(c).over(w.rowsBetween(_START, -1))
+
+    def combine(self, local: Column, carried: Column) -> Column:
+        if self.how == "sum":
+            return F.coalesce(local + carried, local, carried)
+        return (F.least if self.how == "min" else F.greatest)(local, carried)
+
+
+Item = Running | LastSeen | NextSeen | Swept
 
 
 def _specs(by: Sequence[str], order: Sequence[str]) -> dict[bool, WindowSpec]:
