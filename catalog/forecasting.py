@@ -158,3 +158,36 @@ def forecast_simulated(spark: SparkSession, sf: str) -> DataFrame:
         F.count_if((F.col("yhat_lower") > F.col("yhat_median")) | (F.col("yhat_median") > F.col("yhat_upper"))).cast("int").alias("out_of_order"),
         (F.avg(F.when(F.col("_i") > 20, width)) >= 0.98 * F.avg(F.when(F.col("_i") <= 20, width))).alias("wider"),
     )
+
+
+@query()
+def forecast_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    """The full model with sparse slope changes."""
+    rows = daily(spark, sf)
+    return with_actuals(_rounded(Forecaster(changepoint_prior="laplace").fit(rows).predict(rows, 30)), rows)
+
+
+@query(
+    f"""WITH {DAILY} SELECT s AS series_id, 24 AS n_changepoints, 0 AS against_conditions, true AS planted_found,
+        true AS mostly_zero FROM d GROUP BY s"""
+)
+def forecast_sparse_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily values and, from half of the history on, a rise. Of the fitted slope changes must hold what
+    makes them the best there are: gradient 1 or −1 where the slope changes, at most 1 elsewhere. The
+    greatest change is beside the planted one, and over half are zero."""
+    rows = daily(spark, sf)
+    edge = rows.groupBy("series_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.stddev_pop("value").alias("sd"))
+    along = (F.unix_timestamp("ts") - F.unix_timestamp("a")) / (F.unix_timestamp("b") - F.unix_timestamp("a"))
+    bent = rows.join(F.broadcast(edge), "series_id").withColumn("_along", along)
+    bent = bent.withColumn("value", F.col("value") + 100 * F.col("sd") * F.greatest(F.col("_along") - 0.5, F.lit(0.0)))
+    bent = bent.select(*rows.columns)
+    model = Forecaster(changepoint_prior="laplace", n_changepoints=24, yearly_seasonality=False).fit(bent)
+    changes = model.slope_changes(bent).join(F.broadcast(edge), "series_id")
+    place = (F.unix_timestamp("changepoint") - F.unix_timestamp("a")) / (F.unix_timestamp("b") - F.unix_timestamp("a"))
+    off = F.when(F.col("per_day") == 0, F.abs("gradient") - 1).otherwise(F.abs(F.col("gradient") - F.signum("per_day")))
+    return changes.groupBy("series_id").agg(
+        F.count("gradient").cast("int").alias("n_changepoints"),
+        F.count_if(off > 1e-3).cast("int").alias("against_conditions"),
+        (F.abs(F.max_by(place, F.abs("per_day")) - 0.5) <= 0.04).alias("planted_found"),
+        (F.count_if(F.col("per_day") == 0) > 12).alias("mostly_zero"),
+    )

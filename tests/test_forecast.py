@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators.forecast import Forecaster, with_actuals
+from tideline.operators.forecast import Forecaster, _sparse_solve, with_actuals
 
 COLUMNS = ["series_id", "ds", "yhat", "yhat_lower", "yhat_upper"]
 
@@ -143,3 +145,68 @@ def test_simulated_paths(spark, series):
     for wrong in ({"periods": 0}, {"periods": 3, "draws": 1}):
         with pytest.raises(ValueError):
             model.simulate(df, **wrong)
+
+
+def test_sparse_changes_are_the_least(limits, series):
+    draw = np.random.default_rng(5)
+    t = np.arange(300)
+    bent = 20 + 0.1 * t + 0.9 * np.maximum(t - 299 * 0.4, 0) + np.sin(2 * np.pi * t / 7) + draw.normal(0, 1, 300)
+    flat = 5 + draw.normal(0, 1, 300)
+    rows = series({"bent": bent.tolist(), "flat": flat.tolist(), "line": (3.0 * t).tolist(), "same": [4.0] * 300})
+    spec = Forecaster(changepoint_prior="laplace", n_changepoints=15, yearly_seasonality=False)
+    model = spec.fit(rows)
+    assert model.unsettled().count() == 0
+    got = model.slope_changes(rows).toPandas()
+    assert got.groupby("series_id").size().to_dict() == {"bent": 15, "flat": 15, "line": 15, "same": 15}
+    told = got[got["series_id"].isin(["bent", "flat"])]
+    on = told["per_day"] != 0
+    assert (abs(told["gradient"][on] - np.sign(told["per_day"][on])) < 1e-4).all()
+    assert (abs(told["gradient"][~on]) < 1 + 1e-4).all() and 0 < on.sum() < 15
+    assert (got["per_day"][got["series_id"] == "flat"] == 0).sum() >= 13
+    top = got[got["series_id"] == "bent"].sort_values("per_day").iloc[-1]
+    assert abs((top["changepoint"] - pd.Timestamp("2024-01-01")).total_seconds() / 86400 - 299 * 0.4) < 20
+    assert abs(got["per_day"][got["series_id"] == "bent"].sum() - 0.9) < 0.1
+    # Normal priors: the gradient is the change over its prior's width.
+    normal = Forecaster(n_changepoints=15, yearly_seasonality=False).fit(rows)
+    ridge = normal.slope_changes(rows).toPandas()
+    assert (ridge["per_day"][ridge["series_id"] == "bent"] != 0).all()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sparse_solution_against_all_sign_patterns(seed):
+    draw = np.random.default_rng(seed)
+    x = draw.normal(size=(30, 7)) @ (np.eye(7) + 0.5)
+    if seed == 0:
+        x[:, 3] = x[:, 4]
+    y = x @ np.array([1.0, 2, 0, 0, 3, 0, -1]) + draw.normal(size=30)
+    sparse = np.arange(7) >= 2
+    gram, target = x.T @ x, x.T @ y
+    ridge, penalty = np.where(sparse, 0.0, 0.3), np.full(7, 15.0)
+
+    def cost(b):
+        return b @ gram @ b / 2 - target @ b + (ridge * b * b).sum() / 2 + (penalty * np.abs(b))[sparse].sum()
+
+    beta, reached = _sparse_solve(gram, target, ridge, sparse, penalty, np.zeros(7), 1000)
+    best = np.inf
+    for signs in itertools.product([-1, 0, 1], repeat=5):
+        s = np.concatenate([[2, 2], signs])
+        on = s != 0
+        b = np.zeros(7)
+        b[on] = np.linalg.lstsq((gram + np.diag(ridge))[np.ix_(on, on)], (target - np.where(sparse, penalty * s, 0))[on], rcond=None)[0]
+        best = min(best, cost(b))
+    assert reached and cost(beta) <= best + 1e-6
+
+
+def test_sparse_multiplicative(series):
+    t = np.arange(200)
+    x = (50 + np.maximum(t - 100, 0)) * (1 + 0.2 * np.sin(2 * np.pi * t / 7)) + np.random.default_rng(2).normal(0, 0.5, 200)
+    rows = series({"s": x.tolist()})
+    model = Forecaster(changepoint_prior="laplace", seasonality_mode="multiplicative", yearly_seasonality=False).fit(rows)
+    got = model.slope_changes(rows).toPandas()
+    on = got["per_day"] != 0
+    assert model.unsettled().count() == 0 and (abs(got["gradient"][on] - np.sign(got["per_day"][on])) < 0.1).all()
+
+
+def test_prior_is_known():
+    with pytest.raises(ValueError, match="laplace"):
+        Forecaster(changepoint_prior="cauchy")

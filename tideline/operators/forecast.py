@@ -29,10 +29,11 @@ YEARLY, WEEKLY = (365.25, 10), (7.0, 3)
 
 @dataclass(frozen=True)
 class Forecaster:
-    """Piecewise linear trend plus Fourier seasons, fitted by ridge regression per series.
+    """Piecewise linear trend plus Fourier seasons, fitted by penalised regression per series.
 
     ``changepoint_prior_scale`` and ``season_prior_scale`` are the widths of the priors on slope
-    changes and on seasonal terms. Yearly and weekly seasons may be switched off or given an order.
+    changes and on seasonal terms. Slope changes have normal priors, which make all of them small,
+    or with ``changepoint_prior="laplace"`` double exponential ones, which leave most of them at zero. Yearly and weekly seasons may be switched off or given an order.
     """
 
     changepoint_prior_scale: float = 0.05
@@ -49,8 +50,11 @@ class Forecaster:
     value: str = "value"
     by: Sequence[str] = (SERIES,)
     order: Sequence[str] = (TS, KEY)
+    changepoint_prior: str = "normal"
 
     def __post_init__(self) -> None:
+        if self.changepoint_prior not in ("normal", "laplace"):
+            raise ValueError("changepoint_prior must be 'normal' or 'laplace'")
         if self.max_rounds < 1 or self.max_alternations < 1:
             raise ValueError("max_rounds and max_alternations must be at least 1")
         if self.seasonality_mode not in ("additive", "multiplicative"):
@@ -113,7 +117,9 @@ class Forecaster:
         )
         n_trend = self.n_changepoints + 2
         n_season = 2 * sum(order for _, order in self.seasons())
-        priors = [0.0, 0.0] + [1 / self.changepoint_prior_scale**2] * self.n_changepoints
+        # Negative numbers stand for the slope of a double exponential prior's logarithm.
+        tight = 1 / self.changepoint_prior_scale
+        priors = [0.0, 0.0] + [tight**2 if self.changepoint_prior == "normal" else -tight] * self.n_changepoints
         season_priors = [1 / self.season_prior_scale**2] * n_season
         if additive:
             fitted = _ridge(rows.select(*by, F.concat("_trend", "_season", F.array("_y")).alias("_z")), by, priors + season_priors, self.max_rounds)
@@ -186,6 +192,54 @@ def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
+# How far a gradient may be from what its penalty allows, as a share of the penalty.
+OPTIMAL = 1e-6
+
+
+def _sparse_solve(
+    gram: np.ndarray, target: np.ndarray, ridge: np.ndarray, sparse: np.ndarray, penalty: np.ndarray, start: np.ndarray, max_rounds: int
+) -> tuple[np.ndarray, bool]:
+    """The least of ½β'Gβ − t'β + ½Σ ridge·β² + Σ penalty·|β| (this over ``sparse``), and whether it was reached.
+
+    Terms without an absolute penalty are solved for exactly and leave a problem in the sparse ones alone.
+    There, rounds of coordinate descent find which are not zero and their signs; solving for those settles
+    the rest. It is the least once every gradient is what its penalty allows: equal to it, with the
+    opposite sign, where a coefficient is not zero, and within it elsewhere.
+    """
+    full = gram + np.diag(ridge)
+    dense = ~sparse
+    # What the other terms explain, taken out of the sparse ones and of the target.
+    share = np.linalg.lstsq(full[np.ix_(dense, dense)], np.column_stack([full[np.ix_(dense, sparse)], target[dense]]), rcond=None)[0]
+    g = full[np.ix_(sparse, sparse)] - full[np.ix_(sparse, dense)] @ share[:, :-1]
+    t = target[sparse] - full[np.ix_(sparse, dense)] @ share[:, -1]
+    bound, beta, reached = penalty[sparse], start[sparse].copy(), False
+    # A term that the others make up altogether cannot be told from them and stays at zero.
+    least = 1e-12 * np.diag(full)[sparse]
+    usable = np.diag(g) > least
+    beta[~usable] = 0.0
+
+    def off(b: np.ndarray) -> float:
+        slope = g @ b - t
+        miss = np.where(b != 0, np.abs(slope + bound * np.sign(b)), np.maximum(np.abs(slope) - bound, 0.0))
+        return float((miss / bound)[usable].max(initial=0.0))
+
+    for _ in range(max_rounds):
+        for j in np.flatnonzero(usable):
+            pull = t[j] - g[j] @ beta + g[j, j] * beta[j]
+            beta[j] = np.sign(pull) * max(abs(pull) - bound[j], 0.0) / g[j, j]
+        on = np.flatnonzero(beta)
+        exact = np.zeros_like(beta)
+        if len(on):
+            exact[on] = np.linalg.lstsq(g[np.ix_(on, on)], t[on] - bound[on] * np.sign(beta[on]), rcond=None)[0]
+        if (np.sign(exact) == np.sign(beta)).all() and off(exact) <= OPTIMAL:
+            beta, reached = exact, True
+            break
+    out = np.zeros(len(target))
+    out[sparse] = beta
+    out[dense] = share[:, -1] - share[:, :-1] @ beta
+    return out, reached
+
+
 def _ridge(rows: DataFrame, by: list[str], priors: list[float], max_rounds: int) -> DataFrame:
     """Coefficients and residual deviation per series; ``_z`` holds the terms and, last, the target.
 
@@ -203,12 +257,17 @@ def _ridge(rows: DataFrame, by: list[str], priors: list[float], max_rounds: int)
         # Nothing below the rounding of the sums counts as noise.
         least = max(1e-14 * yy / n, 1e-300)
         noise = max(yy / n - (m[size, -1] / n) ** 2, least)
-        beta, settled = np.zeros(size), False
+        beta, settled, optimal = np.zeros(size), False, True
+        weights = np.asarray(priors, dtype=float)
+        sparse = weights < 0
         # The weight of the priors depends on the noise and the noise on the fit: settle both.
         for _ in range(max_rounds):
-            beta = np.linalg.lstsq(gram + np.diag(np.asarray(priors) * noise), target, rcond=None)[0]
+            if sparse.any():
+                beta, optimal = _sparse_solve(gram, target, np.where(sparse, 0.0, weights) * noise, sparse, -weights * noise, beta, max_rounds)
+            else:
+                beta = np.linalg.lstsq(gram + np.diag(weights * noise), target, rcond=None)[0]
             rest = max((yy - 2 * beta @ target + beta @ gram @ beta) / n, least)
-            settled = abs(rest - noise) <= 1e-9 * noise
+            settled = optimal and abs(rest - noise) <= 1e-9 * noise
             if settled:
                 break
             noise = rest
@@ -252,6 +311,39 @@ class ForecastModel:
             ((fitted + half) * size + mean).alias("yhat_upper"),
         )
 
+    def slope_changes(self, df: DataFrame) -> DataFrame:
+        """One row per series and changepoint: when the slope changes, by how much a day, and its gradient.
+
+        ``gradient`` is taken from the residuals of ``df``, the rows of the fit, in one pass: their products
+        with the changepoint's term, over what its prior allows. With double exponential priors a fit is the
+        best there is if the gradient is 1 where the slope rises, −1 where it falls and between the two
+        where it does not change; with normal priors it is the change itself, over its prior's width.
+        """
+        spec = self.spec
+        by, count = list(spec.by), spec.n_changepoints
+        width = 16 * (count + 2 + 2 * sum(o for _, o in spec.seasons()) + 8)
+        rows = self._predict(df.where(F.col(spec.value).isNotNull()).select(*by, spec.ts, spec.value), "inner")
+        wide = attach(rows, self.params, by, frozen=True, row_bytes=width)
+        weight = F.lit(1.0)
+        if spec.seasonality_mode == "multiplicative":
+            weight = 1.0 + _dot("_terms", "_season_beta")
+        wide = wide.withColumn("_terms", spec.season_terms(F.col(spec.ts)))
+        wide = wide.withColumn("_hinges", spec.trend_terms(_scaled_time(spec.ts))).withColumn("_rest", (F.col(spec.value) - F.col("yhat")) / F.col("_size") * weight)
+        sums = wide.groupBy(*by).agg(F.array(*[F.sum(F.col("_rest") * F.col("_hinges")[j + 2]) for j in range(count)]).cast("array<double>").alias("_sums"))
+        span = F.greatest(F.col("_t1") - F.col("_t0"), F.lit(1))
+        each = attach(sums, self.params, by, frozen=True, row_bytes=width).select(
+            *by, "_t0", "_size", "_sigma", span.alias("_span"),
+            F.posexplode(F.arrays_zip("_sums", F.slice("_trend_beta", 3, max(count, 1)).alias("_changes"))).alias("_j", "_both"),
+        )
+        allowed = F.col("_sigma") * F.col("_sigma") / F.lit(spec.changepoint_prior_scale)
+        place = F.lit(CHANGEPOINT_RANGE) * (F.col("_j") + 1) / F.lit(count + 1)
+        return each.select(
+            *by,
+            F.timestamp_micros((F.col("_t0") + place * F.col("_span")).cast("long")).alias("changepoint"),
+            (F.col("_both._changes") * F.col("_size") / F.col("_span") * F.lit(float(_DAY))).alias("per_day"),
+            (F.col("_both._sums") / allowed).alias("gradient"),
+        )
+
     def in_sample(self, df: DataFrame) -> DataFrame:
         """Forecast columns beside the given rows; null for a series that had no value to be fitted on."""
         return self._predict(df, "left")
