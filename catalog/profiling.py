@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from catalog.inputs import CALENDAR, EVENTS, calendar, events, table
 from catalog.registry import query
 from tideline.operators.profile import box, class_balance, describe, fliers, histogram, missing, overview
+from tideline.plans.sketches import merged, near_quantiles, rank_error, sketches
 
 
 @query(
@@ -81,3 +82,31 @@ def profile_box(spark: SparkSession, sf: str) -> DataFrame:
 )
 def profile_fliers(spark: SparkSession, sf: str) -> DataFrame:
     return fliers(events(spark, sf))
+
+
+@query(
+    f"""WITH {EVENTS} SELECT s AS series_id, count(v) AS n_values, count(DISTINCT CAST(ts AS DATE)) AS n_days,
+        true AS in_order, 0 AS out_of_bound FROM e GROUP BY s"""
+)
+def quantile_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of days, merged per series: values whose exact ranks, counted over all rows, lie within
+    twice the error that one sketch in a hundred exceeds."""
+    rows = events(spark, sf)
+    days = sketches(rows.withColumn("day", F.to_date("ts")), ["series_id", "day"], "value")
+    whole = merged(days, ["series_id"])
+    wanted = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q95": 0.95}
+    found = near_quantiles(whole, ["series_id"], wanted)
+    # One row per series.
+    ranks = rows.join(F.broadcast(found), "series_id").groupBy("series_id").agg(
+        F.count("value").alias("n_values"),
+        F.countDistinct(F.to_date("ts")).alias("n_days"),
+        F.bool_and((F.col("q05") <= F.col("q25")) & (F.col("q25") <= F.col("q50")) & (F.col("q50") <= F.col("q95"))).alias("in_order"),
+        *[F.count_if(F.col("value") < F.col(c)).alias(f"{c}_below") for c in wanted],
+        *[F.count_if(F.col("value") <= F.col(c)).alias(f"{c}_upto") for c in wanted],
+    )
+    bound = F.lit(2 * rank_error(400)) * F.col("n_values") + 1
+    off = [
+        F.when((F.col(f"{c}_below") > q * F.col("n_values") + bound) | (F.col(f"{c}_upto") < q * F.col("n_values") - bound), 1).otherwise(0)
+        for c, q in wanted.items()
+    ]
+    return ranks.select("series_id", "n_values", "n_days", "in_order", sum(off[1:], off[0]).alias("out_of_bound"))

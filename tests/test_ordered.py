@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.plans import LastSeen, NextSeen, Running, attach, framed, freeze, quantiles, scan, smallest, with_position
+from tideline.plans.sketches import merged, near_quantiles, rank_error, sketches
 
 
 @pytest.fixture
@@ -140,3 +141,29 @@ def test_smallest_sorts_little(spark):
         assert kept == least
     finally:
         spark.conf.unset("spark.tideline.maxGroupRows")
+
+
+def test_sketches_merge(spark):
+    df = spark.range(60_000, numPartitions=6).select(
+        F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("g"), (F.col("id") % 7).alias("part"),
+        F.when(F.col("id") % 10 == 0, None).when(F.col("id") % 10 == 1, float("nan")).otherwise(F.pow(F.col("id").cast("double"), 2)).alias("v"),
+    )
+    parts = sketches(df, ["g", "part"], "v")
+    assert parts.count() == 21 and parts.agg(F.sum("n_values")).first()[0] == 48_000
+    wanted = {"low": 0.1, "mid": 0.5, "high": 0.9}
+    for got in (near_quantiles(merged(parts, ["g"]), ["g"], wanted), quantiles(df, ["g"], "v", wanted, exact=False)):
+        rows = {r.g: r for r in got.collect()}
+        assert set(rows) == {"a", "b", None}
+        for name, q in wanted.items():
+            for r in rows.values():
+                assert abs(r[name] ** 0.5 / 60_000 - q) <= 2 * rank_error(400) + 1e-3
+    assert 0.0132 < rank_error(200) < 0.0134
+
+
+def test_sketches_without_values(spark):
+    df = spark.createDataFrame([("a", None), ("b", 2.0), ("c", float("nan"))], "g string, v double")
+    got = {r.g: r.m for r in quantiles(df, ["g"], "v", {"m": 0.5}, exact=False).collect()}
+    assert got == {"a": None, "b": 2.0, "c": None}
+    assert quantiles(df.limit(0), ["g"], "v", {"m": 0.5}, exact=False).collect() == []
+    with pytest.raises(ValueError, match="weight"):
+        quantiles(df, ["g"], "v", {"m": 0.5}, weight="v", exact=False)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tideline.plans.attach import attach
 from tideline.plans.ordered import Running, long_groups, scan
 from tideline.plans.scratch import freeze, rows_of
+from tideline.plans.sketches import near_quantiles, sketches
 
 
 def quantiles(
@@ -18,6 +19,8 @@ def quantiles(
     wanted: Mapping[str, float],
     weight: str | None = None,
     at_most: int | None = None,
+    exact: bool = True,
+    k: int = 400,
 ) -> DataFrame:
     """One row per group with the wanted quantiles of ``value`` (nulls ignored).
 
@@ -26,7 +29,14 @@ def quantiles(
     Spark's exact aggregate keeps every distinct value of a group in one task, so it is used
     only for bounded groups. Larger ones are reduced to counts per distinct value, ranked by
     running sums, and the two values around each wanted rank are picked.
+
+    With ``exact=False`` they come from sketches of size ``k``, in one pass that combines before the
+    shuffle: values seen whose ranks are off by at most ``sketches.rank_error(k)`` of the rows.
     """
+    if not exact:
+        if weight is not None:
+            raise ValueError("sketches count every row once; weight needs exact=True")
+        return near_quantiles(sketches(df, by, value, k), by, wanted)
     times = F.col(weight) if weight else F.lit(1).cast("long")
     present = df.where(F.col(value).isNotNull()).select(*by, value, times.alias("_w"))
     if not long_groups(present, by, getattr(df, "_tideline_rows", None) if at_most is None else at_most):
