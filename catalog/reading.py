@@ -116,6 +116,19 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumnRenamed("date", "ts")
 
 
+@query(
+    """SELECT event_type AS series_id, ts, event_id AS row_key, value, CASE WHEN value > 200 THEN 1 ELSE 0 END AS is_anomaly
+    FROM events"""
+)
+def csv_labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """A sample file with its truth beside the values, as whole numbers."""
+    path = scratch_path(spark, "csv")
+    label = F.when(F.col("value") > 200, 1).otherwise(0).alias("is_anomaly")
+    rows = table(spark, sf, "events").select(F.col("ts").alias("date"), "value", label, "event_id", "event_type")
+    rows.write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+    return read_csv(spark, path, series="event_type", key="event_id", extra={"event_id": "bigint", "is_anomaly": "int"})
+
+
 @query(
     """SELECT event_type AS series_id, ts, event_id AS row_key, value FROM events
     WHERE event_type IN ('click', 'view')"""

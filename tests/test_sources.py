@@ -20,7 +20,7 @@ def test_csv(spark, tmp_path):
     path = write(tmp_path, "date,value,is_anomaly\n2024-01-02,2.5,0\n2024-01-01,1,1\n")
     out = S.read_csv(spark, path, extra={"is_anomaly": "int"}).orderBy("ts").collect()
     assert [r["value"] for r in out] == [1.0, 2.5]
-    assert [r["is_anomaly"] for r in out] == [1, 0]
+    assert [r["is_anomaly"] for r in out] == [1, 0] and isinstance(out[0]["is_anomaly"], int)
     assert out[0]["series_id"].endswith("/data.csv") and out[0]["ts"] == dt.datetime(2024, 1, 1)
 
 

@@ -134,7 +134,8 @@ def read_csv(
         series_expr.cast("string").alias(SERIES),
         F.col(date_col).alias(TS),
         key_expr.alias(KEY),
-        *[_number(raw, c).alias(c) for c in (value_col, *extras)],
+        _number(raw, value_col).alias(value_col),
+        *[_number(raw, c).cast(types.get(c, "double")).alias(c) for c in extras],
     )
     return require_rows(out)
 
