@@ -84,3 +84,17 @@ def test_approximate_recall(spark, limits):
     assert len(hits) >= 0.9 * len(want) and all(abs(got[p] - want[p]) < 1e-9 for p in hits)
     assert all(r["rank"] <= 5 for r in found)
     assert knn_join(asked, df.limit(0), 2, ["series_id"], exact=False).collect() == []
+
+
+@pytest.mark.parametrize("n", [300, 600])
+def test_copies_do_not_grow_where_nothing_prunes(spark, n):
+    """A cell is far smaller than what a task holds; every vector has to look into almost all of them."""
+    x = np.random.default_rng(n).normal(0, 1, (n, 24))
+    df, counts = frame(spark, x), {}
+    got = knn_join(df, df, 3, block=4, counts=counts).orderBy("row_key", "rank").toPandas()
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    want = np.argsort(d, axis=1, kind="stable")[:, :3]
+    assert (got["neighbour"].to_numpy().reshape(n, 3) == want).all()
+    np.testing.assert_allclose(got["distance"].to_numpy().reshape(n, 3), np.take_along_axis(d, want, axis=1))
+    # Bundles of a twelfth of the rows, asked by blocks of a twelfth: each vector moves so many times whatever the table.
+    assert counts["away"] <= 12 * 12
