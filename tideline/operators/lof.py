@@ -305,7 +305,7 @@ class VectorLofModel(DetectorModel):
             factors = self._look_up(rows.where(F.col("_x").isNotNull()).select(*by, "_x").distinct())
         else:
             factors = self.scores.select(*by, "_x", F.col("_lof").alias("_raw"))
-        out = attach(rows, factors, [*by, "_x"], how="left", row_bytes=1024).drop("_x")
+        out = attach(rows, factors, [*by, "_x"], how="left", row_bytes=1024, repeated=False).drop("_x")
         return finish(_with_threshold(out, self.thresholds, by), centred=False)
 
     def _look_up(self, vectors: DataFrame) -> DataFrame:
