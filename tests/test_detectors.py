@@ -13,7 +13,7 @@ from tideline.plans.settings import _DEFAULTS
 from tideline.operators.isolation import IsolationForest, forest_scores, forest_steps, grow_tree, mean_path, step_scores
 from tideline.operators.lof import LocalOutlierFactor
 from tideline.operators.neighbours import nearest
-from tideline.operators import recon
+from tideline.operators import envelope, recon
 from tideline.operators.recon import WindowReconstruction
 from tideline.plans import freeze, with_position
 from tideline.plans.moments import lag_sums, window_sums
@@ -233,6 +233,28 @@ def test_envelope_of_vectors(limits, mixed):
     assert np.corrcoef(got, want)[0, 1] > 0.99
 
 
+@pytest.mark.parametrize("band", [16 * 5 * 100, 16 * 5 * 5000])
+def test_envelope_settles_where_plain_steps_are_too_few(spark, vectors, monkeypatch, band):
+    """Rows about the border, or all rows, settle among themselves; the end is one that a step over all rows leaves as it is."""
+    x = np.random.default_rng(3).uniform(-1, 1, (1500, 4))
+    x[::60] *= 10
+    df, narrowed, shapes = vectors(x), EllipticEnvelope._narrowed, []
+    detector = EllipticEnvelope(max_steps=20, start_rows=60, starts=10, **VECTOR)
+    monkeypatch.setattr(envelope, "_BAND_BYTES", band)
+    monkeypatch.setattr(EllipticEnvelope, "_narrowed", lambda self, *a: shapes.append(narrowed(self, *a)) or shapes[-1])
+    out = detector.fit_transform(df)
+    assert out.where("label = -1").count() == 150 and out.where("label = -1 and row_key % 60 = 0").count() == 25
+    shape = shapes[-1].first()
+    c = x - np.array(shape["location"])
+    d = ((c @ np.array(shape["precision"]).reshape(4, 4)) * c).sum(axis=1)
+    kept = x[np.argsort(d, kind="stable")[: (1500 + 5 + 1) // 2]]
+    assert abs(np.linalg.slogdet(np.cov(kept.T, bias=True))[1] - shape["log_det"]) <= 1e-8
+    # Steps over all rows alone do not get there.
+    monkeypatch.setattr(EllipticEnvelope, "_narrowed", lambda self, rows, model, *rest: model)
+    with pytest.raises(RuntimeError, match="not settled in 20 steps"):
+        detector.fit(df)
+
+
 def test_chi2():
     # Published quantiles.
     for q, dof, want in [(0.5, 1, 0.454936), (0.975, 1, 5.023886), (0.5, 2, 1.386294), (0.975, 10, 20.483177), (0.975, 64, 88.004051)]:

@@ -16,6 +16,10 @@ from tideline.plans.models import apply_models, fields, group_key, matrix, sampl
 from tideline.plans.moments import outer_sums
 
 
+# Rows about the border of a support that one task concentrates, in bytes.
+_BAND_BYTES = 16 * 1024 * 1024
+
+
 class EllipticEnvelope(Detector):
     """Minimum covariance determinant estimate, corrected and reweighted once.
 
@@ -25,8 +29,10 @@ class EllipticEnvelope(Detector):
 
     Vectors: ``starts`` random starts are concentrated on a sample of ``start_rows`` rows of the
     series; the best of them goes through concentration steps over all rows, each on exactly the
-    support's size, until the determinant of every series has settled. Should that take more than
-    ``max_steps`` steps, fitting raises rather than return an estimate that has not.
+    support's size, until the determinant of every series has settled. In long series only a few rows
+    about the border change sides in a late step, for more steps the more rows there are; so from half
+    of ``max_steps`` on those rows settle among themselves before each step over all rows. Should it
+    take more than ``max_steps`` steps, fitting raises rather than return an estimate that has not.
     """
 
     def __init__(
@@ -127,7 +133,9 @@ class EllipticEnvelope(Detector):
         sizes = freeze(sizes.withColumn("_h", self.support(F.col("_n"), p)), "sizes")
         model = freeze(self._start(rows, sizes, p), "start")
         # A step never raises a determinant, so each series settles; the ones that have keep their estimate.
-        for _ in range(self.max_steps):
+        for turn in range(self.max_steps):
+            if turn >= self.max_steps // 2:
+                model = freeze(self._narrowed(rows, model, sizes, p, longest, average), "narrowed")
             before, change = model.select(*by, F.col("log_det").alias("_before")), Observation()
             step = attach(self._refit(rows, model, sizes, p, longest, average), before, by, row_bytes=32, at_most=rows_of(model))
             moved = F.abs(F.col("log_det") - F.col("_before")) / F.greatest(F.lit(1.0), F.abs("_before"))
@@ -155,9 +163,58 @@ class EllipticEnvelope(Detector):
         kept = smallest(self._distances(rows, model, p), by, "_dist", self.order, sizes, "_h", longest)
         return self._shape(kept, p, average)
 
+    def _narrowed(self, rows: DataFrame, model: DataFrame, sizes: DataFrame, p: int, longest: int, average: float) -> DataFrame:
+        """Shapes after concentration steps among the rows about the border of the support, in one task per series.
+
+        Rows well within the support stay there and count by their sums, rows well outside stay out, so the
+        determinant falls as it does in steps over all rows; only such a step can tell that it has settled. A series
+        with too many equal distances for a task keeps its shape.
+        """
+        by, d = self.by, F.col("_dist")
+        band = max(1, _BAND_BYTES // (16 * (p + 1)))
+        scored = freeze(self._distances(rows, model, p).select(*by, *self.order, "_x", "_dist"), "distances")
+        edges = sizes.select(*by, F.greatest(F.col("_h") - band, F.lit(0)).alias("_few"), (F.col("_h") + band).alias("_many"), "_h")
+        edges, groups = freeze(edges, "edges"), rows_of(sizes)
+        narrow = scored.select(*by, *self.order, "_dist")
+        ends = [smallest(narrow, by, "_dist", self.order, edges, c, longest).groupBy(*by).agg(F.max("_dist").alias(f"_at{c}")) for c in ("_few", "_many")]
+        cuts = edges.select(*by, "_h")
+        for end in ends:
+            cuts = attach(cuts, end, by, "left", at_most=groups)
+        # A series no longer than the band has no row that is sure to stay.
+        low = F.coalesce("_at_few", F.lit(float("-inf")))
+        cut = attach(scored, freeze(cuts, "cuts"), by, frozen=True)
+        inside, border = d < low, d.between(low, F.col("_at_many"))
+        facts = cut.groupBy(*by, "_h").agg(F.count_if(inside).alias("_in"), F.count_if(border).alias("_border"))
+        facts = freeze(facts.select(*by, (F.col("_h") - F.col("_in")).alias("_want"), "_border"), "facts")
+        sums = outer_sums(_with_one(cut.where(inside), by), by, "_z", average)
+        entries = F.transform(F.array_sort(F.collect_list(F.struct("i", "total"))), lambda e: e["total"])
+        fixed = sums.groupBy(*by).agg(entries.alias("_sums"))
+        known = attach(attach(model, facts, by, "left", frozen=True), fixed, by, "left", at_most=groups, row_bytes=8 * (p + 1) ** 2)
+        known = known.withColumn("_g", group_key(by))
+        near = attach(cut.where(border), facts.where(F.col("_border") <= 4 * band), by, at_most=groups)
+        near = near.select(group_key(by).alias("_g"), "_x")
+
+        def settle(some: pd.DataFrame, one: pd.DataFrame) -> pd.DataFrame:
+            shapes = [*by, "location", "precision", "log_det"]
+            now = one[shapes].reset_index(drop=True)
+            if not len(some):
+                return now
+            x, want = matrix(some["_x"]), int(one["_want"].iloc[0])
+            z = np.column_stack([np.ones(len(x)), x])
+            held = one["_sums"].iloc[0]
+            within = np.zeros((p + 1, p + 1)) if held is None else np.asarray(held).reshape(p + 1, p + 1)
+            while True:
+                closest = z[np.argsort(mahalanobis(x, {c: now[c].to_list() for c in ("location", "precision")}), kind="stable")[:want]]
+                after = _shape_row(now[by], *_moments(within + closest.T @ closest))
+                before, then = float(now["log_det"].iloc[0]), float(after["log_det"].iloc[0])
+                if not before - then > 1e-12 * max(1.0, abs(before)):
+                    return now[shapes]
+                now = after
+
+        return near.groupBy("_g").cogroup(known.groupBy("_g")).applyInPandas(settle, _shape_schema(rows, by))
+
     def _shape(self, kept: DataFrame, p: int, average: float) -> DataFrame:
-        z = F.concat(F.array(F.lit(1.0)), F.col("_x")).alias("_z")
-        return solve_shape(outer_sums(kept.select(*self.by, z), self.by, "_z", average), self.by, p)
+        return solve_shape(outer_sums(_with_one(kept, self.by), self.by, "_z", average), self.by, p)
 
     def _start(self, rows: DataFrame, sizes: DataFrame, p: int) -> DataFrame:
         by, seed, wanted, starts = self.by, self.seed, self.start_rows, self.starts
@@ -183,6 +240,16 @@ def _distance(v: Column, location: Column, variance: Column) -> Column:
     return F.try_divide(F.pow(v - location, 2), variance)
 
 
+def _with_one(rows: DataFrame, by: list[str]) -> DataFrame:
+    return rows.select(*by, F.concat(F.array(F.lit(1.0)), F.col("_x")).alias("_z"))
+
+
+def _moments(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from the summed outer products of (1, x)."""
+    location = m[0, 1:] / m[0, 0]
+    return location, m[1:, 1:] / m[0, 0] - np.outer(location, location)
+
+
 def _shape_schema(rows: DataFrame, by: list[str]) -> str:
     parts = ["location array<double>", "precision array<double>", "log_det double"]
     return ", ".join([*([fields(rows, by)] if by else []), *parts])
@@ -203,10 +270,7 @@ def solve_shape(sums: DataFrame, by: list[str], p: int) -> DataFrame:
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         flat = np.zeros((p + 1) ** 2)
         flat[group["i"].to_numpy()] = group["total"].to_numpy()
-        m = flat.reshape(p + 1, p + 1)
-        location = m[0, 1:] / m[0, 0]
-        cov = m[1:, 1:] / m[0, 0] - np.outer(location, location)
-        return _shape_row(group.head(1)[by].reset_index(drop=True), location, cov)
+        return _shape_row(group.head(1)[by].reset_index(drop=True), *_moments(flat.reshape(p + 1, p + 1)))
 
     return keyed.groupBy("_g").applyInPandas(solve, _shape_schema(sums, by))
 
