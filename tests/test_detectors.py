@@ -255,6 +255,21 @@ def test_envelope_settles_where_plain_steps_are_too_few(spark, vectors, monkeypa
         detector.fit(df)
 
 
+def test_envelope_without_series_settles_where_no_row_is_sure_to_stay(vectors, monkeypatch):
+    """The same of a table that is one series without a name, all of whose rows lie about the border."""
+    x = np.random.default_rng(3).uniform(-1, 1, (1500, 4))
+    x[::60] *= 10
+    narrowed, shapes = EllipticEnvelope._narrowed, []
+    monkeypatch.setattr(EllipticEnvelope, "_narrowed", lambda self, *a: shapes.append(narrowed(self, *a)) or shapes[-1])
+    out = EllipticEnvelope(max_steps=2, start_rows=60, starts=10, by=[], **VECTOR).fit_transform(vectors(x).drop("series_id"))
+    assert out.where("label = -1").count() == 150 and out.where("label = -1 and row_key % 60 = 0").count() == 25
+    shape = shapes[-1].first()
+    c = x - np.array(shape["location"])
+    d = ((c @ np.array(shape["precision"]).reshape(4, 4)) * c).sum(axis=1)
+    kept = x[np.argsort(d, kind="stable")[: (1500 + 5 + 1) // 2]]
+    assert abs(np.linalg.slogdet(np.cov(kept.T, bias=True))[1] - shape["log_det"]) <= 1e-8
+
+
 def test_chi2():
     # Published quantiles.
     for q, dof, want in [(0.5, 1, 0.454936), (0.975, 1, 5.023886), (0.5, 2, 1.386294), (0.975, 10, 20.483177), (0.975, 64, 88.004051)]:

@@ -188,7 +188,8 @@ class EllipticEnvelope(Detector):
         facts = freeze(facts.select(*by, (F.col("_h") - F.col("_in")).alias("_want"), "_border"), "facts")
         sums = outer_sums(_with_one(cut.where(inside), by), by, "_z", average)
         entries = F.transform(F.array_sort(F.collect_list(F.struct("i", "total"))), lambda e: e["total"])
-        fixed = sums.groupBy(*by).agg(entries.alias("_sums"))
+        # Where no row is sure to stay there are no sums; without series that is an empty list, not a missing row.
+        fixed = sums.groupBy(*by).agg(entries.alias("_sums")).where(F.size("_sums") > 0)
         known = attach(attach(model, facts, by, "left", frozen=True), fixed, by, "left", at_most=groups, row_bytes=8 * (p + 1) ** 2)
         known = known.withColumn("_g", group_key(by))
         near = attach(cut.where(border), facts.where(F.col("_border") <= 4 * band), by, at_most=groups)
